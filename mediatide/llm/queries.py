@@ -27,6 +27,22 @@ def p1_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return songs.unionByName(consistent_texts(spread(table(spark, sf_dir, "tracks").select("guid", "title")), "tracks", "guid", "title"))
 
 
+def p3_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mojibake import damaged_fields, fit
+
+    songs = table(spark, sf_dir, "catalog_songs")
+    model = fit(spark, [(songs, "title"), (songs, "album"), (table(spark, sf_dir, "catalog_artists"), "name")])
+    prints = spread(table(spark, sf_dir, "audio_fingerprints").select("rec_id", "title", "album"))
+    probes = spread(table(spark, sf_dir, "audio_metadata").select("meta_id", "artist"))
+    return damaged_fields(prints, "audio_fingerprints", "rec_id", ["title", "album"], model).unionByName(
+        damaged_fields(probes, "audio_metadata", "meta_id", ["artist"], model)
+    )
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_restored(spark, sf_dir).select("src", "row_id", "field")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .survivors import found
 
