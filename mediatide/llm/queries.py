@@ -61,6 +61,22 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
+def p9_residue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .residue import fit, residue
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return residue(spread(docs), "doc_id", "text", fit(docs, "doc_id", "text"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9_residue(spark, sf_dir).select("doc_id")
+
+
+def p9_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that stay, by their ids."""
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars").join(p9_found(spark, sf_dir), "doc_id", "left_anti")
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in sorted(globals().items()) if name[0] == "p" and name[1].isdigit()}
 

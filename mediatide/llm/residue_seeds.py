@@ -1,0 +1,74 @@
+"""Labelled seed texts for the residue models.
+
+fixed values: short texts of each kind, as pages and tools write them, and sentences that merely speak about them.
+``slots`` are rendered with every bracket style to make the template class.
+"""
+
+ERRORS = """
+404 Not Found|403 Forbidden|401 Unauthorized|400 Bad Request|429 Too Many Requests|500 Internal Server Error|502 Bad Gateway|503 Service Unavailable|504 Gateway Timeout|410 Gone
+HTTP Error 404|HTTP 404: NOT FOUND|HTTP 504: GATEWAY TIMEOUT|HTTP 403: FORBIDDEN|HTTP 500: INTERNAL SERVER ERROR|HTTP 502: BAD GATEWAY|HTTP 503: SERVICE UNAVAILABLE|HTTP 429: TOO MANY REQUESTS|The proxy got no answer from the list service before the header was read (reason: timeout, try 26)|Verify that you are human to continue.|We are sorry, this playlist was removed by its owner.|Your session has expired. Please log in again to continue.|Error 404: page not found|Error 429|Error code: 503|The requested URL was not found on this server.|The page you asked for could not be served.|The page you are looking for does not exist.
+While the error page was built, a second error (500) came up.|Service temporarily unavailable. The server is down for maintenance.|The server is down for maintenance.|Please try again later.|Something went wrong.|Oops! Something went wrong.
+An unexpected error occurred.|Access denied. You don't have permission to view this page.|Your session has expired, please log in again.|This content is no longer available.|Too many requests, please slow down.|Request timed out.|Connection refused|Checking your browser before you view this list. This takes a few seconds.|Checking your browser before you use the player.|The database did not accept a connection from the web front.|This user's playlist was removed by its owner.|This video is not available in your country.|This content is no longer available in your region.|This list was deleted by its owner or made private.|Your address was limited, slow down and retry after 622 seconds.|Oops! Something went wrong on our side. Please try again in a few minutes. (ref 11211bdb6666)|Access denied. You do not have permission to view this list. Request id: ab2e8a92d729|Menu  Search  Sign in|Home | Songs | Lists | About|© all rights reserved|Back to top|Request ID: 4f2a9c
+Traceback (most recent call last):|File "/srv/app/fetch.py", line 784, in load|KeyError: 'songs'|TypeError: 'NoneType' object is not subscriptable|ValueError: invalid literal for int()|Fatal error: call to a member function title() on null in /srv/app/view_30.php on line 753
+Uncaught TypeError: Cannot read properties of undefined (reading 'title')|java.lang.NullPointerException at com.app.Main.run(Main.java:42)|SQLSTATE[HY000]: General error|Warning: Undefined variable $title in /srv/app/view.php on line 12|Exception in thread "main"|Stack trace: #0 {main}
+{"code":502,"message":"参数错误","data":[]}|{"error":"not found","status":404}|{"code":500,"msg":"internal error","data":null}|<html><head><title>503 Service Unavailable</title></head><body><center><h1>503 Service Unavailable</h1></center></body></html>|<h1>404 Not Found</h1><hr><center>nginx</center>
+网关超时 503，请求编号 2eb10a24e806|网关超时，请求编号 9d1|页面不存在|404 页面不存在|401 页面不存在|抱歉，您访问的页面走丢了，去首页看看吧。|您访问的页面不存在或已被删除|服务器开小差了，请稍后再试（错误码：429）|系统繁忙，请稍后重试。|访问过于频繁，请于592秒后再试|登录已过期，请重新登录|您没有权限查看此内容，请先登录。|正在检查您的浏览器，请稍候……|请完成安全验证后继续浏览歌手简介|请完成安全验证后继续浏览|网络异常，请刷新重试|加载失败，请重试|内部服务器错误|返回首页|首页 歌单 排行榜 登录|内容加载失败|该内容已下架|该歌单已被创建者删除或设为私密。|该内容在您所在的地区无法播放|因版权原因，该内容在您所在的地区暂不可用。|请求超时，请稍后再试|参数错误
+Erreur 502 : page introuvable|Erreur interne du serveur|La page demandée n'existe pas.|Accès refusé|Désolé, ce contenu n’est plus disponible.|Service momentanément indisponible
+Error 404: página no encontrada|Error interno del servidor|La página solicitada no existe.|Acceso denegado|Lo sentimos, este contenido ya no está disponible.|Lo sentimos, el servicio no está disponible en este momento.|网络异常，加载失败，点击重试|Servicio no disponible temporalmente
+Fehler 401: Seite nicht gefunden|Interner Serverfehler|Die angeforderte Seite wurde nicht gefunden.|Zugriff verweigert|Dieser Inhalt ist nicht mehr verfügbar.|Der Dienst ist vorübergehend nicht verfügbar.|Der Dienst ist vorübergehend nicht erreichbar.
+Ошибка 502: страница не найдена|Внутренняя ошибка сервера|Запрошенная страница не существует.|Доступ запрещён|Сервис временно недоступен|Сервис временно недоступен, повторите попытку позже.
+502 ページが見つかりません|404 ページが見つかりません|サーバーエラーが発生しました。|アクセスが拒否されました。|しばらくしてからもう一度お試しください。|ただいまアクセスが集中しています。
+404 페이지를 찾을 수 없습니다|서버 오류가 발생했습니다.|접근이 거부되었습니다.
+"""
+SCRIPTS = """
+Please enable JavaScript to continue.|Please enable JavaScript to load comments.|You need to enable JavaScript to continue.|You need to enable JavaScript to use the player.|You need to enable JavaScript to run this app.|JavaScript is disabled in your browser.|JavaScript is required to view this page.|This site requires JavaScript.
+Sorry, without JavaScript this page stays empty.|Sorry, without JavaScript this app stays empty.|Sorry, without JavaScript this player stays empty.|Sorry, without JavaScript this lyric view stays empty.|If nothing happens, allow scripts for this site.|Your browser does not run scripts, so the player cannot be shown.
+Cookies and scripts must be allowed in order to load comments.|Cookies and scripts must be allowed in order to read the lyrics.|Please turn on scripts and reload the page.|Enable cookies and JavaScript and reload.|Your browser is not supported, please upgrade.
+请启用 JavaScript 后继续访问。|需要允许运行 JavaScript 才能加载播放器|需要允许运行 JavaScript 才能查看评论|您的浏览器未开启脚本，无法显示歌词。|您的浏览器未开启脚本，无法显示评论。|您的浏览器未开启脚本，无法显示页面内容。|当前浏览器版本过低或禁用了脚本，歌手简介无法加载。|当前浏览器版本过低或禁用了脚本，歌单无法加载。|请在浏览器设置中开启脚本
+Bitte aktivieren Sie JavaScript, um fortzufahren.|Ihr Browser führt keine Skripte aus.|JavaScript ist in Ihrem Browser deaktiviert.
+Active JavaScript para ver esta lista.|Su navegador no admite scripts.|Debe activar JavaScript para continuar.
+Veuillez activer JavaScript pour continuer.|Votre navigateur bloque les scripts.|Activez JavaScript pour voir cette page.
+Включите JavaScript, чтобы продолжить.|В вашем браузере отключены скрипты.|Для просмотра нужен JavaScript.
+JavaScriptを有効にしてください。|このページを表示するにはスクリプトの許可が必要です。|ブラウザのスクリプトが無効です。
+자바스크립트를 활성화해 주세요.|스크립트를 허용해야 페이지가 표시됩니다.
+"""
+FILLER = """
+Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua.|Ut enim ad minim veniam, quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat.|Duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur.|Excepteur sint occaecat cupidatat non proident, sunt in culpa qui officia deserunt mollit anim id est laborum.
+Lorem ipsum pellis solvat vivex verum plerat fabre tantor quasor dolum omni furto aquer nostim ipsae.|Celebrum verum lorem rectur aquer ardent malor vindum grata quibum mondae tenuit dolet pellis furto.|Tantor grata ipsae dolet omni ipsum quibum nostim celebrum fabre vivex plerat mondae solvat rectur.|Ipsum dolor quasor malor ardent tenuit verum vindum lorem aquer omni dolum nostim furto celebrum.|Quibum celebrum nostim quasor dolet vindum ipsae mondae ipsum aquer verum plerat vivex ardent grata tantor.
+Sample text.|This is a test biography, please ignore.|This is a test entry, please delete.|Text text text text text text.|Dummy description for layout only.|Dummy text for layout only.|Add description here|Add text here|Your description goes here.|Your text goes here.|Type something about the description.|Type something about the album.|Replace this paragraph with the description before publishing.|Replace this text before publishing.|Description coming soon|Content goes here.|Insert text here.|asdf asdf asdf qwer|asdf qwer zxcv|test test test|blah blah blah|foo bar baz|This is a placeholder paragraph.|Placeholder text, to be replaced.
+测试测试测试，请忽略|示例文字示例文字示例文字示例文字|这是一段测试歌手简介，上线前删除。|这是一段测试文字，上线前删除。|这里是歌单的占位文字，请替换。|这里是歌词的占位文字，请替换。|这里是评论的占位文字，请替换。|这里是简介的占位文字，请替换。|此处填写简介|暂无简介，待补充|在此输入文字|请在此处输入页面内容|请在此处输入歌手简介|内容填充内容填充内容填充|请输入内容
+Bitte Text einfügen.|Hier steht ein Blindtext für das Album.|Hier steht später der Text.|Blindtext, bitte ersetzen.|Platzhalter für die Beschreibung.
+Texte factice à remplacer avant publication.|Votre texte ici.|Texte à venir.|Description à compléter.
+Texto de ejemplo, sustituir por la biografía.|Su texto aquí.|Texto de relleno.|Descripción pendiente.
+Здесь должен быть текст об альбоме.|Пример текста, замените его.|Текст-заполнитель, заменить.|Введите описание.
+ダミーテキストです。|ここに文章を入力してください。|サンプルテキスト|ここにテキストが入ります。
+여기에 텍스트를 입력하세요.|예시 텍스트입니다.
+"""
+#: Sentences of ordinary prose that speak about templates, filler, errors or scripts.
+MENTIONS = """
+The web player needs JavaScript, which every current browser has switched on; if you block scripts you can still export the list as text and read it offline.
+网页播放器需要 JavaScript，一般浏览器默认都开着；不想开也可以导出文本歌单离线看。
+Song lists that answer with an access error are skipped, the log then holds the line "HTTP 503", and the other lists are read as usual.
+日志里出现“HTTP 503”只说明那个歌单没读到，其他歌单会照常处理。
+Templates for text export use {title} in the heading; leave them as they are, the tool puts in the real names of each list.
+The rename pattern may hold fields such as {title}; every field is replaced when the file is written, for example "No More Islands - Edward Branhurst".
+重命名规则里可以写{title}这样的字段，保存时会换成真正的名字，比如“遠いカモメ - 沉舟旅人”。
+导出模板里可以用{title}做标题，不用改，工具会填入真正的名字。
+In the last verse Josephine Yarhurst sings that his heart is undefined, null and void, and the choir answers with a scripted error.
+A typical placeholder text like lorem ipsum was printed on the first sleeve of No More Ribbons by mistake, which made that pressing a collectors item.
+首版封面误印了一段示例文字，反而让这批《Window for Two》成了收藏品。
+The single "502 Bad Gateway" by The Wandering Lanterns is a joke about a lost web page, but the tape loop part is lovely.
+《页面不存在》是André Garadine的一首玩笑歌，讲一个找不到的网页，马林巴写得很好听。
+Fetching the cover gave 500 Internal Server Error twice, so I added the picture by hand and the album Wandering as a Engine looks complete now.
+抓取封面时两次返回429，后来手动加了图片，专辑《风筝往事》现在是完整的。
+lost the page for No More Whistles, anyone?|null points from me|error on my side, it was the toy piano all along|track 6 says 39% done and then nothing|bit rate is only 34, please rescan|测试一下新音箱，低音不错|页面打不开是我的网络问题吗|有人知道Kessary在哪吗
+Songs that were not found are shown at the end of the report together with the best score.|没有匹配到的歌会和最高得分一起列在报告末尾。|scan finished: 381 files, 12 mismatched, 3 failed|扫描完成：共381个文件，12个不匹配，3个失败
+"""
+SLOTS = """artist artistName artist_name singer performer ARTIST album albumName album.title ALBUM title TITLE track.name track.title songName song_title name year YEAR release_year place PLACE city location LOCATION birth_place instrument INSTRUMENT count copies num NUM NUMBER date label genre user.name 年份 专辑 歌手 歌名 城市 乐器""".split()
+STYLES = ["{{%s}}", "{{ %s }}", "{{{%s}}}", "{%s}", "${%s}", "#{%s}", "<%%= %s %%>", "%%%s%%", "[[%s]]", "[%s]", "<%s>", "__%s__", "[insert %s here]", "INSERT %s HERE", "{{%s|default}}", "{%% %s %%}", "*|%s|*", "«%s»", "$%s$", "&lt;%s&gt;", "<%s goes here>", "[%s?]"]
+MARKS = ["XXXX", "TBD", "undefined", "[object Object]", "______", "TODO", "???", "?????", "N/A", "None", "null", "%s", "NaN"]
+
+
+def lines(block: str) -> list[str]:
+    """The texts of a block: one a line, several parted by bars."""
+    return [t for line in block.strip().split("\n") for t in line.split("|") if t]
