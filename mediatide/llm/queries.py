@@ -27,6 +27,21 @@ def p1_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return songs.unionByName(consistent_texts(spread(table(spark, sf_dir, "tracks").select("guid", "title")), "tracks", "guid", "title"))
 
 
+def p2_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.multivalue import Grammar
+    from .spellings import canonical_names, distinct_names, entities
+
+    names = canonical_names(table(spark, sf_dir, "catalog_artists"), "name")
+    typed = distinct_names([(table(spark, sf_dir, "songs"), "library_id", "artist"), (table(spark, sf_dir, "audio_fingerprints"), "library_id", "artist")])
+    return entities(typed, Grammar.of(names), names).withColumnRenamed("scope", "library_id")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spellings import linked_pairs
+
+    return linked_pairs(p2_entities(spark, sf_dir).withColumnRenamed("library_id", "scope"), "library_id")
+
+
 def p3_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mojibake import damaged_fields, fit
 
