@@ -58,6 +58,18 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_restored(spark, sf_dir).select("src", "row_id", "field")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .catalogmatch import match_titles
+
+    songs = table(spark, sf_dir, "songs").select(F.lit("songs").alias("src"), F.col("song_id").cast("string").alias("row_key"), F.col("song_name").alias("title"), "artist")
+    tracks = table(spark, sf_dir, "tracks").select(F.lit("tracks").alias("src"), F.col("guid").alias("row_key"), "title", F.col("artists").getItem(0)["name"].alias("artist"))
+    return match_titles(spark, songs.unionByName(tracks), table(spark, sf_dir, "catalog_songs").select("catalog_id", "title", "artist"))
+
+
+def p5_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_found(spark, sf_dir).where("catalog_id = 0").select("src", "row_key")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .survivors import found
 
