@@ -10,10 +10,12 @@ distinct title and per distinct pair of artists, not per row.
 from __future__ import annotations
 
 import unicodedata
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.names import GIVEN_SHORT_FORMS, GIVEN_TWO_WAYS, GROUP_SHORT_FORMS
+from ..session import cut
 from .roman import CYRILLIC, GREEK, HANGUL, KANA, KANJI_WORDS, KOREAN_WORDS, LATIN, PINYIN, SIMPLIFIED, romanise
 
 #: Beyond this many entries the canonical list's segments are joined by shuffle instead of broadcast.
@@ -123,37 +125,51 @@ def match_titles(spark: SparkSession, typed: DataFrame, catalog: DataFrame) -> D
     within the errors allowed for their length, in every stand-alone number, and the artists agree in some
     spelling; without an artist the title decides. Nearer titles win, then the lower id.
     """
-    typed.createOrReplaceTempView("_typed_rows")
-    catalog.createOrReplaceTempView("_catalog_rows")
     few = catalog.select("catalog_id").limit(MAX_BROADCAST_ENTRIES + 1).count() <= MAX_BROADCAST_ENTRIES
-    return spark.sql(match_sql(few))
-
-
-def match_sql(few: bool = True) -> str:
-    """The whole statement over ``_typed_rows`` and ``_catalog_rows``; ``few``: the catalog may be broadcast."""
+    views = {name: f"_titles_{uuid.uuid4().hex}_{name}" for name in ("typed", "catalog", *STEPS)}
+    typed.where("title IS NOT NULL AND title <> ''").createOrReplaceTempView(views["typed"])
+    catalog.createOrReplaceTempView(views["catalog"])
+    out = typed
+    for name in STEPS:
+        out = spark.sql(statement(name, views, few))
+        # what later steps read more than once is written once; this also keeps every plan small
+        out = out if name in ("entry", "found") else cut(out)
+        out.createOrReplaceTempView(views[name])
+    for view in views.values():
+        spark.catalog.dropTempView(view)
+    return out
+
+
+STEPS = ("entry", "reading", "close", "candidate", "agreed", "meant", "found")
+
+
+def statement(name: str, views: dict[str, str], few: bool = True) -> str:
+    """The SQL of one step over the views of the steps before; ``few``: the catalog may be broadcast."""
+    typed, catalog, entry, reading, close, candidate, agreed, meant = (views[n] for n in ("typed", "catalog", *STEPS[:-1]))
     hint = "/*+ BROADCAST(s) */" if few else ""
     hint_c = "/*+ BROADCAST(e) */" if few else ""
-    return f"""
-WITH entry AS (
-  SELECT catalog_id, artist AS entry_artist, f AS entry_text, {key_sql('f')} AS ref, {numbers_sql('f')} AS numbers
-  FROM (SELECT catalog_id, artist, {fold_sql('title')} AS f FROM _catalog_rows)
-), ref AS (
-  SELECT DISTINCT ref, length(ref) AS n, {_ERRORS.format(n='length(ref)')} AS k FROM entry WHERE ref <> ''
-), segment AS (
-  SELECT ref, n, k, i, substring(ref, cast(floor(i * n / (k + 1)) as int) + 1, cast(floor((i + 1) * n / (k + 1)) - floor(i * n / (k + 1)) as int)) AS piece
-  FROM ref LATERAL VIEW explode(sequence(0, k)) x AS i
-), folded AS (
+    if name == "entry":
+        return f"""SELECT catalog_id, artist AS entry_artist, f AS entry_text, {key_sql('f')} AS ref, {numbers_sql('f')} AS numbers
+  FROM (SELECT catalog_id, artist, {fold_sql('title')} AS f FROM {catalog})"""
+    if name == "reading":
+        return f"""WITH folded AS (
   SELECT src, row_key, artist, trim(regexp_replace(regexp_replace({fold_sql('title')}, '\\\\s+', ' '), '^\\\\s*\\\\d{{1,3}}\\\\s*(?:[.)、]|-\\\\s)\\\\s*', '')) AS a
-  FROM _typed_rows WHERE title IS NOT NULL AND title <> ''
+  FROM {typed}
 ), bare AS (
   SELECT *, trim(regexp_replace(a, '[\\\\(\\\\[（【《〈{{][^\\\\)\\\\]）】》〉}}]*[\\\\)\\\\]）】》〉}}]', ' ')) AS b FROM folded
 ), noted AS (
   SELECT src, row_key, artist, regexp_replace(CASE WHEN b RLIKE '[\\\\p{{L}}\\\\p{{N}}]' THEN b ELSE a END, '(?:[\\\\s\\\\-]+(?:{_NOTES}))+[^\\\\p{{L}}\\\\p{{N}}]*$', '') AS c FROM bare
-), reading AS (
-  SELECT DISTINCT src, row_key, artist, v, {key_sql('v')} AS q, {numbers_sql('v')} AS numbers
-  FROM noted LATERAL VIEW explode(array_distinct(array(c, regexp_replace(c, '^.*? - ', ''), regexp_replace(c, ' - .*$', '')))) x AS v
+)
+SELECT DISTINCT src, row_key, artist, v, {key_sql('v')} AS q, {numbers_sql('v')} AS numbers
+  FROM noted LATERAL VIEW explode(array_distinct(array(c, regexp_replace(c, '^.*? - ', ''), regexp_replace(c, ' - .*$', '')))) x AS v"""
+    if name == "close":
+        return f"""WITH ref AS (
+  SELECT DISTINCT ref, length(ref) AS n, {_ERRORS.format(n='length(ref)')} AS k FROM {entry} WHERE ref <> ''
+), segment AS (
+  SELECT ref, n, k, i, substring(ref, cast(floor(i * n / (k + 1)) as int) + 1, cast(floor((i + 1) * n / (k + 1)) - floor(i * n / (k + 1)) as int)) AS piece
+  FROM ref LATERAL VIEW explode(sequence(0, k)) x AS i
 ), query AS (
-  SELECT DISTINCT q, length(q) AS m FROM reading WHERE q <> ''
+  SELECT DISTINCT q, length(q) AS m FROM {reading} WHERE q <> ''
 ), place AS (
   SELECT q, m, n, i, s, cast(floor(i * n / (k + 1)) as int) AS at, cast(floor((i + 1) * n / (k + 1)) - floor(i * n / (k + 1)) as int) AS size
   FROM (SELECT q, m, n, {_ERRORS.format(n='n')} AS k FROM query LATERAL VIEW explode(sequence(greatest(1, m - 2), m + 2)) x AS n)
@@ -164,18 +180,17 @@ WITH entry AS (
     SELECT {hint} p.q, s.ref, s.k FROM place p JOIN segment s ON p.n = s.n AND p.i = s.i AND substring(p.q, p.at + p.s + 1, p.size) = s.piece
     WHERE p.at + p.s >= 0 AND p.at + p.s + p.size <= p.m
   ) WHERE levenshtein(q, ref, k) >= 0
-), close AS (
-  SELECT q, ref, d FROM (
+)
+SELECT q, ref, d FROM (
     SELECT q, ref, levenshtein(q, ref) AS d, ref RLIKE '{_EAST}' AS east, length(ref) AS n,
       array_sort(split(q, '')) = array_sort(split(ref, '')) AS swapped FROM near
-  ) WHERE d <= CASE WHEN east OR n < 6 THEN 1 ELSE 2 END OR swapped
-), word AS (
-  SELECT collect_set(w) AS words FROM (SELECT explode(split(entry_text, '[^\\\\p{{L}}]+')) AS w FROM entry) WHERE length(w) > 2
-), candidate AS (
-  SELECT {hint_c} r.src, r.row_key, r.artist, r.v, e.catalog_id, e.entry_artist, e.entry_text, c.d
-  FROM reading r JOIN close c ON r.q = c.q JOIN entry e ON c.ref = e.ref AND r.numbers = e.numbers
-), pair AS (
-  SELECT DISTINCT artist, entry_artist FROM candidate WHERE artist <> ''
+  ) WHERE d <= CASE WHEN east OR n < 6 THEN 1 ELSE 2 END OR swapped"""
+    if name == "candidate":
+        return f"""SELECT {hint_c} r.src, r.row_key, r.artist, r.v, e.catalog_id, e.entry_artist, e.entry_text, c.d
+  FROM {reading} r JOIN {close} c ON r.q = c.q JOIN {entry} e ON c.ref = e.ref AND r.numbers = e.numbers"""
+    if name == "agreed":
+        return f"""WITH pair AS (
+  SELECT DISTINCT artist, entry_artist FROM {candidate} WHERE artist <> ''
 ), named AS (
   SELECT artist, entry_artist, {_name_sql('entry_artist')} AS y,
     {_name_sql("regexp_replace(artist, '^[^\\\\p{L}\\\\p{N}]+', '')")} AS x FROM pair
@@ -191,23 +206,24 @@ WITH entry AS (
 ), shaped AS (
   SELECT *, array_join(xw, '') AS x2, array_join(yw, '') AS y2, array_join(filter(xw, w -> length(w) > 1), '') AS x3,
     try_element_at(filter(xw, w -> length(w) = 1), 1) AS letter, filter(xw, w -> length(w) > 1) AS long FROM worded
-), agreed AS (
-  SELECT DISTINCT artist, entry_artist FROM shaped
+)
+SELECT DISTINCT artist, entry_artist FROM shaped
   WHERE x1 = y1 OR x2 = y2 OR x3 = y2
     OR length(y1) > 3 AND startswith(x_all, y_all) AND length(y_all) > 3
     OR levenshtein(x1, y1, CASE WHEN length(y1) < 5 THEN 0 WHEN length(y1) < 8 THEN 1 ELSE 2 END) >= 0
     OR levenshtein(x2, y2, CASE WHEN length(y2) < 5 THEN 0 WHEN length(y2) < 8 THEN 1 ELSE 2 END) >= 0
     OR levenshtein(x3, y2, CASE WHEN length(y2) < 5 THEN 0 WHEN length(y2) < 8 THEN 1 ELSE 2 END) >= 0
-    OR (letter IS NOT NULL AND size(long) = 1 AND size(yw) = 2 AND exists(yw, w -> levenshtein(w, try_element_at(long, 1), 1) >= 0 AND exists(yw, u -> u <> w AND startswith(u, letter))))
-), meant AS (
-  SELECT c.src, c.row_key, min(struct(c.d, c.catalog_id)) AS best
-  FROM candidate c LEFT JOIN agreed g ON c.artist = g.artist AND c.entry_artist = g.entry_artist
+    OR (letter IS NOT NULL AND size(long) = 1 AND size(yw) = 2 AND exists(yw, w -> levenshtein(w, try_element_at(long, 1), 1) >= 0 AND exists(yw, u -> u <> w AND startswith(u, letter))))"""
+    if name == "meant":
+        return f"""WITH word AS (
+  SELECT collect_set(w) AS words FROM (SELECT explode(split(entry_text, '[^\\\\p{{L}}]+')) AS w FROM {entry}) WHERE length(w) > 2
+)
+SELECT c.src, c.row_key, min(struct(c.d, c.catalog_id)) AS best
+  FROM {candidate} c LEFT JOIN {agreed} g ON c.artist = g.artist AND c.entry_artist = g.entry_artist
   WHERE (c.artist IS NULL OR c.artist = '' OR g.artist IS NOT NULL)
     AND (c.d < 2 OR size(array_except(array_intersect(split(c.v, '[^\\\\p{{L}}]+'), (SELECT words FROM word)), split(c.entry_text, '[^\\\\p{{L}}]+'))) = 0)
-  GROUP BY c.src, c.row_key
-)
-SELECT src, row_key, best.catalog_id AS catalog_id FROM meant
+  GROUP BY c.src, c.row_key"""
+    return f"""SELECT src, row_key, best.catalog_id AS catalog_id FROM {meant}
 UNION ALL
-SELECT t.src, t.row_key, 0L AS catalog_id FROM _typed_rows t LEFT ANTI JOIN meant m ON t.src = m.src AND t.row_key = m.row_key
-WHERE t.title IS NOT NULL AND t.title <> ''
+SELECT t.src, t.row_key, 0L AS catalog_id FROM {typed} t LEFT ANTI JOIN {meant} m ON t.src = m.src AND t.row_key = m.row_key
 """
