@@ -88,6 +88,21 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
+def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import measured, pack
+
+    kinds = [(r.container_kind, r.capacity_tokens) for r in table(spark, sf_dir, "containers").where("capacity_tokens > 0").orderBy("capacity_tokens").collect()]
+    return pack(measured(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text"), "doc_id", kinds)
+
+
+def p8_use(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers of each kind are."""
+    held = p8_packed(spark, sf_dir).groupBy("container_kind", "container_id").agg(F.sum("n_tokens").alias("used"))
+    use = held.groupBy("container_kind").agg(F.count("*").alias("containers"), F.sum("used").alias("tokens"))
+    room = F.col("containers") * F.col("capacity_tokens")
+    return use.join(table(spark, sf_dir, "containers"), "container_kind").select("container_kind", "capacity_tokens", "containers", "tokens", (F.col("tokens") / room).alias("filled"))
+
+
 def p9_residue(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .residue import fit, residue
 
