@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators.multivalue import read_grammar, split_values
 from ..session import spread, table
+from . import library, lists
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,11 +36,11 @@ def p4_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def own_queries() -> dict[str, Query]:
-    return {"p4_found": p4_found, "p4_values": p4_values}
+    return {name: run for name, (run, _) in (library.QUERIES | lists.QUERIES).items()} | {"p4_found": p4_found, "p4_values": p4_values}
 
 
 def own_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in (library.QUERIES | lists.QUERIES).items() if sql}
 
 
 def _text_queries():
