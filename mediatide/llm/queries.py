@@ -123,5 +123,18 @@ def queries() -> dict[str, Query]:
     return {name: f for name, f in sorted(globals().items()) if name[0] == "p" and name[1].isdigit()}
 
 
+_KINDS = " ".join(
+    f"WHEN k IN ({', '.join(repr(x) for x in names)}) THEN {points}"
+    for names, points in (
+        (["flac", "x-flac", "wav", "wave", "ape", "x-ape", "alac", "apple lossless", "m4a/alac", "dsf", "dff", "aiff", "aif", "wavpack", "wv"], 1_000_000),
+    )
+)
+P6_SQL = f"""SELECT group_id, dup_id FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY points DESC, checked_at DESC, dup_id) AS n FROM (
+ SELECT *, (CASE {_KINDS} WHEN k = 'monkey''s audio' THEN 1000000 ELSE 0 END) + (CASE WHEN bitrate > 0 AND bitrate < 10000 THEN bitrate * 1000 WHEN bitrate > 0 AND bitrate <= 50000000 THEN bitrate ELSE 0 END)
+  + trunc(0.1::DOUBLE * CASE sample_rate WHEN 44 THEN 44100 WHEN 88 THEN 88200 WHEN 176 THEN 176400 WHEN 22 THEN 22050 WHEN 11 THEN 11025 ELSE CASE WHEN sample_rate > 0 AND sample_rate < 1000 THEN sample_rate * 1000 WHEN sample_rate > 0 AND sample_rate <= 12288000 THEN sample_rate ELSE 0 END END)::BIGINT
+  + (CASE WHEN coalesce(title, '') <> '' THEN 500 ELSE 0 END) + (CASE WHEN coalesce(artist, '') <> '' THEN 500 ELSE 0 END) + (CASE WHEN coalesce(album, '') <> '' THEN 200 ELSE 0 END) AS points
+ FROM (SELECT *, regexp_replace(lower(trim(coalesce(format, ''))), '^(audio/|\\.)', '') AS k FROM duplicate_songs))) WHERE n = 1"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p6_found": P6_SQL}
