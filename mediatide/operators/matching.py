@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.likeness import ENOUGH, GOOD, candidate_score
+from ..functions.likeness import ENOUGH, GOOD, artist_form, artist_likeness, names_form, quality_bonus, title_form, title_likeness, total_score
 from ..functions.text import clean_title, primary_artist, strip
+from ..session import cut
 
 GRAM = 3
 # fixed values: hits taken from each stage's search
@@ -48,8 +49,10 @@ def search(queries: DataFrame, index: DataFrame, stage: int, top: int) -> DataFr
 
 
 def _scored(found: DataFrame, songs: DataFrame, tracks: DataFrame) -> DataFrame:
-    score = candidate_score(*(F.col(c) for c in ("song_name", "artist", "title", "names", "format", "bitrate")))
-    return found.join(songs, "song_key").join(tracks, "guid").select("song_key", "stage", "pos", "guid", score.alias("score"))
+    """Finds with their scores; the forms that are compared were made once per song and per track."""
+    score = total_score(title_likeness(F.col("song_form"), F.col("title_form")), artist_likeness(F.col("artist_form"), F.col("names_form")), F.col("bonus"))
+    wanted, there = songs.select("song_key", "song_form", "artist_form"), tracks.select("guid", "title_form", "names_form", "bonus")
+    return found.join(wanted, "song_key").join(there, "guid").select("song_key", "stage", "pos", "guid", score.alias("score"))
 
 
 def match_songs(songs: DataFrame, tracks: DataFrame) -> DataFrame:
@@ -61,17 +64,18 @@ def match_songs(songs: DataFrame, tracks: DataFrame) -> DataFrame:
     scores go to the earlier find; a score of 0 never wins. Null names read as empty.
     """
     songs = songs.select("song_key", F.coalesce("song_name", F.lit("")).alias("song_name"), F.coalesce("artist", F.lit("")).alias("artist"))
-    songs = songs.withColumns({"clean": clean_title(F.col("song_name")), "first": primary_artist(F.col("artist"))})
+    songs = cut(songs.withColumns({"clean": clean_title(F.col("song_name")), "first": primary_artist(F.col("artist")), "song_form": title_form(F.col("song_name")), "artist_form": artist_form(F.col("artist"))}))
     tracks = tracks.select("guid", F.coalesce("title", F.lit("")).alias("title"), F.transform(F.coalesce("names", F.array().cast("array<string>")), lambda n: F.coalesce(n, F.lit(""))).alias("names"), "format", "bitrate")
-    index = title_index(tracks)
-    one = _scored(search(songs.select("song_key", F.col("clean").alias("query")), index, 1, TOP[1]), songs, tracks)
+    tracks = cut(tracks.select("guid", "title", title_form(F.col("title")).alias("title_form"), names_form(F.col("names")).alias("names_form"), quality_bonus(F.col("format"), F.col("bitrate")).alias("bonus")))
+    index = cut(title_index(tracks))
+    one = cut(_scored(search(songs.select("song_key", F.col("clean").alias("query")), index, 1, TOP[1]), songs, tracks))
     state = songs.join(one.groupBy("song_key").agg(F.count("*").alias("n"), F.max("score").alias("best")), "song_key", "left")
     open_ = state.where(F.coalesce("best", F.lit(0.0)) < GOOD)
     raw = open_.where((F.coalesce("n", F.lit(0)) < 5) & (F.col("song_name") != "") & (F.col("song_name") != F.col("clean")))
-    two = _scored(search(raw.select("song_key", F.col("song_name").alias("query")), index, 2, TOP[2]), songs, tracks)
+    two = cut(_scored(search(raw.select("song_key", F.col("song_name").alias("query")), index, 2, TOP[2]), songs, tracks))
     so_far = one.unionByName(two)
-    none = songs.where(F.col("first") != "").join(so_far.select("song_key").distinct(), "song_key", "left_anti")
-    three = _scored(search(none.select("song_key", strip(F.concat_ws(" ", "clean", "first")).alias("query")), index, 3, TOP[3]), songs, tracks)
+    none = cut(songs.where(F.col("first") != "").join(so_far.select("song_key").distinct(), "song_key", "left_anti"))
+    three = cut(_scored(search(none.select("song_key", strip(F.concat_ws(" ", "clean", "first")).alias("query")), index, 3, TOP[3]), songs, tracks))
     still = none.join(three.select("song_key").distinct(), "song_key", "left_anti")
     four = _scored(search(still.select("song_key", F.col("first").alias("query")), index, 4, TOP[4]), songs, tracks)
     all_ = so_far.unionByName(three).unionByName(four)
