@@ -123,8 +123,8 @@ def split_fields(texts: pa.Array, grammar: Grammar) -> pa.ListArray:
             while at >= 0:
                 end = at + len(form)
                 # a name is protected where it stands as a whole word
-                before = at == starts[row[at]] or not (buf[at - 1 : at].isalnum() or buf[at - 1] > 127 and form[0] > 127)
-                after = end == ends[row[at]] or not buf[end : end + 1].isalnum()
+                before = at == starts[row[at]] or not buf[max(at - 4, 0) : at].decode("utf-8", "ignore")[-1:].isalnum()
+                after = end == ends[row[at]] or not buf[end : end + 4].decode("utf-8", "ignore")[:1].isalnum()
                 if inside_one_row(at, end) and before and after and free[at]:
                     free[at:end] = False
                 at = low.find(form, end)

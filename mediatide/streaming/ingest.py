@@ -9,9 +9,12 @@ from ..operators.progress import counters, windowed
 from ..operators.store import ParquetStore
 
 
+FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
+
+
 def files_as_they_come(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """New files below a folder: path, modification time and length; contents are read only if asked for."""
-    return spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
+    return spark.readStream.schema(FILE_SCHEMA).format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
 
 
 def merge_into(stream: DataFrame, store: ParquetStore, keys: list[str], order: list[Column], checkpoint: str) -> StreamingQuery:
