@@ -47,22 +47,39 @@ def _words():
     return regex.compile(PATTERN)
 
 
-def cut_text(text: str, split: int = SPLIT, leaf: int = LEAF) -> list[tuple[str, bool]]:
-    """The parts of a text, each with whether it goes on inside the word of the part before."""
-    parts: list[tuple[str, bool]] = []
+def cut_text(text: str, split: int = SPLIT, leaf: int = LEAF) -> list[tuple[str, bool, bool]]:
+    """The parts of a text: each with whether it goes on inside the word of the part before, and whether it is a
+    stretch of one word, to be encoded without pre-tokenisation.
+
+    A blank before a cut would be tokenised differently at a part's end, so blanks there are parts of their own.
+    """
+    parts: list[tuple[str, bool, bool]] = []
     start = 0
+    blanks: list[tuple[int, int]] = []
+
+    def flush(end: int) -> None:
+        body = blanks[0][0] if blanks else end
+        if body > start:
+            parts.append((text[start:body], False, False))
+        parts.extend((text[a:b], False, True) for a, b in blanks)
+        blanks.clear()
+
     for m in _words().finditer(text):
         a, b = m.span()
         if b - a > leaf:
-            if a > start:
-                parts.append((text[start:a], False))
-            parts += [(text[i : min(i + leaf, b)], i > a) for i in range(a, b, leaf)]
+            flush(a)
+            parts += [(text[i : min(i + leaf, b)], i > a, True) for i in range(a, b, leaf)]
             start = b
-        elif b - start > split and a > start:
-            parts.append((text[start:a], False))
+            continue
+        if b - start > split and a > start:
+            flush(a)
             start = a
+        if m[0].isspace():
+            blanks.append((a, b))
+        else:
+            blanks.clear()
     if start < len(text):
-        parts.append((text[start:], False))
+        parts.append((text[start:], False, False))
     return parts
 
 
@@ -130,7 +147,7 @@ def encode_corpus(df: DataFrame, key: str, column: str, folder: str = TOKENIZERS
                 n = len(parts)
                 yield pa.RecordBatch.from_arrays(
                     [one.column("_row").take(pa.array([0] * n)), one.column(key).take(pa.array([0] * n)), pa.array(range(n), pa.int32()),
-                     pa.array([p[1] or (k + 1 < n and parts[k + 1][1]) for k, p in enumerate(parts)]), pa.array([p[1] for p in parts]), pa.array([p[0] for p in parts], pa.string())],
+                     pa.array([p[2] for p in parts]), pa.array([p[1] for p in parts]), pa.array([p[0] for p in parts], pa.string())],
                     names=["_row", key, "part", "inside", "goes_on", "piece"],
                 )
 
