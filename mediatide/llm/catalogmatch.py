@@ -38,7 +38,7 @@ def _fold_table() -> dict[str, str]:
     table |= {c: to for c, to in LATIN.items() if len(to) == 1} | {"Đ": "d", "Ø": "o", "Ł": "l"}
     for c in "               　\t_":
         table[c] = " "
-    table |= dict.fromkeys("‐‑‒–—", "-")
+    table |= dict.fromkeys("‐‑‒–—", "-") | {"＿": " "}
     # fixed values: lower-case letters of other scripts that look like Latin ones
     alike = dict(zip("аеорсхуіјѕһвнмткαορνικχυτμηεζβγ", "aeopcxyijshbhmtkaopvikxutmhezby", strict=True))
     for c, to in list(table.items()):
@@ -123,7 +123,7 @@ def match_titles(spark: SparkSession, typed: DataFrame, catalog: DataFrame) -> D
     ``typed`` has src, row_key, title and artist (the field as typed; its first value counts); rows whose title is
     null or empty give no row. ``catalog`` has catalog_id, title, artist. An entry is meant if the titles agree
     within the errors allowed for their length, in every stand-alone number, and the artists agree in some
-    spelling; without an artist the title decides. Nearer titles win, then the lower id.
+    spelling; without an artist (null, empty or ``未知歌手``) the title decides. Nearer titles win, then the lower id.
     """
     few = catalog.select("catalog_id").limit(MAX_BROADCAST_ENTRIES + 1).count() <= MAX_BROADCAST_ENTRIES
     views = {name: f"_titles_{uuid.uuid4().hex}_{name}" for name in ("typed", "catalog", *STEPS)}
@@ -160,8 +160,13 @@ def statement(name: str, views: dict[str, str], few: bool = True) -> str:
 ), noted AS (
   SELECT src, row_key, artist, regexp_replace(CASE WHEN b RLIKE '[\\\\p{{L}}\\\\p{{N}}]' THEN b ELSE a END, '(?:[\\\\s\\\\-]+(?:{_NOTES}))+[^\\\\p{{L}}\\\\p{{N}}]*$', '') AS c FROM bare
 )
-SELECT DISTINCT src, row_key, artist, v, {key_sql('v')} AS q, {numbers_sql('v')} AS numbers
-  FROM noted LATERAL VIEW explode(array_distinct(array(c, regexp_replace(c, '^.*? - ', ''), regexp_replace(c, ' - .*$', '')))) x AS v"""
+SELECT DISTINCT src, row_key, x.a AS artist, x.v AS v, {key_sql('x.v')} AS q, {numbers_sql('x.v')} AS numbers
+  FROM noted LATERAL VIEW explode(array_distinct(array(
+    struct(c AS v, artist AS a), struct(regexp_replace(c, '^.*? - ', '') AS v, artist AS a),
+    -- what stands behind the dash tells the artist where the field doesn't
+    struct(regexp_replace(c, ' - .*$', '') AS v, CASE WHEN coalesce(artist, '') = '' AND c LIKE '% - %' THEN regexp_replace(c, '^.*? - ', '') ELSE artist END AS a),
+    struct(CASE WHEN levenshtein(split(c, ' ')[0], 'the', 1) >= 0 OR split(c, ' ')[0] IN ('teh', 'hte') THEN regexp_replace(c, '^[^ ]+ ', '') ELSE c END AS v, artist AS a)
+  ))) t AS x"""
     if name == "close":
         return f"""WITH ref AS (
   SELECT DISTINCT ref, length(ref) AS n, {_ERRORS.format(n='length(ref)')} AS k FROM {entry} WHERE ref <> ''
@@ -220,7 +225,7 @@ SELECT DISTINCT artist, entry_artist FROM shaped
 )
 SELECT c.src, c.row_key, min(struct(c.d, c.catalog_id)) AS best
   FROM {candidate} c LEFT JOIN {agreed} g ON c.artist = g.artist AND c.entry_artist = g.entry_artist
-  WHERE (c.artist IS NULL OR c.artist = '' OR g.artist IS NOT NULL)
+  WHERE (c.artist IS NULL OR c.artist IN ('', '未知歌手') OR g.artist IS NOT NULL)
     AND (c.d < 2 OR size(array_except(array_intersect(split(c.v, '[^\\\\p{{L}}]+'), (SELECT words FROM word)), split(c.entry_text, '[^\\\\p{{L}}]+'))) = 0)
   GROUP BY c.src, c.row_key"""
     return f"""SELECT src, row_key, best.catalog_id AS catalog_id FROM {meant}
