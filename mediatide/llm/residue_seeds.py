@@ -65,8 +65,8 @@ lost the page for No More Whistles, anyone?|null points from me|error on my side
 Songs that were not found are shown at the end of the report together with the best score.|没有匹配到的歌会和最高得分一起列在报告末尾。|scan finished: 381 files, 12 mismatched, 3 failed|扫描完成：共381个文件，12个不匹配，3个失败
 """
 SLOTS = """artist artistName artist_name singer performer ARTIST album albumName album.title ALBUM title TITLE track.name track.title songName song_title name year YEAR release_year place PLACE city location LOCATION birth_place instrument INSTRUMENT count copies num NUM NUMBER date label genre user.name 年份 专辑 歌手 歌名 城市 乐器""".split()
-STYLES = ["{{%s}}", "{{ %s }}", "{{{%s}}}", "{%s}", "${%s}", "#{%s}", "<%%= %s %%>", "%%%s%%", "[[%s]]", "[%s]", "<%s>", "__%s__", "[insert %s here]", "INSERT %s HERE", "{{%s|default}}", "{%% %s %%}", "*|%s|*", "«%s»", "$%s$", "&lt;%s&gt;", "<%s goes here>", "[%s?]"]
-MARKS = ["XXXX", "TBD", "undefined", "[object Object]", "______", "TODO", "???", "?????", "N/A", "None", "null", "%s", "NaN"]
+STYLES = ["{{%s}}", "{{ %s }}", "{{{%s}}}", "{%s}", "${%s}", "#{%s}", "<%%= %s %%>", "%%%s%%", "[[%s]]", "[%s]", "<%s>", "__%s__", "[insert %s here]", "INSERT %s HERE", "{{%s|default}}", "{%% %s %%}", "*|%s|*", "«%s»", "$%s$", "&lt;%s&gt;", "<%s goes here>", "[%s?]", "[Your %s]", "(%s to be added)", "%%(%s)s"]
+MARKS = ["XXXX", "TBD", "undefined", "[object Object]", "______", "???", "?????", "N/A", "None", "null", "%s", "NaN"]
 
 
 def lines(block: str) -> list[str]:
