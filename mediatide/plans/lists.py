@@ -226,7 +226,8 @@ def _responses(spark, sf):
     ids = F.transform(F.array_sort(F.collect_list(F.struct("song_index", "song_id"))), lambda x: F.struct(x["song_id"].alias("id")))
     detail = F.struct(F.col("song_id").alias("id"), F.col("song_name").alias("name"), F.array(F.struct(F.col("artist").alias("name")), F.struct(F.lit("").alias("name"))).alias("ar"))
     songs = F.collect_list(F.when(F.col("song_id") % 5 != 0, detail))
-    r = s.dropDuplicates(["history_id", "song_index"]).groupBy("history_id").agg(ids.alias("t"), songs.alias("songs"))
+    one = s.groupBy("history_id", "song_index").agg(F.min(F.struct("song_id", "song_name", "artist")).alias("s")).select("history_id", "song_index", "s.*")
+    r = one.groupBy("history_id").agg(ids.alias("t"), songs.alias("songs"))
     return r.select(F.to_json(F.struct(F.lit(200).alias("code"), F.struct(F.col("history_id").alias("id"), F.lit("x").alias("name"), F.col("t").alias("trackIds")).alias("playlist"), "songs")).alias("j"))
 
 
@@ -244,7 +245,7 @@ def first_numeric_key(spark, sf):
 
 def album_polymorphic(spark, sf):
     t = table(spark, sf, "tracks")
-    kind = F.crc32("guid") % 2
+    kind = F.ascii(F.substring("guid", -1, 1)) % 2
     j = F.when(F.col("album").isNull(), F.lit("{}")).when(kind == 0, F.to_json("album")).otherwise(F.concat(F.lit('"'), F.regexp_replace(F.coalesce("album.title", F.lit("")), r'(["\\])', r"\\$1"), F.lit('"')))
     return t.select("guid", playlists.album_name(j).alias("name"))
 
@@ -420,9 +421,9 @@ QUERIES = {
     "playlist_titles": (playlist_titles, "SELECT id, CASE WHEN coalesce(title, '') = '' THEN 'QQ音乐歌单_' || id ELSE title END AS shown FROM playlist_history"),
     "track_totals": (track_totals, f"SELECT coalesce({PLATFORM_SQL}, 'unknown') AS found, sum(coalesce(song_count, 0))::BIGINT AS stated, sum(coalesce(n, song_count, 0))::BIGINT AS calibrated FROM playlist_history LEFT JOIN (SELECT history_id, count(*) AS n FROM songs GROUP BY 1) s ON id = s.history_id GROUP BY 1"),
     "response_status": (response_status, "SELECT id, CASE WHEN id % 7 = 0 THEN 'private' WHEN id % 7 = 1 OR id % 11 = 0 THEN 'not_found' WHEN id % 5 = 0 THEN 'empty' ELSE 'ok' END AS status FROM playlist_history"),
-    "listed_songs": (listed_songs, None),
+    "listed_songs": (listed_songs, "SELECT history_id AS list_id, count(*) AS n, 0::BIGINT AS open_ends FROM (SELECT history_id, song_index, min(song_id) AS s FROM songs GROUP BY 1, 2) WHERE s % 5 <> 0 GROUP BY 1"),
     "first_numeric_key": (first_numeric_key, "SELECT id, CASE id % 3 WHEN 0 THEN 7 WHEN 1 THEN id ELSE 0 END AS n FROM playlist_history"),
-    "album_polymorphic": (album_polymorphic, None),
+    "album_polymorphic": (album_polymorphic, "SELECT guid, CASE WHEN album IS NULL THEN '' WHEN ascii(right(guid, 1)) % 2 = 0 THEN coalesce(nullif(album.name, ''), nullif(album.title, ''), '') ELSE coalesce(album.title, '') END AS name FROM tracks"),
     "track_artists": (track_artists, "SELECT guid, coalesce(list_aggregate(list_filter(list_transform(artists, lambda a: a.name), lambda n: n IS NOT NULL AND n <> ''), 'string_agg', ' / '), '') AS artists FROM tracks"),
     "map_merge": (map_merge, "SELECT string_agg(ext || ':' || n, ',' ORDER BY ext) AS counts FROM (SELECT lower(regexp_extract(file_path, '(\\.[^./]*)$', 1)) AS ext, count(*) AS n FROM audio_fingerprints WHERE regexp_matches(file_path, '^/vol[12]/') GROUP BY 1) WHERE ext IN ('.mp3', '.m4a', '.aac', '.flac', '.wav', '.ogg', '.opus', '.wma', '.ape', '.alac', '.aif', '.aiff', '.dsf', '.dff', '.mp4', '.m4b', '.wv', '.mpc', '.ac3', '.dts')"),
     "title_score": (title_score, f"SELECT song_key, guid, round(ts, 6) AS score FROM ({_scored_sql(NEAR_SQL)})"),
