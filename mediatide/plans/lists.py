@@ -11,6 +11,7 @@ from ..functions.media import PLATFORM_NAMES, lookup
 from ..operators import catalog, matching, playlists, progress, store
 from ..sources import pages
 from ..session import table
+from ..streaming.ingest import run_to_end, table_stream
 
 RUN_TS = 1_735_689_600
 _TRIM = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
@@ -385,6 +386,12 @@ def progress_windowed(spark, sf):
     return progress.windowed(e).select(F.unix_timestamp("window_start").alias("start_s"), "outcome", "n")
 
 
+def stream_progress(spark, sf):
+    """The same counts per hour by a stream over the table's files; there are as many as hours, whatever the rows."""
+    e = table_stream(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), progress.outcome(F.col("event_type")).alias("outcome"))
+    return run_to_end(progress.windowed(e)).select(F.unix_timestamp("window_start").alias("start_s"), "outcome", "n")
+
+
 def shown_dates(spark, sf):
     h = table(spark, sf, "playlist_history")
     at = F.timestamp_seconds(F.coalesce("created_at", F.lit(0)))
@@ -436,5 +443,6 @@ QUERIES = {
     "library_matches": (library_matches, None),
     "progress_counters": (progress_counters, f"SELECT user_id, total, mismatched, failed, greatest(0, total - mismatched - failed) AS ok, floor((total - failed) * 100.0::DOUBLE / total + 0.5::DOUBLE)::BIGINT AS percent FROM (SELECT user_id, count(*) AS total, count(*) FILTER (o = 'mismatched') AS mismatched, count(*) FILTER (o = 'failed') AS failed FROM (SELECT user_id, {OUTCOME_SQL} AS o FROM events) GROUP BY 1)"),
     "progress_windowed": (progress_windowed, f"SELECT epoch(date_trunc('hour', ts))::BIGINT AS start_s, {OUTCOME_SQL} AS outcome, count(*) AS n FROM events GROUP BY 1, 2"),
+    "stream_progress": (stream_progress, f"SELECT epoch(date_trunc('hour', ts))::BIGINT AS start_s, {OUTCOME_SQL} AS outcome, count(*) AS n FROM events GROUP BY 1, 2"),
     "shown_dates": (shown_dates, f"SELECT id, strftime(make_timestamp(coalesce(created_at, 0) * 1000000), '%m/%d %H:%M') AS short, '导入歌单 ' || strftime(make_timestamp(coalesce(created_at, 0) * 1000000), '%Y-%m-%d %H:%M') AS name, {RUN_TS} - coalesce(created_at, 0) AS age FROM playlist_history"),
 }

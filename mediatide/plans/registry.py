@@ -46,7 +46,7 @@ def own_sql() -> dict[str, str]:
 def _text_queries():
     try:
         return importlib.import_module("mediatide.llm.queries")
-    except ModuleNotFoundError:
+    except ImportError:
         return None
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -32,6 +34,23 @@ def live_counters(events: DataFrame, by: list[str], name: str) -> StreamingQuery
     return counters(events, by).writeStream.outputMode("complete").format("memory").queryName(name).start()
 
 
+def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table of a data directory as a stream of its files, whether it is one file or a folder of files."""
+    path = f"{folder}/{name}.parquet"
+    schema = spark.read.parquet(path).schema
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        return spark.readStream.schema(schema).parquet(path)
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+
+
+def run_to_end(counts: DataFrame) -> DataFrame:
+    """What a stream of counts comes to once all that is there has been read. The result must be small: it is held in memory."""
+    name = f"counts_{uuid.uuid4().hex}"
+    counts.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
+    return counts.sparkSession.table(name)
+
+
 def live_windows(events: DataFrame, name: str, width: str = "1 hour", late: str = "10 minutes") -> StreamingQuery:
     """Counts per window, each written once its window is past the watermark."""
     return windowed(events, width, late).writeStream.outputMode("append").format("memory").queryName(name).start()
