@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.media import song_score
+from ..session import cut
 from .ordering import numbered
 
 TOLERANCE = 30.0
@@ -26,20 +27,27 @@ def cluster_ids(valid: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     A duration of 0 (or null) is unknown and never starts a new cluster.
     """
     points = valid.select("fingerprint", F.coalesce("duration", F.lit(0.0)).alias("duration")).distinct()
-    w = Window.partitionBy("fingerprint").orderBy("duration")
+    return _with_cluster(points, Window.partitionBy("fingerprint").orderBy("duration"), tolerance)
+
+
+def _with_cluster(points: DataFrame, w, tolerance: float) -> DataFrame:
     before = F.lag("duration").over(w)
     split = F.when((before > 0) & (F.col("duration") > 0) & (F.col("duration") - before > tolerance), 1).otherwise(0)
     return points.withColumn("_split", split).withColumn("cid", F.sum("_split").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("bigint")).drop("_split")
 
 
 def clustered(prints: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
-    """The valid rows with their cluster and score, only those whose cluster has two rows or more."""
-    valid = valid_fingerprints(prints).withColumn("duration", F.coalesce("duration", F.lit(0.0)))
-    ids = cluster_ids(valid, tolerance)
-    counts = valid.groupBy("fingerprint", "duration").agg(F.count("*").alias("n")).join(ids, ["fingerprint", "duration"])
-    several = counts.groupBy("fingerprint", "cid").agg(F.sum("n").alias("song_count")).where("song_count >= 2")
-    wanted = ids.join(several, ["fingerprint", "cid"])
-    return valid.join(wanted, ["fingerprint", "duration"]).withColumn("score", song_score(*(F.col(c) for c in ("format", "bitrate", "sample_rate", "title", "artist", "album"))))
+    """``(fingerprint, duration, file_path, file_size, score, cid, song_count)`` of the valid rows whose cluster has two rows or more.
+
+    The narrow rows that three steps read are written once.
+    """
+    score = song_score(*(F.col(c) for c in ("format", "bitrate", "sample_rate", "title", "artist", "album")))
+    valid = cut(valid_fingerprints(prints).select("fingerprint", F.coalesce("duration", F.lit(0.0)).alias("duration"), "file_path", "file_size", score.alias("score")))
+    counts = valid.groupBy("fingerprint", "duration").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("fingerprint").orderBy("duration")
+    ids = _with_cluster(counts, w, tolerance)
+    several = ids.withColumn("song_count", F.sum("n").over(Window.partitionBy("fingerprint", "cid"))).where("song_count >= 2").drop("n")
+    return valid.join(several, ["fingerprint", "duration"])
 
 
 def _best():
