@@ -82,7 +82,9 @@ def _roman_sql(column: str) -> str:
     initial, vowel, final = ("array(" + ", ".join(_quote(x) for x in part) + ")" for part in HANGUL)
     o = "(ascii(c) - 44032)"
     hangul = f"concat(element_at({initial}, cast({o} div 588 as int) + 1), element_at({vowel}, cast(({o} % 588) div 28 as int) + 1), element_at({final}, cast({o} % 28 as int) + 1))"
-    letters = f"array_join(transform(split({{s}}, ''), c -> CASE WHEN ascii(c) < 128 THEN c WHEN ascii(c) BETWEEN 44032 AND 55203 THEN {hangul} ELSE coalesce(try_element_at(map({entries}), c), c) END), '')"
+    # letters of Hangul written loose: initials, vowels and finals have ranges of their own
+    jamo = f"WHEN ascii(c) BETWEEN 4352 AND 4370 THEN element_at({initial}, cast(ascii(c) - 4351 as int)) WHEN ascii(c) BETWEEN 4449 AND 4469 THEN element_at({vowel}, cast(ascii(c) - 4448 as int)) WHEN ascii(c) BETWEEN 4520 AND 4546 THEN element_at({final}, cast(ascii(c) - 4518 as int))"
+    letters = f"array_join(transform(split({{s}}, ''), c -> CASE WHEN ascii(c) < 128 THEN c WHEN ascii(c) BETWEEN 44032 AND 55203 THEN {hangul} {jamo} ELSE coalesce(try_element_at(map({entries}), c), c) END), '')"
     words = column
     for w, r in KOREAN_WORDS.items():
         words = f"replace({words}, {_quote(w)}, {_quote(r)})"
@@ -149,8 +151,9 @@ def statement(name: str, views: dict[str, str], few: bool = True) -> str:
     hint = "/*+ BROADCAST(s) */" if few else ""
     hint_c = "/*+ BROADCAST(e) */" if few else ""
     if name == "entry":
-        return f"""SELECT catalog_id, artist AS entry_artist, f AS entry_text, {key_sql('f')} AS ref, {numbers_sql('f')} AS numbers
-  FROM (SELECT catalog_id, artist, {fold_sql('title')} AS f FROM {catalog})"""
+        return f"""SELECT DISTINCT catalog_id, entry_artist, entry_text, ref, numbers FROM (
+    SELECT catalog_id, artist AS entry_artist, f AS entry_text, {key_sql('f')} AS ref1, {numbers_sql('f')} AS numbers FROM (SELECT catalog_id, artist, {fold_sql('title')} AS f FROM {catalog})
+  ) LATERAL VIEW explode(CASE WHEN ref1 RLIKE '[\\uac00-\\ud7a3]' THEN array(ref1, {_roman_sql('ref1')}) ELSE array(ref1) END) x AS ref"""
     if name == "reading":
         return f"""WITH folded AS (
   SELECT src, row_key, artist, trim(regexp_replace(regexp_replace({fold_sql('title')}, '\\\\s+', ' '), '^\\\\s*\\\\d{{1,3}}\\\\s*(?:[.)、]|-\\\\s)\\\\s*', '')) AS a
@@ -160,7 +163,7 @@ def statement(name: str, views: dict[str, str], few: bool = True) -> str:
 ), noted AS (
   SELECT src, row_key, artist, regexp_replace(CASE WHEN b RLIKE '[\\\\p{{L}}\\\\p{{N}}]' THEN b ELSE a END, '(?:[\\\\s\\\\-]+(?:{_NOTES}))+[^\\\\p{{L}}\\\\p{{N}}]*$', '') AS c FROM bare
 )
-SELECT DISTINCT src, row_key, x.a AS artist, x.v AS v, {key_sql('x.v')} AS q, {numbers_sql('x.v')} AS numbers
+SELECT DISTINCT src, row_key, x.a AS artist, x.v AS v, CASE WHEN x.v RLIKE '[\\u1100-\\u11ff]' THEN {_roman_sql(key_sql('x.v'))} ELSE {key_sql('x.v')} END AS q, {numbers_sql('x.v')} AS numbers
   FROM noted LATERAL VIEW explode(array_distinct(array(
     struct(c AS v, artist AS a), struct(regexp_replace(c, '^.*? - ', '') AS v, artist AS a),
     -- what stands behind the dash tells the artist where the field doesn't
