@@ -2,11 +2,13 @@
 
 A search is a case-insensitive substring of the title. It is an equality join, not a nested loop: a title is
 indexed by its distinct 3-grams, and a query looks up the one of its own 3-grams that the fewest titles have; the
-substring is checked on what that finds. Queries shorter than three characters use the index of their own length.
+substring is checked on what that finds.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,25 +26,34 @@ def _grams(text, size: int):
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - (size - 1))), lambda i: F.substring(text, i, size)))
 
 
-def title_index(tracks: DataFrame) -> DataFrame:
-    """``(gram, guid, low)`` for grams of one to three characters of each lower-cased title; empty guids are left out."""
-    low = tracks.where(F.col("guid").isNotNull() & (F.col("guid") != "")).select("guid", F.lower(F.coalesce("title", F.lit(""))).alias("low"))
-    grams = F.flatten(F.array(*(F.when(F.length("low") >= size, _grams(F.col("low"), size)).otherwise(F.array().cast("array<string>")) for size in range(1, GRAM + 1))))
-    return low.select("guid", "low", F.explode(F.array_distinct(grams)).alias("gram"))
+@dataclass
+class TitleIndex:
+    """Lower-cased titles (``guid``, ``low``) and their distinct 3-grams (``gram``, ``guid``, ``low``)."""
+
+    titles: DataFrame
+    grams: DataFrame
+
+
+def title_index(tracks: DataFrame) -> TitleIndex:
+    """The index of the tracks' titles, written once; empty guids are left out."""
+    low = cut(tracks.where(F.col("guid").isNotNull() & (F.col("guid") != "")).select("guid", F.lower(F.coalesce("title", F.lit(""))).alias("low")))
+    return TitleIndex(low, cut(low.where(F.length("low") >= GRAM).select("guid", "low", F.explode(_grams(F.col("low"), GRAM)).alias("gram"))))
 
 
-def search(queries: DataFrame, index: DataFrame, stage: int, top: int) -> DataFrame:
+def search(queries: DataFrame, index: TitleIndex, stage: int, top: int) -> DataFrame:
     """``(song_key, stage, pos, guid)``: the first ``top`` titles (by guid) that contain each query; empty queries find nothing.
 
-    ``queries`` has song_key and query. Each distinct query is searched once.
+    ``queries`` has song_key and query. Each distinct query is searched once. Queries of one or two characters
+    look for themselves among the titles' grams of that length.
     """
     q = queries.select(F.lower("query").alias("query")).where(F.col("query") != "").distinct()
-    size = F.least(F.length("query"), F.lit(GRAM))
-    own = F.when(size == 1, _grams(F.col("query"), 1)).when(size == 2, _grams(F.col("query"), 2)).otherwise(_grams(F.col("query"), GRAM))
-    wanted = q.select("query", F.explode(own).alias("gram"))
-    counts = index.groupBy("gram").agg(F.count("*").alias("n"))
+    wanted = q.where(F.length("query") >= GRAM).select("query", F.explode(_grams(F.col("query"), GRAM)).alias("gram"))
+    counts = index.grams.groupBy("gram").agg(F.count("*").alias("n"))
     rarest = wanted.join(counts, "gram", "left").groupBy("query").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("r")).select("query", F.col("r.gram").alias("gram"))
-    hits = rarest.join(index, "gram").where(F.col("low").contains(F.col("query"))).select("query", "guid")
+    hits = rarest.join(index.grams, "gram").where(F.col("low").contains(F.col("query"))).select("query", "guid")
+    short = q.where(F.length("query") < GRAM).select("query", F.col("query").alias("gram"))
+    some = index.titles.select("guid", F.explode(F.array_distinct(F.concat(_grams(F.col("low"), 1), _grams(F.col("low"), 2)))).alias("gram"))
+    hits = hits.unionByName(some.join(short, "gram").select("query", "guid"))
     w = Window.partitionBy("query").orderBy("guid")
     best = hits.withColumn("pos", F.row_number().over(w).cast("bigint")).where(F.col("pos") <= top)
     return queries.select("song_key", F.lower("query").alias("query")).join(best, "query").select("song_key", F.lit(stage).alias("stage"), "pos", "guid")
@@ -67,7 +78,7 @@ def match_songs(songs: DataFrame, tracks: DataFrame) -> DataFrame:
     songs = cut(songs.withColumns({"clean": clean_title(F.col("song_name")), "first": primary_artist(F.col("artist")), "song_form": title_form(F.col("song_name")), "artist_form": artist_form(F.col("artist"))}))
     tracks = tracks.select("guid", F.coalesce("title", F.lit("")).alias("title"), F.transform(F.coalesce("names", F.array().cast("array<string>")), lambda n: F.coalesce(n, F.lit(""))).alias("names"), "format", "bitrate")
     tracks = cut(tracks.select("guid", "title", title_form(F.col("title")).alias("title_form"), names_form(F.col("names")).alias("names_form"), quality_bonus(F.col("format"), F.col("bitrate")).alias("bonus")))
-    index = cut(title_index(tracks))
+    index = title_index(tracks)
     one = cut(_scored(search(songs.select("song_key", F.col("clean").alias("query")), index, 1, TOP[1]), songs, tracks))
     state = songs.join(one.groupBy("song_key").agg(F.count("*").alias("n"), F.max("score").alias("best")), "song_key", "left")
     open_ = state.where(F.coalesce("best", F.lit(0.0)) < GOOD)
