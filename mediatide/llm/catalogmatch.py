@@ -233,5 +233,5 @@ SELECT c.src, c.row_key, min(struct(c.d, c.catalog_id)) AS best
   GROUP BY c.src, c.row_key"""
     return f"""SELECT src, row_key, best.catalog_id AS catalog_id FROM {meant}
 UNION ALL
-SELECT t.src, t.row_key, 0L AS catalog_id FROM {typed} t LEFT ANTI JOIN {meant} m ON t.src = m.src AND t.row_key = m.row_key
+SELECT t.src, t.row_key, 0L AS catalog_id FROM {typed} t LEFT ANTI JOIN {meant} m ON t.src <=> m.src AND t.row_key <=> m.row_key
 """

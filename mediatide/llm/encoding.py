@@ -131,8 +131,8 @@ def encode_corpus(df: DataFrame, key: str, column: str, folder: str = TOKENIZERS
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(folder)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 got = enc.encode_ordinary_batch([_clean(t) for t in part.column(1).to_pylist()], num_threads=1)
                 size = np.fromiter(map(len, got), np.int64, len(got))
                 flat = np.fromiter((i for g in got for i in g), np.int32, int(size.sum()))

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +26,8 @@ DIMENSIONS, BITS = 4, 8
 BUCKETS = 1 << 12
 #: Documents of the curve that are packed together; a whole stretch is at most this long, whatever the input.
 STRETCH = 8_192
+#: Characters that are looked at in one go.
+MOST_CHARS = 2_000_000
 
 
 def hilbert_index(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -62,24 +65,52 @@ def _projection() -> np.ndarray:
     return np.random.default_rng(20240229).choice(np.array([-1.0, 1.0], np.float32), size=(BUCKETS, DIMENSIONS))
 
 
+def _gram_buckets(codes: np.ndarray) -> np.ndarray:
+    h = codes[:-3] * np.uint32(2654435761) ^ codes[1:-2] * np.uint32(2246822519) ^ codes[2:-1] * np.uint32(3266489917) ^ codes[3:] * np.uint32(668265263)
+    return (h >> np.uint32(20)).astype(np.int64) & (BUCKETS - 1)
+
+
 def curve_keys(texts: list[str], signs: np.ndarray) -> np.ndarray:
     """Place on the curve of each text: hashed character 4-grams, signs summed, squashed to the grid."""
+    if len(texts) == 1 and len(texts[0]) > MOST_CHARS:
+        # a text beyond all measure is counted bucket by bucket, a stretch at a time
+        total = np.zeros(BUCKETS, np.int64)
+        for at in range(0, len(texts[0]) - 3, MOST_CHARS):
+            codes = np.frombuffer(texts[0][at : at + MOST_CHARS + 3].encode("utf-32-le", "replace"), np.uint32)
+            total += np.bincount(_gram_buckets(codes), minlength=BUCKETS)
+        return _places((total @ signs.astype(np.float64) / np.sqrt(len(texts[0])))[None])
     size = np.fromiter((len(t) for t in texts), np.int64, len(texts))
     codes = np.frombuffer("".join(texts).encode("utf-32-le", "replace"), np.uint32)
     out = np.zeros((len(texts), DIMENSIONS), np.float64)
     if len(codes) >= 4:
-        h = codes[:-3] * np.uint32(2654435761) ^ codes[1:-2] * np.uint32(2246822519) ^ codes[2:-1] * np.uint32(3266489917) ^ codes[3:] * np.uint32(668265263)
-        vectors = signs[(h >> np.uint32(20)).astype(np.int64) & (BUCKETS - 1)]
+        vectors = signs[_gram_buckets(codes)]
         run = np.concatenate((np.zeros((1, DIMENSIONS)), np.cumsum(vectors, axis=0, dtype=np.float64)))
         ends = np.cumsum(size)
         begins = ends - size
         last = np.maximum(begins, np.minimum(ends - 3, len(run) - 1))
         has = size >= 4
         out[has] = (run[last[has]] - run[begins[has]]) / np.sqrt(size[has])[:, None]
+    return _places(out)
+
+
+def _places(out: np.ndarray) -> np.ndarray:
     grid = np.clip((np.tanh(out / 3) + 1) / 2 * (1 << BITS), 0, (1 << BITS) - 1).astype(np.uint32)
     return hilbert_index(grid)
 
 
+def _portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of at most 512 rows and about ``MOST_CHARS`` characters; a longer text is a slice of its own."""
+    size = pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+    at, chars = 0, 0
+    for k, n in enumerate(size):
+        if k > at and (k - at >= 512 or chars + n > MOST_CHARS):
+            yield batch.slice(at, k - at)
+            at, chars = k, 0
+        chars += int(n)
+    if len(size) > at:
+        yield batch.slice(at)
+
+
 def measured(docs: DataFrame, key: str, column: str, folder: str = TOKENIZERS) -> DataFrame:
     """``(key, n_tokens, place)`` of every row: its size in tokens and its place on the curve.
 
@@ -90,8 +121,7 @@ def measured(docs: DataFrame, key: str, column: str, folder: str = TOKENIZERS) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, signs = encoder(folder), _projection()
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in _portions(batch):
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 n = [len(i) for i in enc.encode_ordinary_batch(texts, num_threads=1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int32()), pa.array(curve_keys(texts, signs))], names=[key, "n_tokens", "place"])

@@ -5,7 +5,8 @@ import numpy as np
 import pytest
 
 from mediatide.llm import encoding as E
-from mediatide.llm.packing import BITS, DIMENSIONS, best_fit, hilbert_index, measured, pack
+from mediatide.llm import packing as P
+from mediatide.llm.packing import BITS, DIMENSIONS, best_fit, curve_keys, hilbert_index, measured, pack
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(E.TOKENIZERS), reason="no public tokenizers")
 
@@ -53,3 +54,11 @@ def test_containers(spark):
         assert (pieces.from_token == pieces.piece * capacity).all()
     assert (got[got.doc_id == 1003].groupby("container_kind").size() == 2).all()
     assert pack(sized.limit(0), "doc_id", [("small", 64)]).count() == 0
+
+
+def test_endless_texts_get_the_same_place(monkeypatch):
+    text = " ".join(random.Random(3).choice(["river", "kettle", "waltz", "窗"]) for _ in range(2000))
+    signs = P._projection()
+    whole = curve_keys([text, "x"], signs)[0]
+    monkeypatch.setattr(P, "MOST_CHARS", 1000)
+    assert curve_keys([text], signs)[0] == whole
