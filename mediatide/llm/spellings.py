@@ -7,8 +7,8 @@
    part, and where that is not enough with all of either part. In each block a form is compared with the block's
    most frequent forms only, so that no block emits all pairs, whatever its size.
 3. Pairs are compared by the ratio of their longest common subsequence and by what differs: one slip in one part,
-   or an initial for a given name. Two forms that are both established (each is found in many scopes) are never
-   taken for slips of each other.
+   or an initial for a given name. Two forms that are both canonical are never taken for slips of each other; how
+   many scopes a form is found in decides nothing, as that grows with the data.
 4. Every form points to its best more frequent partner; pointers are followed to the end. Names whose forms end at
    the same one are spellings of one entity.
 """
@@ -36,8 +36,6 @@ LEAST_SUFFIX, COMMON = 3, 48
 LEADERS = 64
 #: Least ratio of the longest common subsequence.
 LEAST_RATIO = 0.75
-#: A form found in this many scopes is established, unless its partner is found in so many times more.
-ESTABLISHED, TIMES = 3, 6
 UNKNOWN = ("", "未知歌手")
 
 _GROUP_TAILS = {short: full for full, shorts in GROUP_SHORT_FORMS.items() for short in (*shorts, full)}
@@ -153,7 +151,7 @@ def lcs_ratio(a: str, b: str) -> float:
 
 
 def likeness(a: tuple[str, str, str], b: tuple[str, str, str], settled: bool) -> float:
-    """How well form ``a`` reads as another spelling of ``b``; 0 if it doesn't. ``settled``: both are established."""
+    """How well form ``a`` reads as another spelling of ``b``; 0 if it doesn't. ``settled``: both are canonical."""
     (fa, ga, ra), (fb, gb, rb) = a, b
     if bool(ga) != bool(gb):
         if settled or slips(fa.replace(" ", "").split("|")[-1], fb.replace(" ", "").split("|")[-1]) > 1:
@@ -222,8 +220,7 @@ def entities(names: DataFrame, grammar: Grammar, canonical: list[str]) -> DataFr
     known = {read_name(n, givens)[0] for n in canonical if n}
     read = cut(_forms(names, grammar, givens))
     forms = read.groupBy("scope", "form").agg(F.sum("weight").alias("weight"), F.first("given").alias("given"), F.first("rest").alias("rest"))
-    spread = read.select("form", "scope").distinct().groupBy("form").agg(F.count("*").alias("scopes"))
-    forms = cut(forms.join(spread, "form"))
+    forms = cut(forms)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -245,8 +242,8 @@ def entities(names: DataFrame, grammar: Grammar, canonical: list[str]) -> DataFr
     fine = fine.withColumn("rank", F.row_number().over(Window.partitionBy("scope", "suffix", "refined").orderBy(*ranking)))
     heads = fine.where(F.col("rank") <= LEADERS).select("scope", "suffix", "refined", F.col("form").alias("to"), F.col("rank").alias("to_rank"))
     pairs = fine.join(heads, ["scope", "suffix", "refined"]).where((F.col("to_rank") < F.col("rank")) & (F.col("form") != F.col("to"))).select("scope", "form", "to").distinct()
-    about = forms.select("scope", "form", "given", "rest", "weight", "scopes")
-    there = about.select("scope", F.col("form").alias("to"), F.col("given").alias("to_given"), F.col("rest").alias("to_rest"), F.col("weight").alias("to_weight"), F.col("scopes").alias("to_scopes"))
+    about = forms.select("scope", "form", "given", "rest", "weight")
+    there = about.select("scope", F.col("form").alias("to"), F.col("given").alias("to_given"), F.col("rest").alias("to_rest"), F.col("weight").alias("to_weight"))
     full = pairs.join(about, ["scope", "form"]).join(there, ["scope", "to"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,8 +251,7 @@ def entities(names: DataFrame, grammar: Grammar, canonical: list[str]) -> DataFr
             c = {n: batch.column(n).to_pylist() for n in batch.schema.names}
             score = []
             for k in range(batch.num_rows):
-                low, high = sorted((c["scopes"][k], c["to_scopes"][k]))
-                settled = (low >= ESTABLISHED and low * TIMES >= high) or c["form"][k] in known and c["to"][k] in known
+                settled = c["form"][k] in known and c["to"][k] in known
                 score.append(likeness((c["form"][k], c["given"][k], c["rest"][k]), (c["to"][k], c["to_given"][k], c["to_rest"][k]), settled))
             keep = np.array(score) > 0
             yield pa.RecordBatch.from_arrays([batch.column(n) for n in ("scope", "form", "to", "to_weight")] + [pa.array(score, pa.float64())], names=["scope", "form", "to", "to_weight", "score"]).filter(pa.array(keep))

@@ -53,3 +53,11 @@ def test_established_names_stay_apart():
     a, b = read_name("Juquilvia", g), read_name("Luquilvia", g)
     assert likeness(a, b, settled=True) == 0
     assert likeness(a, b, settled=False) > 0
+
+
+def test_slip_of_a_catalogued_name_in_many_libraries(spark):
+    rows = [(lib, n, 2 - k % 2) for lib in range(6) for k, n in enumerate(["Luwynx", "Luwynxx", "Juquilvia", "Luquilvia"])]
+    names = spark.createDataFrame(rows, "scope bigint, name string, weight bigint")
+    canonical = [*NAMES, "Luwynx"]
+    pairs = {tuple(r) for r in linked_pairs(entities(names, Grammar.of(canonical), canonical), "library_id").collect()}
+    assert pairs == {(lib, "Luwynx", "Luwynxx") for lib in range(6)}
