@@ -1,23 +1,28 @@
 """Typed spellings of the same name, linked within a scope (a library).
 
 1. The distinct names of a scope are read into a comparable form: one script, one order of parts, short forms of
-   given names and of kinds of ensembles written out. Names of equal form are linked without any comparison.
+   given names and of kinds of ensembles written out. The longest suffix of a form is the form itself: the names of
+   that block have a ratio of 1 and are one form from then on.
 2. Suffix blocking: suffixes of each part (and of the part read backwards, for errors at its end) above a minimum
    length are indexed. A suffix that too many forms share is not dropped but refined with the initial of the other
-   part, and where that is not enough with all of either part. In each block a form is compared with the block's
-   most frequent forms only, so that no block emits all pairs, whatever its size.
-3. Pairs are compared by the ratio of their longest common subsequence and by what differs: one slip in one part,
-   or an initial for a given name. Two forms that are both canonical are never taken for slips of each other; how
-   many scopes a form is found in decides nothing, as that grows with the data.
+   part. Where that isn't enough, the block is refined with all of the other part and with what is left of this part
+   without one letter: two parts that one wrong letter tells apart always share that, so nothing is lost, and how
+   many forms can share it doesn't grow with the data. Every block is compared completely.
+3. Pairs are compared by the ratio of the longest common subsequence, part by part: a part may differ by what one
+   wrong letter costs in a part of its length, the other part must be the same or its initial. Two forms that are
+   both canonical are never taken for slips of each other; how many scopes a form is found in decides nothing, as
+   that grows with the data.
 4. Every form points to its best more frequent partner; pointers are followed to the end. Names whose forms end at
    the same one are spellings of one entity.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +35,13 @@ from ..session import cut
 from .roman import romanise, simplify
 
 #: Shortest suffix indexed, and number of forms beyond which a suffix is refined.
-LEAST_SUFFIX, COMMON = 3, 48
-#: A form is compared with so many of the most frequent forms of each of its blocks. Only a block that holds more of
-#: one suffix and one whole other part is cut by it, and there the forms that are not heads are still compared with them.
-LEADERS = 64
-#: Least ratio of the longest common subsequence.
-LEAST_RATIO = 0.75
+LEAST_SUFFIX, COMMON = 2, 48
+#: So many keys of refined suffixes are handed to every task; beyond that they are joined by shuffle.
+MAX_BROADCAST_KEYS = 200_000
+#: Letters of a name without parts that may hold two wrong ones.
+LONG = range(14, 65)
+#: What a fitting initial is worth beside a given name written out.
+INITIAL = 0.6
 UNKNOWN = ("", "未知歌手")
 
 _GROUP_TAILS = {short: full for full, shorts in GROUP_SHORT_FORMS.items() for short in (*shorts, full)}
@@ -79,7 +85,7 @@ def read_name(name: str, givens: frozenset[str]) -> tuple[str, str, str]:
         k = words.index("of")
         if " ".join(words[:k]) in _GROUP_TAILS:
             words = words[k + 1 :] + words[:k]
-    if len(words) > 1 and (words[0] == "the" or len(words) > 2 and 1 < len(words[0]) < 5 and slips(words[0], "the") == 1 and not _given_like(words[0], givens)):
+    if len(words) > 1 and (words[0] == "the" or len(words) > 2 and 1 < len(words[0]) < 5 and alike(words[0], "the") and not _given_like(words[0], givens)):
         words = words[1:]
     if not words:
         return low.strip(), "", low.strip()
@@ -112,34 +118,37 @@ def _given_like(word: str, givens: frozenset[str]) -> bool:
     return word in givens or word in _FULL
 
 
-def _given_slip(word: str, givens: frozenset[str]) -> bool:
-    return len(word) >= 3 and any(slips(word, g) == 1 for g in givens if abs(len(g) - len(word)) < 2)
+@lru_cache(maxsize=4)
+def _given_index(givens: frozenset[str]) -> dict[str, list[str]]:
+    out: dict[str, list[str]] = {}
+    for g in givens:
+        for key in without_one(g):
+            out.setdefault(key, []).append(g)
+    return out
 
 
-def slips(a: str, b: str) -> int:
-    """Edits between two short words, a swap counting one; 9 where there are more than two."""
-    if a == b:
-        return 0
-    if abs(len(a) - len(b)) > 2:
-        return 9
-    before: list[int] = []
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        older, before, row = before, row, [i]
-        for j, y in enumerate(b, 1):
-            d = min(before[j] + 1, row[j - 1] + 1, before[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                d = min(d, older[j - 2] + 1)
-            row.append(d)
-        if min(row) > 2:
-            return 9
-    return row[-1] if row[-1] <= 2 else 9
+def _given_slip(word: str, givens: frozenset[str]) -> bool:
+    if not 3 <= len(word) <= 1 + max(map(len, givens), default=0):
+        return False
+    index = _given_index(givens)
+    return any(g != word and alike(word, g) for key in without_one(word) for g in index.get(key, ()))
 
 
 def lcs_ratio(a: str, b: str) -> float:
     """Twice the longest common subsequence over the summed lengths, by bit vectors."""
     if not a or not b:
         return 0.0
+    if a == b:
+        return 1.0
+    both = len(a) + len(b)
+    # what both begin and end with is in some longest common subsequence
+    k, most = 0, min(len(a), len(b))
+    while k < most and a[k] == b[k]:
+        k += 1
+    e, most = 0, most - k
+    while e < most and a[-1 - e] == b[-1 - e]:
+        e += 1
+    a, b = a[k : len(a) - e], b[k : len(b) - e]
     mask: dict[str, int] = {}
     for i, c in enumerate(a):
         mask[c] = mask.get(c, 0) | 1 << i
@@ -147,51 +156,87 @@ def lcs_ratio(a: str, b: str) -> float:
     for c in b:
         u = s & mask.get(c, 0)
         s = (s + u | s - u) & full
-    return 2 * (len(a) - s.bit_count()) / (len(a) + len(b))
+    return 2 * (k + e + len(a) - s.bit_count()) / both
+
+
+def alike(a: str, b: str, errors: int = 1) -> float:
+    """The ratio of the longest common subsequence of two parts, 0 if it is less than ``errors`` wrong letters leave."""
+    if abs(len(a) - len(b)) > errors:
+        return 0.0
+    ratio = lcs_ratio(a, b)
+    return ratio if ratio >= 1 - errors / max(len(a), len(b), 1) - 1e-9 else 0.0
 
 
-def likeness(a: tuple[str, str, str], b: tuple[str, str, str], settled: bool) -> float:
+def without_one(part: str, errors: int = 1) -> list[str]:
+    """What is left of a part without up to ``errors`` letters; two parts within as many wrong letters share one of these."""
+    if len(part) > 64:
+        # by a digest, so that what is kept doesn't grow with the square of the part; one wrong letter is all that is allowed
+        begin, out = hashlib.blake2b(digest_size=12), []
+        for i, c in enumerate(part):
+            if i + 1 == len(part) or part[i + 1] != c:
+                h = begin.copy()
+                h.update(part[i + 1 :].encode())
+                out.append(h.hexdigest())
+            begin.update(c.encode())
+        return [*out, begin.hexdigest()]
+    left = {part}
+    for _ in range(errors):
+        left |= {p[:i] + p[i + 1 :] for p in left for i in range(len(p))}
+    return [p if len(p) < 64 else hashlib.blake2b(p.encode(), digest_size=12).hexdigest() for p in left]
+
+
+def _errors(part: str, given: str) -> int:
+    return 2 if not given and len(part) in LONG else 1
+
+
+Form = tuple[str, str, str]
+
+
+def likeness(a: Form, b: Form, settled: bool) -> float:
     """How well form ``a`` reads as another spelling of ``b``; 0 if it doesn't. ``settled``: both are canonical."""
     (fa, ga, ra), (fb, gb, rb) = a, b
+    if settled and not (ga and gb and (len(ga) == 1 or len(gb) == 1)):
+        return 0.0
     if bool(ga) != bool(gb):
-        if settled or slips(fa.replace(" ", "").split("|")[-1], fb.replace(" ", "").split("|")[-1]) > 1:
-            return 0.0
-        return 0.75
+        # one was read as a given name and a rest, the other as one word
+        return max(alike(x, y) for x in _joined(a) for y in _joined(b)) * 0.8
     if not ga:
-        ratio = lcs_ratio(fa, fb)
-        if settled or ratio < LEAST_RATIO:
-            return 0.0
-        d = slips(fa, fb)
-        most = 1 if min(len(fa), len(fb)) < 14 else 2
-        return ratio - 0.05 * d if d <= most and min(len(fa), len(fb)) >= 4 else 0.0
+        return alike(fa, fb, min(_errors(fa, ga), _errors(fb, gb))) if min(len(fa), len(fb)) >= 4 else 0.0
     alts_a, alts_b = ga.split("|"), gb.split("|")
-    shared = set(alts_a) & set(alts_b)
-    one = min(map(len, alts_a)) == 1 or min(map(len, alts_b)) == 1
-    dr = slips(ra, rb)
-    if shared:
-        if dr > 1 or settled or min(len(ra), len(rb)) < 3:
-            return 0.0
-        return 0.97 if len(alts_a) == len(alts_b) == 1 and dr == 0 else 0.95 - 0.05 * dr - 0.02 * (len(alts_a) + len(alts_b) - 2)
-    if one:
-        return 0.85 - 0.1 * dr if dr <= 1 and {x[0] for x in alts_a} & {x[0] for x in alts_b} else 0.0
-    if dr == 0 and not settled and min(slips(x, y) for x in alts_a for y in alts_b) == 1:
-        return 0.9
-    return 0.0
-
-
-def _suffixes(form: tuple[str, str, str]) -> list[tuple[str, str, str]]:
-    """``(suffix, part, other)`` of a form: the suffix, the part it is of, and the other part."""
+    rest = alike(ra, rb)
+    if not rest:
+        return 0.0
+    if set(alts_a) & set(alts_b):
+        return rest - 0.02 * (len(alts_a) + len(alts_b) - 2) if not settled and min(len(ra), len(rb)) >= 3 else 0.0
+    if min(map(len, alts_a)) == 1 or min(map(len, alts_b)) == 1:
+        return INITIAL * rest if {x[0] for x in alts_a} & {x[0] for x in alts_b} else 0.0
+    return max(alike(x, y) for x in alts_a for y in alts_b) * 0.95 if ra == rb and not settled else 0.0
+
+
+def _joined(form: Form) -> list[str]:
     full, given, rest = form
-    out: list[tuple[str, str, str]] = []
-    parts = [(rest, given.split("|"))] + [(g, [rest]) for g in given.split("|") if len(g) > 1] if given else [(full.replace(" ", ""), [""])]
-    for part, others in parts:
-        n = len(part)
-        least = min(n, max(LEAST_SUFFIX, n // 2 - 1))
-        for size in range(least, min(n, least + 2) + 1):
-            for other in others:
-                out.append((part[n - size :], part, other))
-                out.append(("<" + part[:size], part, other))
-    return out
+    return [g + rest for g in given.split("|")] if given else [full.replace(" ", "")]
+
+
+def _parts(form: Form) -> list[tuple[str, str]]:
+    """``(part, other)`` of a form: each part that is indexed, and the other part."""
+    _, given, rest = form
+    whole = [(w, "") for w in _joined(form)]
+    if not given:
+        return whole
+    alts = given.split("|")
+    return whole + [(rest, g) for g in alts] + [(g, rest) for g in alts if len(g) > 1]
+
+
+def suffixes(part: str) -> list[str]:
+    """The indexed suffixes of a part, and those of the part read backwards.
+
+    About half of the part: two parts that one wrong letter tells apart share one or the other. Two lengths, as a
+    letter more or less moves the half.
+    """
+    n = len(part)
+    least = min(n, max(LEAST_SUFFIX, (n - 2) // 2))
+    return [k for size in range(least, min(n, least + 1) + 1) for k in (">" + part[n - size :], "<" + part[:size])]
 
 
 def _forms(names: DataFrame, grammar: Grammar, givens: frozenset[str]) -> DataFrame:
@@ -210,6 +255,112 @@ def _forms(names: DataFrame, grammar: Grammar, givens: frozenset[str]) -> DataFr
     return names.mapInArrow(run, "scope bigint, name string, weight bigint, form string, given string, rest string")
 
 
+_ROW = "scope bigint, form string, given string, rest string, weight bigint, official boolean"
+_FIELDS = ["scope", "form", "given", "rest", "weight", "official"]
+
+
+def _indexed(forms: DataFrame, known: set[str]) -> DataFrame:
+    """The suffixes of each form's parts: the form's fields, ``suffix``, ``part`` and ``other``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for k, form in enumerate(zip(*(batch.column(c).to_pylist() for c in ("form", "given", "rest")), strict=True)):
+                rows += [(k, s, part, other) for part, other in _parts(form) for s in suffixes(part)]
+            at = pa.array([r[0] for r in rows], pa.int64())
+            official = pa.array([f in known for f in batch.column("form").to_pylist()], pa.bool_())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in _FIELDS[:5]), official.take(at), *(pa.array([r[k] for r in rows], pa.string()) for k in (1, 2, 3))], names=[*_FIELDS, "suffix", "part", "other"])
+
+    return forms.select(*_FIELDS[:5]).mapInArrow(run, f"{_ROW}, suffix string, part string, other string")
+
+
+def _left_over(rows: DataFrame) -> DataFrame:
+    """The blocks of forms whose suffix even an initial leaves too common: all of the other part and this part without a
+    letter. ``i|`` blocks are those of the other part's initial, where only bare initials are compared with the rest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = []
+            for k, (part, other, given) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("part", "other", "given")), strict=True)):
+                left = without_one(part, _errors(part, given))
+                keys += [(k, f"d|{other}|{x}") for x in left]
+                if other and other in given.split("|"):
+                    keys += [(k, f"i|{other[:1]}|{x}") for x in left]
+            at = pa.array([k for k, _ in keys], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in _FIELDS), pa.array([x for _, x in keys], pa.string())], names=[*_FIELDS, "key"])
+
+    return rows.select(*_FIELDS, "part", "other").distinct().mapInArrow(run, f"{_ROW}, key string")
+
+
+def compare_block(rows: list[tuple], bare: list[tuple] | None = None) -> Iterator[tuple]:
+    """``(form, to, to weight, score)`` of the rows of a block that are alike, the less frequent pointing to the other.
+
+    Rows are ``(form, given, rest, weight, official)``. With ``bare`` only rows against those.
+    """
+
+    def rank(r: tuple) -> tuple:
+        return (not r[4], -r[3], r[0])
+
+    rows = sorted(rows, key=rank)
+    for i, x in enumerate(rows):
+        for y in rows[:i] if bare is None else bare:
+            if x[0] != y[0]:
+                score = likeness(x[:3], y[:3], x[4] and y[4])
+                if score:
+                    lower, upper = (x, y) if rank(y) < rank(x) else (y, x)
+                    yield lower[0], upper[0], upper[3], score
+
+
+def _compared(keyed: DataFrame) -> DataFrame:
+    """The likely links of all blocks. Blocks are bounded but for those of initials, which are passed through beside the
+    few bare initials, and every form in them meets only those."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, bare, found = None, [], [], []
+
+        def send() -> pa.RecordBatch:
+            cols = list(zip(*found, strict=True)) or [()] * 5
+            kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.float64())
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["scope", "form", "to", "to_weight", "score"])
+
+        for batch in batches:
+            for scope, key, *row in zip(*(batch.column(c).to_pylist() for c in ("scope", "key", *_FIELDS[1:])), strict=True):
+                if at != (scope, key):
+                    if len(held) > 1:
+                        found += [(at[0], *f) for f in compare_block(held)]
+                    at, held, bare = (scope, key), [], []
+                if key[0] != "i":
+                    held.append(row)
+                elif len(row[1]) == 1:
+                    bare.append(row)
+                elif bare:
+                    found += [(scope, *f) for f in compare_block([row], bare)]
+            if len(found) > 10_000:
+                yield send()
+        if len(held) > 1:
+            found += [(at[0], *f) for f in compare_block(held)]
+        yield send()
+
+    placed = keyed.repartition("scope", "key").sortWithinPartitions("scope", "key", F.length("given") != 1)
+    return placed.mapInArrow(run, "scope bigint, form string, to string, to_weight bigint, score double")
+
+
+def likely_links(forms: DataFrame, known: set[str]) -> DataFrame:
+    """``(scope, form, to, to_weight, score)``: every two forms that are alike, maybe more than once."""
+    indexed = cut(_indexed(forms, known))
+    initial = F.substring("other", 1, 1)
+    # counted before anything is shuffled; only the suffixes that are too common go back to the index
+    counts = indexed.groupBy("scope", "suffix", initial.alias("initial")).agg(F.count("*").alias("n"))
+    total = F.sum("n").over(Window.partitionBy("scope", "suffix"))
+    common = cut(counts.withColumn("total", total).where(F.col("total") > COMMON).select("scope", "suffix", "initial", (F.col("n") > COMMON).alias("over")))
+    few = common.limit(MAX_BROADCAST_KEYS + 1).count() <= MAX_BROADCAST_KEYS
+    met = indexed.withColumn("initial", initial).join(F.broadcast(common) if few else common, ["scope", "suffix", "initial"], "left")
+    plain = met.where(F.col("over").isNull()).select(*_FIELDS, F.concat(F.lit("s|"), "suffix").alias("key"))
+    refined = met.where(~F.col("over")).select(*_FIELDS, F.concat(F.lit("s|"), "initial", F.lit("|"), "suffix").alias("key"))
+    return _compared(plain.unionByName(refined).unionByName(_left_over(met.where("over"))))
+
+
 def entities(names: DataFrame, grammar: Grammar, canonical: list[str]) -> DataFrame:
     """``(scope, name, weight, form, entity)``: every name of one value with the form its entity is known by.
 
@@ -220,44 +371,7 @@ def entities(names: DataFrame, grammar: Grammar, canonical: list[str]) -> DataFr
     known = {read_name(n, givens)[0] for n in canonical if n}
     read = cut(_forms(names, grammar, givens))
     forms = read.groupBy("scope", "form").agg(F.sum("weight").alias("weight"), F.first("given").alias("given"), F.first("rest").alias("rest"))
-    forms = cut(forms)
-
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [_suffixes(f) for f in zip(*(batch.column(c).to_pylist() for c in ("form", "given", "rest")), strict=True)]
-            at = pa.array(np.repeat(np.arange(len(rows)), [len(r) for r in rows]))
-            official = pa.array([f in known for f in batch.column("form").to_pylist()], pa.bool_())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("scope").take(at), *(pa.array([x[k] for r in rows for x in r], pa.string()) for k in range(3)), batch.column("form").take(at), batch.column("weight").take(at), official.take(at)],
-                names=["scope", "suffix", "part", "other", "form", "weight", "official"],
-            )
-
-    indexed = forms.select("scope", "form", "weight", "given", "rest").mapInArrow(index, "scope bigint, suffix string, part string, other string, form string, weight bigint, official boolean")
-    # a suffix is refined where too many forms share it: by the other part's initial, then by all of either part
-    initial = F.substring("other", 1, 1)
-    n, m = F.count("*").over(Window.partitionBy("scope", "suffix")), F.count("*").over(Window.partitionBy("scope", "suffix", initial))
-    keys = F.when(F.col("_n") <= COMMON, F.array(F.lit(""))).when(F.col("_m") <= COMMON, F.array(initial)).otherwise(F.array(F.concat(F.lit("o:"), F.col("other")), F.concat(F.lit("p:"), F.col("part"), F.lit(":"), initial)))
-    ranking = [F.desc("official"), F.desc("weight"), F.asc("form")]
-    fine = indexed.withColumns({"_n": n, "_m": m}).withColumn("refined", F.explode(keys)).drop("_n", "_m", "part", "other")
-    fine = fine.withColumn("rank", F.row_number().over(Window.partitionBy("scope", "suffix", "refined").orderBy(*ranking)))
-    heads = fine.where(F.col("rank") <= LEADERS).select("scope", "suffix", "refined", F.col("form").alias("to"), F.col("rank").alias("to_rank"))
-    pairs = fine.join(heads, ["scope", "suffix", "refined"]).where((F.col("to_rank") < F.col("rank")) & (F.col("form") != F.col("to"))).select("scope", "form", "to").distinct()
-    about = forms.select("scope", "form", "given", "rest", "weight")
-    there = about.select("scope", F.col("form").alias("to"), F.col("given").alias("to_given"), F.col("rest").alias("to_rest"), F.col("weight").alias("to_weight"))
-    full = pairs.join(about, ["scope", "form"]).join(there, ["scope", "to"])
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            c = {n: batch.column(n).to_pylist() for n in batch.schema.names}
-            score = []
-            for k in range(batch.num_rows):
-                settled = c["form"][k] in known and c["to"][k] in known
-                score.append(likeness((c["form"][k], c["given"][k], c["rest"][k]), (c["to"][k], c["to_given"][k], c["to_rest"][k]), settled))
-            keep = np.array(score) > 0
-            yield pa.RecordBatch.from_arrays([batch.column(n) for n in ("scope", "form", "to", "to_weight")] + [pa.array(score, pa.float64())], names=["scope", "form", "to", "to_weight", "score"]).filter(pa.array(keep))
-
-    likely = full.mapInArrow(compare, "scope bigint, form string, to string, to_weight bigint, score double")
-    best = likely.groupBy("scope", "form").agg(F.max(F.struct("score", "to_weight", "to")).alias("b"))
+    best = likely_links(forms, known).groupBy("scope", "form").agg(F.max(F.struct("score", "to_weight", "to")).alias("b"))
     links = cut(best.select("scope", "form", F.col("b.to").alias("to")))
     # follow the pointers to their ends; each round doubles the reach
     while True:
@@ -287,7 +401,10 @@ def distinct_names(tables: list[tuple[DataFrame, str, str]]) -> DataFrame:
 
 
 def linked_pairs(found: DataFrame, scope: str) -> DataFrame:
-    """``(scope, name_a, name_b)`` for all different spellings of an entity, ``name_a`` first in byte order."""
-    several = found.select("scope", "entity", "name").withColumn("n", F.count("*").over(Window.partitionBy("scope", "entity"))).where("n > 1").drop("n")
-    b = several.select("scope", "entity", F.col("name").alias("name_b"))
-    return several.join(b, ["scope", "entity"]).where(F.col("name") < F.col("name_b")).select(F.col("scope").alias(scope), F.col("name").alias("name_a"), "name_b")
+    """``(scope, name_a, name_b)`` for all different spellings of an entity, ``name_a`` first in byte order.
+
+    All pairs are what is asked for; the names of an entity are distinct, so the rows behind them don't count.
+    """
+    a = found.select("scope", "entity", F.col("name").alias("name_a"))
+    b = found.select("scope", "entity", F.col("name").alias("name_b"))
+    return a.join(b, ["scope", "entity"]).where(F.col("name_a") < F.col("name_b")).select(F.col("scope").alias(scope), "name_a", "name_b")

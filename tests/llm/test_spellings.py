@@ -2,7 +2,8 @@ import random
 
 import pytest
 
-from mediatide.llm.spellings import distinct_names, entities, givens_of, lcs_ratio, likeness, linked_pairs, read_name, slips
+from mediatide.llm import spellings as S
+from mediatide.llm.spellings import alike, distinct_names, entities, givens_of, lcs_ratio, likely_links, likeness, linked_pairs, read_name, without_one
 from mediatide.operators.multivalue import Grammar
 
 NAMES = ["Anthony Kesadine", "Anthony Crowvane", "André Garadine", "André Linulier", "Елена Белозвон", "Елена Остравец", "Francisco Ostolt", "Francisco Torlundal", "The Wandering Lanterns", "Garskall String Quartet", "南窗旅人", "ユウナギ工房", "은하역 클럽", "Copper & Sons", "Juquilvia", "Luquilvia", "Theodore Branaxton", "Theodore Orvvane"]
@@ -31,9 +32,22 @@ def test_entities(spark):
     assert entities(names.limit(0), Grammar.of(NAMES), NAMES).count() == 0
 
 
-@pytest.mark.parametrize(("a", "b", "d"), [("abc", "abc", 0), ("abc", "acb", 1), ("abc", "ab", 1), ("abcd", "badc", 2), ("abc", "xyz", 9), ("", "abcd", 9)])
-def test_slips(a, b, d):
-    assert slips(a, b) == d
+@pytest.mark.parametrize(("a", "b", "same"), [("abc", "abc", True), ("abcd", "acbd", True), ("abc", "ab", True), ("abcd", "abxd", True), ("abcd", "badc", False), ("abc", "xyz", False), ("", "abcd", False), ("abcdef", "abc", False)])
+def test_alike(a, b, same):
+    assert bool(alike(a, b)) is same
+
+
+def test_alike_parts_share_what_is_left():
+    rnd = random.Random(5)
+    for _ in range(3000):
+        a = "".join(rnd.choice("abc") for _ in range(rnd.randint(1, 9)))
+        b = "".join(rnd.choice("abc") for _ in range(rnd.randint(1, 9)))
+        for errors in (1, 2):
+            if alike(a, b, errors):
+                assert set(without_one(a, errors)) & set(without_one(b, errors)), (a, b)
+    for n in (63, 64, 65, 66):
+        assert set(without_one("ab" * n)[:]) & set(without_one("ab" * n + "c"))
+        assert set(without_one("a" * n + "b")) & set(without_one("a" * n + "cb"))
 
 
 def test_lcs_against_plain():
@@ -61,3 +75,38 @@ def test_slip_of_a_catalogued_name_in_many_libraries(spark):
     canonical = [*NAMES, "Luwynx"]
     pairs = {tuple(r) for r in linked_pairs(entities(names, Grammar.of(canonical), canonical), "library_id").collect()}
     assert pairs == {(lib, "Luwynx", "Luwynxx") for lib in range(6)}
+
+
+def _links_of(spark, forms, known=frozenset()):
+    df = spark.createDataFrame([(1, f, g, r, w) for f, g, r, w in forms], "scope bigint, form string, given string, rest string, weight bigint")
+    return {frozenset((r.form, r.to)) for r in likely_links(df, set(known)).collect()}
+
+
+@pytest.mark.parametrize("people", [True, False])
+def test_crowded_block_is_compared_completely(spark, people):
+    """500 forms of one suffix, with one initial of the other part: every pair that brute force finds is found."""
+    rnd = random.Random(3)
+    forms = {}
+    while len(forms) < 500:
+        middle = "".join(rnd.choice("abcd") for _ in range(3))
+        if people:
+            given, rest = rnd.choice(["anna", "anne", "a", "arno", "ann|annabel"]), rnd.choice(["k", "ks", "sk"]) + middle + "strandberg"
+            forms[f"{given} {rest}"] = (f"{given} {rest}", given, rest, rnd.randint(1, 4))
+        else:
+            form = middle + rnd.choice("abcd") + rnd.choice("abcd") + "strandbergquartet"
+            forms[form] = (form, "", form, rnd.randint(1, 4))
+    forms = list(forms.values())
+    brute = {frozenset((a[0], b[0])) for k, a in enumerate(forms) for b in forms[:k] if likeness(a[:3], b[:3], False)}
+    assert len(brute) > 500
+    assert _links_of(spark, forms) == brute
+
+
+def test_common_suffix_of_a_hot_library(spark, monkeypatch):
+    """The refined blocks find what the plain ones do."""
+    rnd = random.Random(4)
+    names = {rnd.choice(["anton", "berta", "carla", "a", "b"]) + " " + "".join(rnd.choice("ab") for _ in range(4)) + "mann" for _ in range(120)}
+    forms = [(n, n.split()[0], n.split()[1], 1) for n in sorted(names)]
+    refined = _links_of(spark, forms)
+    monkeypatch.setattr(S, "COMMON", 1_000_000)
+    assert refined == _links_of(spark, forms)
+    assert refined
