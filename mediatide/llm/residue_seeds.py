@@ -101,13 +101,13 @@ MARKS = ["XXXX", "TBD", "TODO", "undefined", "[object Object]", "______", "???",
 MENTIONS = """
 The player on the web page relies on JavaScript, which is on by default in current browsers; those who prefer to block scripts may save the list as plain text instead.|The preview on the start page needs scripts; whoever has switched JavaScript off in the browser can export every list as a file and read it without a connection.|Most of the tool works without JavaScript, which only the player uses, so you can leave scripts blocked and still read every list.|The web version uses JavaScript for the player only; every browser of the last years has it, and a list can be exported and read offline in any case.|Scripts are only needed for the preview, everything else on the help page can be read without them.|Why does the preview ask for scripts? Because the sound is mixed in the browser; the export works without that.
 播放器要用 JavaScript，一般的浏览器都默认打开；不想打开，也可以把歌单导出成文本，离线再看。|网页试听需要脚本支持，大多数浏览器默认就是开启的；如果不想开启，可以把歌单导出成文本。|网页版播放器用到 JavaScript，浏览器一般默认已经打开；不愿意打开的话，也能把歌单导出后离线阅读。|试听页用到脚本，但导出的文本歌单离线也能看。|帮助页说明：只有试听功能用到 JavaScript，其余内容不受影响。
-When a list replies with a server error the tool writes the code, for instance "HTTP 500", to its log and goes on with the next list.|A line with "404" in the scan report only means that one cover was missing; the songs themselves are read as before.|If the log says "timeout", the tool tries the same list three times before it moves on.|Access errors are counted at the end of the report, and the lists concerned are read again on the next day.
-如果日志中写着“HTTP 500”，说明这一个歌单没有读取成功，其余歌单不受影响。|报告里的“404”只表示缺一张封面，歌曲照常读取。|日志写“超时”时，工具会重试三次再继续。
+When a list replies with a server error the tool writes the code, for instance "HTTP 500", to its log and goes on with the next list.|A line with "416" in the scan report only means that one cover was missing; the songs themselves are read as before.|If the log says "timeout", the tool tries the same list three times before it moves on.|Access errors are counted at the end of the report, and the lists concerned are read again on the next day.
+如果日志中写着“HTTP 500”，说明这一个歌单没有读取成功，其余歌单不受影响。|报告里的“416”只表示缺一张封面，歌曲照常读取。|日志写“超时”时，工具会重试三次再继续。
 In file name patterns {title} is a field that the tool fills in for each song, such as the number and name of the track.|Write {title} where the name is to appear; on export each field is exchanged for the real value.|The text template may begin with {title}, which need not be changed by hand.|Fields like {title} belong to the pattern and are described on the help page.
 重命名时可以在规则中使用{title}这样的字段，保存文件时工具会把它换成真实的歌名，例如“雨声”。|规则里写{title}，保存时就会变成真正的名字。|命名模板里的{title}是一个字段，导出时会替换成每首歌的真实名称。|在标题处写{title}即可，工具会自动填写，不需要手动修改。|模板支持{title}等字段，说明见帮助页。
 Her voice calls the number null and void, and the refrain answers that the error was ours.|The lyrics rhyme "undefined" with "unrefined", which no one else would dare.|He sings that the server of the inn has lost the page of his heart.
 The booklet of the first pressing shows lorem ipsum where the credits should be, a printing mistake that collectors now pay for.|By mistake a placeholder was printed on the back of the sleeve, and the label kept it as a joke.|封底误印了占位文字，收藏者反而更喜欢这一版。|首批唱片的内页把示例文字印了上去，后来成了收藏者的话题。
-The song "Page Not Found" pokes fun at a lost website, and the organ part is charming.|The sleeve of that record carried lorem ipsum by mistake, and so this pressing became sought after.|Filler text was left on the label of the first record by an oversight; those copies are now rare.|Their third single is called "Gateway Timeout" and lasts exactly thirty seconds.|这首《找不到页面》唱的是一个丢失的网站，手风琴写得很好听。|单曲《服务器繁忙》是一首玩笑歌，编曲却很认真。
+The song "Lost on the Server" pokes fun at a missing website, and the organ part is charming.|The sleeve of that record carried lorem ipsum by mistake, and so this pressing became sought after.|Filler text was left on the label of the first record by an oversight; those copies are now rare.|Their third single is called "Gateway Timeout" and lasts exactly thirty seconds.|这首《找不到页面》唱的是一个丢失的网站，手风琴写得很好听。|单曲《服务器繁忙》是一首玩笑歌，编曲却很认真。
 The cover server returned {e} twice, so I scanned the sleeve myself and now the album looks complete.|I got {e} while saving the list, waited a minute, and then it worked.|My player showed {e} for a while, but after an update the picture was there.|Looking up the sleeve ended in {e} again, so I took a photo by hand.|下载封面时服务器报错{e}，我自己扫描了一张，现在专辑完整了。|保存歌单时碰到一次{e}，等一分钟就好了。
 The song "{e}" by a friend of the band makes fun of a missing website, but the cello part is lovely.|Her single "{e}" is a joke, though the piano on it is beautiful.|他们的《{e}》是一首玩笑歌，但提琴写得很美。
 does anyone know where the page of this band went?|zero points, null, nothing from me for the second verse|my mistake, the error was in my own tags|the progress bar stops at 12% and nothing happens|bit rate too low, please scan again|试试新耳机，低音很好|我这边网页打不开，是不是网络的问题|有没有人知道这首歌在哪
@@ -185,6 +185,6 @@ def mentions() -> list[str]:
     out = lines(MENTIONS)
     quotes = ["{{title}}", "%artist% - %title%", "{artist}/{album}/{title}", "${album} (${year})", "[track] [title]", "<title>", "#{title}", "__title__", "[[title]]", "{title}"]
     # rare statuses: a mention is known by the prose around a failure, not by the failure's name
-    failures = [f"{c.value} {c.phrase}" for c in (HTTPStatus.INSUFFICIENT_STORAGE, HTTPStatus.LOOP_DETECTED, HTTPStatus.MISDIRECTED_REQUEST, HTTPStatus.NOT_EXTENDED)] + ["404", "error 500", "503", "429"]
+    failures = [f"{c.value} {c.phrase}" for c in (HTTPStatus.INSUFFICIENT_STORAGE, HTTPStatus.LOOP_DETECTED, HTTPStatus.MISDIRECTED_REQUEST, HTTPStatus.NOT_EXTENDED)] + ["error 500", "503", "a 429"]
     plain = [t for t in out if "{title}" not in t and "{e}" not in t]
     return plain * 2 + [t.replace("{title}", q) for t in out if "{title}" in t for q in quotes] + [t.replace("{e}", failures[(k * 5 + j) % len(failures)]) for k, t in enumerate(out) if "{e}" in t for j in range(6)]
