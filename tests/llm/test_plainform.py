@@ -1,10 +1,11 @@
+import os
 import unicodedata
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from mediatide.llm.plainform import consistent_texts, not_plain, plain
+from mediatide.llm.plainform import consistent_texts, not_plain, plain, still_mixed
 
 
 @pytest.mark.parametrize(
@@ -13,7 +14,8 @@ from mediatide.llm.plainform import consistent_texts, not_plain, plain
         ("Ｇｏｌｄｅｎ　Ｒｉｖｅｒ", "Golden River"), ("Ｌｉｖｅ（伴奏）", "Live(伴奏)"), ("夏末（伴奏）", "夏末（伴奏）"), ("夏末(伴奏）", "夏末(伴奏)"), ("Coração", "Coração"), ("Balcón", "Balcón"), ("a b c", "a b c"),
         ("Ket​tle­", "Kettle"), ("Wаltz", "Waltz"), ("Τhе Mirror", "The Mirror"), ("Golden а Meadow", "Golden a Meadow"), ("cнeжный берег", "снежный берег"), ("ТИХИЙ ВОКЗАЛ", "ТИХИЙ ВОКЗАЛ"), ("Νύχτα και Φως (Live版)", "Νύχτα και Φως (Live版)"),
         ("Νachtzüge", "Nachtzüge"), ("Oﬃcial", "Official"), ("⽆名", "无名"), ("ﾂﾊﾞﾒ", "ツバメ"), ("👩‍🎤 ❤️ 🔥", "👩‍🎤 ❤️ 🔥"), ("a️b", "ab"), ("「北方」【无损】《原声带》", "「北方」【无损】《原声带》"), ("", ""), ("a  b", "a  b"),
-        ("Hi‑Res", "Hi-Res"), ("Last – First…", "Last – First…"),
+        ("Hi‑Res", "Hi-Res"), ("кing", "king"), ("мusic", "music"), ("тoday", "today"), ("вand", "band"), ("roкk", "rokk"), ("ϲat", "cat"), ("ɡood", "good"), ("ıstanbul", "istanbul"), ("sılver", "silver"), ("ʟove", "love"), ("ꜱᴛᴀʏ", "stay"), ("Ԝater", "Water"),
+        ("Ꮃater", "Water"), ("ꓡove", "Love"), ("Տun", "Sun"), ("ҺОЛОД", "ҺОЛОД"), ("песnя", "песпя"), ("ταxi", "ταχι"), ("kırmızı gül", "kırmızı gül"), ("ışık", "ışık"), ("Երևան", "Երևան"), ("жgoo", "жgoo"), ("жfoo", "жfoo"), ("Медный фонарь HQ", "Медный фонарь HQ"), ("Last – First…", "Last – First…"),
     ],
 )
 def test_forms(text, form):
@@ -38,3 +40,29 @@ def test_frames(spark):
     assert forms["4"] == ""
     assert forms["5"] == "n" * 50_000
     assert not_plain(df.limit(0), "s", "id", "t").count() == 0
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.1/songs.parquet"), reason="no test tables")
+def test_all_titles():
+    import pyarrow.parquet as pq
+
+    for table, column in (("songs", "song_name"), ("tracks", "title")):
+        for text in {t for t in pq.read_table(f"/root/testdata/sf0.1/{table}.parquet", columns=[column]).column(0).to_pylist() if t}:
+            once = plain(text)
+            assert plain(once) == once
+            assert not still_mixed(once)
+
+
+def test_words_that_no_script_holds(spark):
+    df = spark.createDataFrame([(1, "жgoo"), (2, "кing"), (3, "king"), (4, "король")], "id bigint, t string")
+    assert sorted(r.row_key for r in not_plain(df, "s", "id", "t").collect()) == ["1", "2"]
+
+
+@given(st.text(alphabet="abckortwxyавгкмнпртухяαβεικνοτυωɡıʟᎪꓐՏоЅ ", max_size=12))
+@settings(max_examples=500, deadline=None)
+def test_one_script_or_left_as_it_was(text):
+    once = plain(text)
+    assert plain(once) == once
+    for before, after in zip(text.split(" "), once.split(" "), strict=True):
+        if still_mixed(after):
+            assert before.replace("ɡ", "g").replace("ı", "i").replace("ʟ", "l") == after.replace("ı", "i")
