@@ -1,14 +1,15 @@
 """Items of varying length packed into containers of fixed capacity, neighbours in content together.
 
 Each document becomes a hashed vector of its character n-grams, projected to a few dimensions; its place on a
-Hilbert curve through that space is its sort key. Documents are sorted by the key across the cluster, and stretches
-of the curve are packed by best fit, largest first, so that a container holds documents that lie near each other.
-Only an item larger than the capacity is split: into full containers and a rest that is packed like any other.
+Hilbert curve through that space is its sort key. Documents are range-sorted by the key across the cluster and packed
+in that order: every container begins with the first document that has no place yet and is filled from the documents
+that follow it on the curve. Which of them fill it is found exactly, by the sums that subsets of the nearest can
+reach; the window is widened only while the container is not full enough. Only an item larger than the capacity is
+split: into full containers and a rest that is packed like any other.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +25,14 @@ from .encoding import TOKENIZERS, encoder
 DIMENSIONS, BITS = 4, 8
 #: Buckets of the hashed n-gram vector.
 BUCKETS = 1 << 12
-#: Documents of the curve that are packed together; a whole stretch is at most this long, whatever the input.
-STRETCH = 8_192
+#: Documents a partition of the curve has at least, where there are as many.
+LEAST_PART = 2_048
+#: Documents of a partition that are held at once; what is left open at a stretch's end is closed there.
+STRETCH = 65_536
+#: Documents after the first of a container that it may be filled from: at once, and at most.
+NEAR, FAR = 32, 512
+#: Share of a container that is full enough.
+FULL = 0.995
 #: Characters that are looked at in one go.
 MOST_CHARS = 2_000_000
 
@@ -129,58 +136,79 @@ def measured(docs: DataFrame, key: str, column: str, folder: str = TOKENIZERS) -
     return docs.select(key, F.col(column).alias("_text")).mapInArrow(run, f"{key} {kind}, n_tokens int, place long")
 
 
-def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
-    """Container of each item, and how many there are; every size is between 0 and ``capacity``.
+def fill(sizes: list[int], room: int, enough: int) -> list[int]:
+    """The positions of a subset whose sum comes to ``enough``, made of the first items that can, or else is as near to ``room`` as can be.
 
-    Largest first, each into the fullest container it fits. Items of size 0 go into the first container.
+    Bit ``s`` of a number says that the sum ``s`` can be reached; one shift adds an item to all sums at once.
     """
-    which = np.zeros(len(sizes), np.int64)
-    room: list[int] = []
-    by_room: dict[int, list[int]] = {}
-    count = 0
-    for k in np.argsort(-sizes, kind="stable"):
-        need = int(sizes[k])
-        if need == 0:
+    mask, reach, seen = (1 << room + 1) - 1, 1, [1]
+    for size in sizes:
+        reach |= reach << size & mask if size <= room else 0
+        seen.append(reach)
+        if reach >> enough:
             break
-        at = bisect_left(room, need)
-        if at == len(room):
-            c, left = count, capacity - need
-            count += 1
-        else:
-            left = room[at]
-            same = by_room[left]
-            c = same.pop()
-            if not same:
-                del by_room[left]
-                room.pop(at)
-            left -= need
-        which[k] = c
-        if left:
-            if left not in by_room:
-                insort(room, left)
-                by_room[left] = []
-            by_room[left].append(c)
-    return which, max(count, 1 if len(sizes) else 0)
+    best, out = reach.bit_length() - 1, []
+    for k in range(len(seen) - 1, 0, -1):
+        # an item is only used where the ones before it don't reach the sum
+        if not seen[k - 1] >> best & 1:
+            out.append(k - 1)
+            best -= sizes[k - 1]
+    return out[::-1]
+
+
+def along_curve(sizes: np.ndarray, capacity: int) -> np.ndarray:
+    """Container of each item, numbered from 0 in the order of their first items; sizes are between 0 and ``capacity``.
+
+    Items of size 0 go where the item before them is (the first ones into the first container).
+    """
+    which = np.full(len(sizes), -1, np.int64)
+    solid = np.flatnonzero(sizes > 0)
+    size = sizes[solid].tolist()
+    enough = int(np.ceil(capacity * FULL))
+    # the items without a container among the next ones, in order
+    open_: list[int] = []
+    at = count = 0
+    while open_ or at < len(size):
+        window = NEAR
+        while True:
+            while len(open_) <= window and at < len(size):
+                open_.append(at)
+                at += 1
+            room = capacity - size[open_[0]]
+            others = [k + 1 for k in fill([size[k] for k in open_[1 : window + 1]], room, max(0, room - capacity + enough))]
+            held = capacity - room + sum(size[open_[k]] for k in others)
+            if held >= enough or window >= FAR or window >= len(open_) and at == len(size):
+                break
+            window *= 4
+        taken = {0, *others}
+        for k in taken:
+            which[solid[open_[k]]] = count
+        open_ = [x for k, x in enumerate(open_) if k not in taken]
+        count += 1
+    # items of size 0: where the item before them is
+    last = np.maximum.accumulate(np.where(which >= 0, np.arange(len(which)), -1)) if len(which) else which
+    return np.where(last >= 0, which[np.maximum(last, 0)], 0)
 
 
 def pack(sized: DataFrame, key: str, capacities: list[tuple[str, int]]) -> DataFrame:
-    """``(container_kind, container_id, key, piece, from_token, n_tokens)``: every item in containers of every kind.
+    """``(container_kind, container_id, key, piece, from_token, n_tokens, curve_rank)``: every item in containers of every kind.
 
     ``sized`` has key, n_tokens and place. An item that fits is one piece (0); a larger one is cut into pieces of
     the full capacity, numbered in order, and a rest. Container ids are unique within a kind. An item of size 0
-    gets a container too and takes no room. The same row twice counts as two items.
+    gets a container too and takes no room. The same row twice counts as two items. ``curve_rank`` rises along the
+    curve, by one from item to item within a partition, which the lower 40 bits count.
     """
     kind = sized.schema[key].dataType.simpleString()
     cores = sized.sparkSession.sparkContext.defaultParallelism
     # equal places are kept apart by the key's hash: no text, however often it recurs, makes one partition
     ranked = cut(sized.withColumn("_tie", F.xxhash64(key)))
-    parts = max(1, min(cores * 8, -(-ranked.count() // STRETCH)))
+    parts = max(1, min(cores * 8, ranked.count() // LEAST_PART))
     sorted_ = ranked.repartitionByRange(parts, "place", "_tie").sortWithinPartitions("place", "_tie", key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, stretch = TaskContext.get().partitionId(), 0
+        part, stretch, rank = TaskContext.get().partitionId(), 0, 0
         held: list[pa.RecordBatch] = []
         rows = 0
         for batch in batches:
@@ -188,12 +216,12 @@ def pack(sized: DataFrame, key: str, capacities: list[tuple[str, int]]) -> DataF
             rows += batch.num_rows
             while rows >= 2 * STRETCH:
                 table = pa.Table.from_batches(held)
-                yield from one(table.slice(0, STRETCH), part, stretch)
-                held, rows, stretch = table.slice(STRETCH).to_batches(), rows - STRETCH, stretch + 1
+                yield from one(table.slice(0, STRETCH), part, stretch, rank)
+                held, rows, stretch, rank = table.slice(STRETCH).to_batches(), rows - STRETCH, stretch + 1, rank + STRETCH
         if rows:
-            yield from one(pa.Table.from_batches(held), part, stretch)
+            yield from one(pa.Table.from_batches(held), part, stretch, rank)
 
-    def one(table: pa.Table, part: int, stretch: int) -> Iterator[pa.RecordBatch]:
+    def one(table: pa.Table, part: int, stretch: int, rank: int) -> Iterator[pa.RecordBatch]:
         sizes = table.column("n_tokens").to_numpy().astype(np.int64)
         for name, capacity in capacities:
             pieces = np.maximum(1, -(-sizes // capacity))
@@ -201,14 +229,23 @@ def pack(sized: DataFrame, key: str, capacities: list[tuple[str, int]]) -> DataF
             number = np.arange(len(item)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
             begin = number * capacity
             length = np.minimum(sizes[item] - begin, capacity)
-            which, _ = best_fit(length, capacity)
-            ids = ((np.int64(part) << 40) | (np.int64(stretch) << 24)) + which
+            ids = ((np.int64(part) << 40) | (np.int64(stretch) << 24)) + along_curve(length, capacity)
             for at in range(0, len(item), 20_000):
                 s = slice(at, at + 20_000)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([name] * len(item[s]), pa.string()), pa.array(ids[s]), table.column(key).take(pa.array(item[s])).combine_chunks(), pa.array(number[s], pa.int32()),
-                     pa.array(begin[s], pa.int32()), pa.array(length[s], pa.int32())],
-                    names=["container_kind", "container_id", key, "piece", "from_token", "n_tokens"],
+                     pa.array(begin[s], pa.int32()), pa.array(length[s], pa.int32()), pa.array((np.int64(part) << 40) + rank + item[s])],
+                    names=["container_kind", "container_id", key, "piece", "from_token", "n_tokens", "curve_rank"],
                 )
 
-    return sorted_.select(key, "n_tokens").mapInArrow(run, f"container_kind string, container_id long, {key} {kind}, piece int, from_token int, n_tokens int")
+    return sorted_.select(key, "n_tokens").mapInArrow(run, f"container_kind string, container_id long, {key} {kind}, piece int, from_token int, n_tokens int, curve_rank long")
+
+
+def use(packed: DataFrame, containers: DataFrame) -> DataFrame:
+    """One row a kind: how many containers, their tokens, the share of them that is filled, and how far along the curve
+    the items of a container lie apart (``median_span``, in items; containers of several items only)."""
+    span = F.max("curve_rank") - F.min("curve_rank") + 1
+    held = packed.groupBy("container_kind", "container_id").agg(F.sum("n_tokens").alias("used"), F.when(F.count("*") > 1, span).alias("span"))
+    sums = held.groupBy("container_kind").agg(F.count("*").alias("containers"), F.sum("used").alias("tokens"), F.percentile_approx("span", 0.5, 10_000).alias("median_span"))
+    room = F.col("containers") * F.col("capacity_tokens")
+    return sums.join(F.broadcast(containers), "container_kind").select("container_kind", "capacity_tokens", "containers", "tokens", (F.col("tokens") / room).alias("filled"), "median_span")

@@ -96,11 +96,10 @@ def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_use(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How full the containers of each kind are."""
-    held = p8_packed(spark, sf_dir).groupBy("container_kind", "container_id").agg(F.sum("n_tokens").alias("used"))
-    use = held.groupBy("container_kind").agg(F.count("*").alias("containers"), F.sum("used").alias("tokens"))
-    room = F.col("containers") * F.col("capacity_tokens")
-    return use.join(table(spark, sf_dir, "containers"), "container_kind").select("container_kind", "capacity_tokens", "containers", "tokens", (F.col("tokens") / room).alias("filled"))
+    """How full the containers of each kind are, and how near on the curve what they hold."""
+    from .packing import use
+
+    return use(p8_packed(spark, sf_dir), table(spark, sf_dir, "containers"))
 
 
 def p9_residue(spark: SparkSession, sf_dir: str) -> DataFrame:

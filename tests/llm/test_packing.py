@@ -3,10 +3,11 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from mediatide.llm import encoding as E
 from mediatide.llm import packing as P
-from mediatide.llm.packing import BITS, DIMENSIONS, best_fit, curve_keys, hilbert_index, measured, pack
+from mediatide.llm.packing import BITS, DIMENSIONS, along_curve, curve_keys, fill, hilbert_index, measured, pack, use
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(E.TOKENIZERS), reason="no public tokenizers")
 
@@ -22,15 +23,42 @@ def test_curve_visits_neighbours():
     assert 0 <= corner[0] < 1 << (BITS * DIMENSIONS)
 
 
-def test_best_fit():
+def test_fill_against_all_subsets():
     rnd = random.Random(2)
-    for _ in range(50):
-        sizes = np.array([rnd.randint(0, 100) for _ in range(rnd.randint(0, 200))], np.int64)
-        which, n = best_fit(sizes, 100)
-        used = np.bincount(which, weights=sizes, minlength=n) if len(sizes) else np.zeros(0)
-        assert (used <= 100).all()
-        if len(sizes):
-            assert n <= 11 / 9 * max(1, -(-sizes.sum() // 100)) + 1
+    for _ in range(200):
+        sizes = [rnd.randint(1, 40) for _ in range(rnd.randint(0, 8))]
+        room = rnd.randint(0, 100)
+        best = max(s for m in range(1 << len(sizes)) if (s := sum(x for k, x in enumerate(sizes) if m >> k & 1)) <= room)
+        assert sum(sizes[k] for k in fill(sizes, room, room)) == best
+        assert best >= sum(sizes[k] for k in fill(sizes, room, room // 2)) >= min(best, room // 2)
+
+
+def test_along_the_curve():
+    rnd = random.Random(2)
+    for n in (0, 1, 7, 3000):
+        # sizes as texts have them: many short ones, some long ones
+        sizes = np.array([min(100, int(rnd.lognormvariate(3, 0.9))) if rnd.random() < 0.9 else 0 for _ in range(n)], np.int64)
+        which = along_curve(sizes, 100)
+        assert len(which) == n
+        if n:
+            used = np.bincount(which, weights=sizes)
+            assert (used <= 100).all()
+    assert sizes.sum() / (len(used) * 100) >= 0.98
+    spans = [np.ptp(np.flatnonzero(which == c)) + 1 for c in range(len(used)) if (which == c).sum() > 1]
+    assert np.median(spans) <= 300
+
+
+def test_use(spark):
+    """Neighbours on the curve share containers, and these are full."""
+    rnd = random.Random(4)
+    df = spark.createDataFrame([(k, min(5000, int(rnd.lognormvariate(5, 0.9))), k) for k in range(5000)], "doc_id bigint, n_tokens int, place bigint")
+    kinds = [("small", 512), ("middle", 2048), ("large", 8192)]
+    packed = pack(df, "doc_id", kinds)
+    part = packed.select((F.col("curve_rank") / (1 << 40)).cast("int").alias("p")).distinct().count()
+    assert part == 2
+    for r in use(packed, spark.createDataFrame(kinds, "container_kind string, capacity_tokens int")).collect():
+        assert r.filled >= 0.98
+        assert r.median_span <= 5000 / part / 10
 
 
 def test_containers(spark):
