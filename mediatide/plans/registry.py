@@ -1,8 +1,7 @@
-"""All registered queries: the library's own and, if it is there, the text subpackage's."""
+"""The library's registered queries and the SQL that says the same."""
 
 from __future__ import annotations
 
-import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,26 +34,11 @@ def p4_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out[0].unionByName(out[1])
 
 
-def own_queries() -> dict[str, Query]:
-    return {name: run for name, (run, _) in (library.QUERIES | lists.QUERIES).items()} | {"p4_found": p4_found, "p4_values": p4_values}
-
-
-def own_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in (library.QUERIES | lists.QUERIES).items() if sql}
-
-
-def _text_queries():
-    try:
-        return importlib.import_module("mediatide.llm.queries")
-    except ImportError:
-        return None
-
-
 def queries() -> dict[str, Query]:
-    more = _text_queries()
-    return own_queries() | (more.queries() if more else {})
+    """The library's own queries by name."""
+    return {name: run for name, (run, _) in (library.QUERIES | lists.QUERIES).items()} | {"p4_found": p4_found, "p4_values": p4_values}
 
 
 def oracle_sql() -> dict[str, str]:
-    more = _text_queries()
-    return own_sql() | (more.oracle_sql() if more else {})
+    """The SQL of those that have one."""
+    return {name: sql for name, (_, sql) in (library.QUERIES | lists.QUERIES).items() if sql}
