@@ -61,6 +61,8 @@ _TOKEN = re.compile(r"[^\W\d_]+")
 #: Compatibility characters that are ordinary for what is seen.
 _KEEP = set("և（）｛｝…™©®ªº²³¹№℃°·～。、・ー") | {chr(c) for c in range(0x3131, 0x318F)}
 _DASHES = {"\u2010": "-", "\u2011": "-", "\u2012": "-"}
+#: The letters of each of the scripts, those without a look-alike included.
+_LETTERS = [re.compile(r) for r in ("[A-Za-z\xaa\xb5\xba\xc0-\u02af\u1d00-\u1dbf\u1e00-\u1eff\u2071-\u209c\u212a\u212b\u2c60-\u2c7f\ua720-\ua7ff\uab30-\uab6f\ufb00-\ufb06\uff21-\uff5a]", "[\u0400-\u052f\u1c80-\u1c8f\u2de0-\u2dff\ua640-\ua69f]", "[\u0370-\u03ff\u1f00-\u1fff]", "[\u0530-\u058f\u13a0-\u13ff\uab70-\uabbf\ua4d0-\ua4ff]")]
 _TURKIC = re.compile("[ğĞşŞİ]")
 _WIDE = re.compile("[\uff01-\uff07\uff0a-\uff5a\u3000]")
 
@@ -127,6 +129,11 @@ class _Token:
         return max(near, key=lambda s: sure[s]) if near else None
 
 
+def _one_script(text: str) -> bool:
+    """Whether letters of at most one of the scripts concerned are in the text: then no token can be mixed or confused."""
+    return sum(bool(p.search(text)) for p in _LETTERS) < 2
+
+
 def _tokens(text: str) -> list[_Token]:
     found = [_Token(m[0], m.start()) for m in _TOKEN.finditer(text)]
     return [t for t in found if t.used]
@@ -137,9 +144,9 @@ def _consistent(text: str, only: frozenset[str] | None = None) -> str:
 
     A respelt token is of one script; a mixed token that no script holds all of is left as it is.
     """
+    if _one_script(text):
+        return _dotted(text)
     tokens = _tokens(text)
-    if {s for t in tokens for s in t.used} <= {"L"}:
-        return _dotted(text, tokens)
     # scripts that the surroundings fix beyond doubt
     sure: dict[str, int] = {}
     for t in tokens:
@@ -153,19 +160,19 @@ def _consistent(text: str, only: frozenset[str] | None = None) -> str:
             out += [text[at : t.start], t.spelt(to)]
             at = t.start + len(t.text)
     out = "".join(out) + text[at:]
-    return _dotted(out, _tokens(out))
+    return _dotted(out)
 
 
-def _dotted(text: str, tokens: list[_Token]) -> str:
+def _dotted(text: str) -> str:
     """Dotless i for the ordinary one, unless other letters or a second one show that the text is Turkic."""
-    if "ı" not in text or _TURKIC.search(text) or any(t.text.count("ı") > 1 for t in tokens):
+    if "ı" not in text or _TURKIC.search(text) or any(m[0].count("ı") > 1 for m in _TOKEN.finditer(text)):
         return text
     return text.replace("ı", "i")
 
 
 def still_mixed(text: str) -> bool:
     """Whether a token of Latin, Cyrillic and Greek letters is of several scripts."""
-    return any(len(t.used) > 1 for t in _tokens(text))
+    return not _one_script(text) and any(len(t.used) > 1 for t in _tokens(text))
 
 
 def plain(text: str) -> str:
