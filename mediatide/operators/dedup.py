@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.media import song_score
 from ..session import cut
-from .ordering import numbered
+from .ordering import join_counted, numbered, ranked
 
 TOLERANCE = 30.0
 
@@ -46,8 +46,8 @@ def clustered(prints: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     counts = valid.groupBy("fingerprint", "duration").agg(F.count("*").alias("n"))
     w = Window.partitionBy("fingerprint").orderBy("duration")
     ids = _with_cluster(counts, w, tolerance)
-    several = ids.withColumn("song_count", F.sum("n").over(Window.partitionBy("fingerprint", "cid"))).where("song_count >= 2").drop("n")
-    return valid.join(several, ["fingerprint", "duration"])
+    several = cut(ids.withColumn("song_count", F.sum("n").over(Window.partitionBy("fingerprint", "cid"))).where("song_count >= 2"))
+    return join_counted(valid, several, ["fingerprint", "duration"], "n", valid.count()).drop("n")
 
 
 def _best():
@@ -74,16 +74,11 @@ def groups(prints: DataFrame, tolerance: float = TOLERANCE, number: bool = True)
 def members(prints: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """Every member with its rank in the cluster; rank 1 is the copy to keep.
 
-    The rank is the number of members with a higher score, counted per score, plus the place among equal scores,
-    so that no task holds a whole cluster. Rows of equal path count each.
+    Highest score first, then the lower path; no task holds a whole cluster, whatever its scores. Rows of equal path
+    count each.
     """
-    m = clustered(prints, tolerance)
-    per = m.groupBy("fingerprint", "cid", "score").agg(F.count("*").alias("_n"))
-    above = Window.partitionBy("fingerprint", "cid").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumn("_above", F.coalesce(F.sum("_n").over(above), F.lit(0))).drop("_n")
-    equal = Window.partitionBy("fingerprint", "cid", "score").orderBy("file_path")
-    ranked = m.join(per, ["fingerprint", "cid", "score"]).withColumn("rank", (F.col("_above") + F.row_number().over(equal)).cast("bigint"))
-    return ranked.withColumn("is_recommended_keep", F.col("rank") == 1).drop("_above")
+    m = ranked(clustered(prints, tolerance), ["fingerprint", "cid"], [F.desc("score"), F.asc("file_path")], "rank")
+    return m.withColumn("is_recommended_keep", F.col("rank") == 1)
 
 
 def summary(groups_: DataFrame) -> DataFrame:

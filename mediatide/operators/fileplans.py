@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import filecmp
 import os
 import shutil
+import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import base_name, below, extension, swap_extension
+from ..session import cut, spread
+from .ordering import ranked
 
 
 def rename_plan(records: DataFrame) -> DataFrame:
@@ -18,18 +24,42 @@ def rename_plan(records: DataFrame) -> DataFrame:
     return records.select("file_path", target.alias("target"), F.lit(True).alias("success"), F.when(same, "后缀已一致，无需重命名").otherwise("后缀纠正成功").alias("msg"))
 
 
-def _apart(plan: DataFrame) -> DataFrame:
-    """Targets that several files want get ``_1``, ``_2``, … before the extension, in order of the source path."""
-    w = Window.partitionBy("target").orderBy("file_path")
-    n = F.row_number().over(w) - 1
-    numbered = F.concat(F.regexp_replace("target", r"\.[^./]*$", ""), F.lit("_"), n.cast("string"), F.regexp_extract("target", r"(\.[^./]*)$", 1))
-    return plan.withColumn("target", F.when(n == 0, F.col("target")).otherwise(numbered))
+_NUMBERED = r"^(.*)_([1-9][0-9]{0,17})(\.[^./]*)?$"
 
 
-def transfer_plan(records: DataFrame, root: str, out: str, action: str = "copy", keep_structure: bool = True, fix_extension: bool = True) -> DataFrame:
+def apart(plan: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+    """``plan`` with every ``target`` used once and none that is in ``existing`` (``file_path``).
+
+    A wanted name goes to the lowest source path that wants it, if no file has it; all others get ``_1``, ``_2``, …
+    before the extension, in order of the source path, skipping numbers that make a name which is wanted itself or
+    taken. No two names can be numbered into the same one, as the number is read off its end. Null targets stay null.
+    """
+    cols = plan.columns
+    rows = plan.withColumns({"_file": F.lit(1), "_path": F.col("file_path")})
+    if existing is not None:
+        taken = existing.select(F.col("file_path").alias("target")).where(F.col("target").isNotNull()).distinct()
+        rows = rows.unionByName(taken.select("target", F.lit(0).alias("_file")), allowMissingColumns=True)
+    # a file that is there comes first; what stands first has the name
+    at = cut(ranked(rows, ["target"], [F.asc("_file"), F.asc("_path")], "_n").withColumn("_want", F.col("_n") - 1))
+    stays = (F.col("_want") == 0) | F.col("target").isNull()
+    first, others = at.where((F.col("_file") == 1) & stays), at.where((F.col("_file") == 1) & ~stays)
+    # numbers that are no longer free: those of wanted names and of files that are there
+    names = at.where("_n = 1").select(F.regexp_extract("target", _NUMBERED, 1).alias("_stem"), F.regexp_extract("target", _NUMBERED, 2).try_cast("bigint").alias("_want"), F.regexp_extract("target", _NUMBERED, 3).alias("_ext"))
+    used = names.where(F.col("_want").isNotNull()).select(F.concat("_stem", "_ext").alias("target"), "_want").join(others.select("target").distinct(), "target", "left_semi")
+    # the free number for the j-th is j and one more for each used number with fewer than j free ones before it: its
+    # place when the used numbers, less their own place, are sorted in after the j they don't precede
+    free_before = ranked(used, ["target"], [F.asc("_want")], "_n").select("target", (F.col("_want") - F.col("_n")).alias("_want"), F.lit(1).alias("_used"))
+    both = others.drop("_n").withColumn("_used", F.lit(0)).unionByName(free_before, allowMissingColumns=True)
+    given = ranked(both, ["target"], [F.asc("_want"), F.asc("_used")], "_k").where("_used = 0")
+    name = F.concat(F.regexp_replace("target", r"\.[^./]*$", ""), F.lit("_"), F.col("_k").cast("string"), F.regexp_extract("target", r"(\.[^./]*)$", 1))
+    return first.select(*cols).unionByName(given.withColumn("target", name).select(*cols))
+
+
+def transfer_plan(records: DataFrame, root: str, out: str, action: str = "copy", keep_structure: bool = True, fix_extension: bool = True, existing: DataFrame | None = None) -> DataFrame:
     """``(file_path, action, target, success, msg)``: files copied or moved below ``out``.
 
-    Any other action changes nothing. Wanted targets that collide are told apart.
+    Any other action changes nothing. Wanted targets that collide with each other or with ``existing`` files are
+    told apart.
     """
     if action not in ("copy", "move"):
         return records.select("file_path", F.lit(action).alias("action"), F.col("file_path").alias("target"), F.lit(True).alias("success"), F.lit("仅扫描模式，未改动文件").alias("msg"))
@@ -37,12 +67,12 @@ def transfer_plan(records: DataFrame, root: str, out: str, action: str = "copy",
     if fix_extension:
         target = F.when(F.coalesce("suggested_ext", F.lit("")) != "", swap_extension(target, F.col("suggested_ext"))).otherwise(target)
     msg = "已复制到输出目录" if action == "copy" else "已移动到输出目录"
-    return _apart(records.select("file_path", F.lit(action).alias("action"), target.alias("target"), F.lit(True).alias("success"), F.lit(msg).alias("msg")))
+    return apart(records.select("file_path", F.lit(action).alias("action"), target.alias("target"), F.lit(True).alias("success"), F.lit(msg).alias("msg")), existing)
 
 
-def recycle_plan(files: DataFrame, root: str, bin_: str) -> DataFrame:
+def recycle_plan(files: DataFrame, root: str, bin_: str, existing: DataFrame | None = None) -> DataFrame:
     """``(file_path, target, success, msg)``: files moved to the recycle folder at their place below ``root``."""
-    return _apart(files.select("file_path", below(F.col("file_path"), root, bin_).alias("target"), F.lit(True).alias("success"), F.lit("已移入回收站").alias("msg")))
+    return apart(files.select("file_path", below(F.col("file_path"), root, bin_).alias("target"), F.lit(True).alias("success"), F.lit("已移入回收站").alias("msg")), existing)
 
 
 def rewrite_records(records: DataFrame, plan: DataFrame, action: str) -> DataFrame:
@@ -62,19 +92,43 @@ def rewrite_records(records: DataFrame, plan: DataFrame, action: str) -> DataFra
     return rest
 
 
-def carry_out(plan: DataFrame, action: str) -> list[tuple[str, bool, str]]:
-    """Do what a plan says on this machine's files, a partition at a time; what fails is reported, not raised."""
-    out = []
-    for row in plan.select("file_path", "target").toLocalIterator():
-        try:
-            os.makedirs(os.path.dirname(row.target), exist_ok=True)
-            if action == "copy":
-                shutil.copy2(row.file_path, row.target)
-            elif action == "delete":
-                os.remove(row.file_path)
-            else:
-                shutil.move(row.file_path, row.target)
-            out.append((row.file_path, True, row.target))
-        except OSError as e:
-            out.append((row.file_path, False, str(e)))
-    return out
+def _transfer(source: str, target: str, action: str) -> None:
+    """One file; nothing is overwritten, and a second attempt at what was done is no failure."""
+    if action == "delete":
+        if os.path.exists(source):
+            os.remove(source)
+        return
+    os.makedirs(os.path.dirname(target), exist_ok=True)
+    if action != "copy" and not os.path.exists(source) and os.path.exists(target):
+        return
+    partial = f"{target}.{uuid.uuid4().hex}.part"
+    shutil.copy2(source, partial)
+    try:
+        os.link(partial, target)  # unlike renaming this fails where the name is taken
+    except FileExistsError:
+        if not filecmp.cmp(partial, target, shallow=False):
+            raise
+    finally:
+        os.remove(partial)
+    if action != "copy":
+        os.remove(source)
+
+
+def carry_out(plan: DataFrame, action: str) -> DataFrame:
+    """``(file_path, success, result)``: what a plan says, done by the tasks on files that all of them can reach.
+
+    ``result`` is the target or what went wrong. The plan is carried out once, when this is called.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for source, target in zip(batch["file_path"], batch["target"], strict=True):
+                try:
+                    _transfer(source, target, action)
+                    out.append((source, True, target))
+                except OSError as e:
+                    out.append((source, False, str(e)))
+            yield pd.DataFrame(out, columns=["file_path", "success", "result"])
+
+    return cut(spread(plan.select("file_path", "target")).mapInPandas(run, "file_path string, success boolean, result string"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.likeness import ENOUGH, GOOD, artist_form, artist_likeness, names_form, quality_bonus, title_form, title_likeness, total_score
 from ..functions.text import clean_title, primary_artist, strip
 from ..session import cut
+from .ordering import ranked
 
 GRAM = 3
 # fixed values: hits taken from each stage's search
@@ -40,13 +41,15 @@ def title_index(tracks: DataFrame) -> TitleIndex:
     return TitleIndex(low, cut(low.where(F.length("low") >= GRAM).select("guid", "low", F.explode(_grams(F.col("low"), GRAM)).alias("gram"))))
 
 
-def search(queries: DataFrame, index: TitleIndex, stage: int, top: int) -> DataFrame:
-    """``(song_key, stage, pos, guid)``: the first ``top`` titles (by guid) that contain each query; empty queries find nothing.
+def search(queries: DataFrame, index: TitleIndex, top: dict[int, int] = TOP) -> DataFrame:
+    """``(song_key, stage, pos, guid)``: the first titles (by guid) that contain each query, as many as its stage takes.
 
-    ``queries`` has song_key and query. Each distinct query is searched once. Queries of one or two characters
-    look for themselves among the titles' grams of that length.
+    ``queries`` has song_key, stage and query; empty queries find nothing. Each distinct query is searched once, for
+    whatever songs and stages. Queries of one or two characters look for themselves among the titles' grams of that
+    length; no more than are wanted of a query leave a task.
     """
-    q = queries.select(F.lower("query").alias("query")).where(F.col("query") != "").distinct()
+    asked = queries.withColumn("query", F.lower("query")).where(F.col("query") != "")
+    q = asked.select("query").distinct()
     wanted = q.where(F.length("query") >= GRAM).select("query", F.explode(_grams(F.col("query"), GRAM)).alias("gram"))
     counts = index.grams.groupBy("gram").agg(F.count("*").alias("n"))
     rarest = wanted.join(counts, "gram", "left").groupBy("query").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("r")).select("query", F.col("r.gram").alias("gram"))
@@ -55,8 +58,9 @@ def search(queries: DataFrame, index: TitleIndex, stage: int, top: int) -> DataF
     some = index.titles.select("guid", F.explode(F.array_distinct(F.concat(_grams(F.col("low"), 1), _grams(F.col("low"), 2)))).alias("gram"))
     hits = hits.unionByName(some.join(short, "gram").select("query", "guid"))
     w = Window.partitionBy("query").orderBy("guid")
-    best = hits.withColumn("pos", F.row_number().over(w).cast("bigint")).where(F.col("pos") <= top)
-    return queries.select("song_key", F.lower("query").alias("query")).join(best, "query").select("song_key", F.lit(stage).alias("stage"), "pos", "guid")
+    best = hits.withColumn("pos", F.row_number().over(w).cast("bigint")).where(F.col("pos") <= max(top.values()))
+    most = F.element_at(F.create_map(*(F.lit(x) for item in top.items() for x in item)), F.col("stage"))
+    return asked.join(best, "query").where(F.col("pos") <= most).select("song_key", "stage", "pos", "guid")
 
 
 def _scored(found: DataFrame, songs: DataFrame, tracks: DataFrame) -> DataFrame:
@@ -78,26 +82,28 @@ def match_songs(songs: DataFrame, tracks: DataFrame) -> DataFrame:
     songs = cut(songs.withColumns({"clean": clean_title(F.col("song_name")), "first": primary_artist(F.col("artist")), "song_form": title_form(F.col("song_name")), "artist_form": artist_form(F.col("artist"))}))
     tracks = tracks.select("guid", F.coalesce("title", F.lit("")).alias("title"), F.transform(F.coalesce("names", F.array().cast("array<string>")), lambda n: F.coalesce(n, F.lit(""))).alias("names"), "format", "bitrate")
     tracks = cut(tracks.select("guid", "title", title_form(F.col("title")).alias("title_form"), names_form(F.col("names")).alias("names_form"), quality_bonus(F.col("format"), F.col("bitrate")).alias("bonus")))
-    index = title_index(tracks)
-    one = cut(_scored(search(songs.select("song_key", F.col("clean").alias("query")), index, 1, TOP[1]), songs, tracks))
-    state = songs.join(one.groupBy("song_key").agg(F.count("*").alias("n"), F.max("score").alias("best")), "song_key", "left")
-    open_ = state.where(F.coalesce("best", F.lit(0.0)) < GOOD)
-    raw = open_.where((F.coalesce("n", F.lit(0)) < 5) & (F.col("song_name") != "") & (F.col("song_name") != F.col("clean")))
-    two = cut(_scored(search(raw.select("song_key", F.col("song_name").alias("query")), index, 2, TOP[2]), songs, tracks))
-    so_far = one.unionByName(two)
-    none = cut(songs.where(F.col("first") != "").join(so_far.select("song_key").distinct(), "song_key", "left_anti"))
-    three = cut(_scored(search(none.select("song_key", strip(F.concat_ws(" ", "clean", "first")).alias("query")), index, 3, TOP[3]), songs, tracks))
-    still = none.join(three.select("song_key").distinct(), "song_key", "left_anti")
-    four = _scored(search(still.select("song_key", F.col("first").alias("query")), index, 4, TOP[4]), songs, tracks)
-    all_ = so_far.unionByName(three).unionByName(four)
-    # first find of a track counts; then the highest score, the earliest find among equals
-    best = all_.groupBy("song_key").agg(F.min_by(F.struct("guid", "score"), F.struct(-F.col("score"), "stage", "pos")).alias("b"), F.countDistinct("guid").alias("candidates"))
-    out = songs.select("song_key", "song_name", "artist").join(best, "song_key", "left")
-    score = F.coalesce("b.score", F.lit(0.0))
+    # the queries of all stages are searched in one pass; which stages count is decided on what they found
+    joined = strip(F.concat_ws(" ", "clean", "first"))
+    has = F.col("first") != ""
+    asked = songs.select("song_key", F.explode(F.array(
+        F.struct(F.lit(1).alias("stage"), F.col("clean").alias("query")), F.struct(F.lit(2).alias("stage"), F.when(F.col("song_name") != F.col("clean"), F.col("song_name")).otherwise("").alias("query")),
+        F.struct(F.lit(3).alias("stage"), F.when(has, joined).otherwise("").alias("query")), F.struct(F.lit(4).alias("stage"), F.col("first").alias("query")),
+    )).alias("q")).select("song_key", "q.stage", "q.query")
+    found = _scored(search(asked, title_index(tracks)), songs, tracks)
+    finds = []
+    for k in TOP:
+        of = F.col("stage") == k
+        finds += [F.count_if(of).alias(f"n{k}"), F.min(F.when(of, F.struct((-F.col("score")).alias("less"), "stage", "pos", "guid"))).alias(f"b{k}")]
+    found = found.groupBy("song_key").agg(*finds)
+    # the raw title is only asked for where the cleaned one found little and nothing good
+    second = (F.col("n1") < 5) & (F.coalesce(-F.col("b1.less"), F.lit(0.0)) < GOOD)
+    best = F.when(F.col("n1") > 0, F.least("b1", F.when(second, F.col("b2")))).when(F.col("n2") > 0, F.col("b2")).when(F.col("n3") > 0, F.col("b3")).otherwise(F.col("b4"))
+    out = songs.select("song_key", "song_name", "artist").join(found.select("song_key", best.alias("b")), "song_key", "left")
+    score = F.coalesce(-F.col("b.less"), F.lit(0.0))
     matched = (score >= ENOUGH) & F.col("b.guid").isNotNull()
     return out.select(
         "song_key", "song_name", "artist", matched.alias("matched"), F.when(matched, F.col("b.guid")).otherwise("").alias("track_guid"), score.alias("score"),
-        F.when(F.coalesce("candidates", F.lit(0)) == 0, NOT_FOUND).when(~matched, TOO_FAR).otherwise("").alias("error"),
+        F.when(F.col("b").isNull(), NOT_FOUND).when(~matched, TOO_FAR).otherwise("").alias("error"),
     )
 
 
@@ -107,8 +113,14 @@ def import_report(matches: DataFrame, by: list[str] | None = None) -> DataFrame:
     return matches.groupBy(*by).agg(*counts) if by else matches.agg(*counts)
 
 
+def matched_lists(matches: DataFrame, by: str, order: str, per_page: int = 1_000) -> DataFrame:
+    """``(by, page, guids)``: the tracks found for each list, in the order of its songs, so many a page."""
+    hits = ranked(matches.where(F.col("matched")), [by], [F.asc(order)], "_n").withColumn("page", F.floor((F.col("_n") - 1) / per_page).cast("bigint"))
+    inside = F.array_sort(F.collect_list(F.struct("_n", "track_guid")))
+    return hits.groupBy(by, "page").agg(inside.alias("_g")).select(by, "page", F.array_join(F.transform("_g", lambda g: g["track_guid"]), ",").alias("guids"))
+
+
 def unmatched_lines(matches: DataFrame, by: str, order: str) -> DataFrame:
     """``(by, no, line)``: what was not found in each list, numbered from 1, as ``1. song - artist``."""
-    w = Window.partitionBy(by).orderBy(order)
-    missing = matches.where(~F.col("matched")).withColumn("no", F.row_number().over(w).cast("bigint"))
+    missing = ranked(matches.where(~F.col("matched")), [by], [F.asc(order)], "no")
     return missing.select(by, "no", F.concat(F.col("no").cast("string"), F.lit(". "), F.col("song_name"), F.lit(" - "), F.col("artist")).alias("line"))

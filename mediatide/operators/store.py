@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import os
+import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .ordering import numbered
 
@@ -79,50 +80,91 @@ def cache_hits(files: DataFrame, cache: DataFrame, force: bool = False) -> DataF
 
 
 class ParquetStore:
-    """A record set in a folder, one directory a version: a write is complete before readers see it."""
+    """A record set by key in a folder that any file system of the cluster may hold.
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+    Rows lie in buckets by the hash of their key. A write makes new files for the buckets it touches and then a new
+    list of what is current, under the next number; readers take the highest number there is. A write that dies leaves
+    the list before it in force, and of two writes at once the later one fails instead of losing the earlier one's rows.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, keys: list[str] | None = None, buckets: int = 32):
+        self.spark, self.folder, self.keys, self.buckets = spark, folder.rstrip("/"), keys, buckets
         jvm = spark._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def _current(self) -> str | None:
-        head = self._path(self.folder + "/CURRENT")
-        if not self._fs.exists(head):
-            return None
-        return self.spark.read.text(self.folder + "/CURRENT").first()[0]
+    def _names(self, folder: str) -> list[str]:
+        at = self._path(folder)
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(at)) if self._fs.exists(at) else []
+
+    def _current(self) -> tuple[int, dict | None]:
+        """The highest number of a list, and that list."""
+        numbers = [int(n) for n in self._names(self.folder + "/_current") if n.isdigit()]
+        if not numbers:
+            return 0, None
+        stream = self._fs.open(self._path(f"{self.folder}/_current/{max(numbers):012d}"))
+        try:
+            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        return max(numbers), json.loads(text)
+
+    def _announce(self, number: int, current: dict) -> None:
+        temporary = self._path(f"{self.folder}/_current/.{uuid.uuid4().hex}")
+        out = self._fs.create(temporary, True)
+        out.write(json.dumps(current).encode())
+        out.close()
+        head = self._path(f"{self.folder}/_current/{number:012d}")
+        if self._fs.exists(head) or not self._fs.rename(temporary, head):
+            self._fs.delete(temporary, False)
+            raise RuntimeError(f"{self.folder} was written to by another writer")
+
+    def _frame(self, current: dict, buckets: list[int] | None = None) -> DataFrame:
+        schema = T.StructType.fromJson(current["schema"])
+        parts = [f"{self.folder}/{v}/_bucket={b}" for b, v in current["parts"].items() if buckets is None or int(b) in buckets]
+        return self.spark.read.schema(schema).parquet(*parts) if parts else self.spark.createDataFrame([], schema)
+
+    def _write_buckets(self, df: DataFrame, keys: list[str], buckets: int) -> tuple[str, list[int]]:
+        """A new folder with the rows of ``df``, and the buckets that have any."""
+        version = uuid.uuid4().hex
+        df.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets))).repartition("_bucket").write.partitionBy("_bucket").parquet(f"{self.folder}/{version}")
+        return version, [int(n.split("=")[1]) for n in self._names(f"{self.folder}/{version}") if n.startswith("_bucket=")]
 
     def read(self) -> DataFrame | None:
-        at = self._current()
-        return self.spark.read.parquet(f"{self.folder}/{at}") if at else None
+        _, current = self._current()
+        return self._frame(current) if current else None
 
-    def write(self, df: DataFrame) -> None:
-        """Write a new version and make it the current one; the version before stays until ``vacuum``."""
-        version = uuid.uuid4().hex
-        df.write.parquet(f"{self.folder}/{version}")
-        temporary = self._path(f"{self.folder}/CURRENT.{version}")
-        out = self._fs.create(temporary, True)
-        out.write(version.encode())
-        out.close()
-        head = self._path(self.folder + "/CURRENT")
-        if self._fs.exists(head):
-            self._fs.delete(head, False)
-        self._fs.rename(temporary, head)
+    def write(self, df: DataFrame, keys: list[str] | None = None) -> None:
+        """Make ``df`` the whole content; what was there stays on disk until ``vacuum``."""
+        keys = keys or self.keys or df.columns[:1]
+        number, _ = self._current()
+        version, there = self._write_buckets(df, keys, self.buckets)
+        self._announce(number + 1, {"schema": df.schema.jsonValue(), "keys": keys, "buckets": self.buckets, "parts": {str(b): version for b in there}})
 
     def upsert(self, updates: DataFrame, keys: list[str], order: list[Column]) -> None:
-        now = self.read()
-        self.write(latest(updates, keys, order) if now is None else upsert(now, updates, keys, order))
+        """Merge a batch by key; only the buckets that hold its keys are read and written."""
+        number, current = self._current()
+        if current is None or current["keys"] != keys:
+            self.write(latest(updates, keys, order) if current is None else upsert(self._frame(current), updates, keys, order), keys)
+            return
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(current["buckets"]))
+        touched = [r[0] for r in updates.select(bucket.alias("b")).distinct().collect()]  # at most as many as there are buckets
+        version, there = self._write_buckets(upsert(self._frame(current, touched), updates, keys, order), keys, current["buckets"])
+        parts = {b: v for b, v in current["parts"].items() if int(b) not in touched} | {str(b): version for b in there}
+        self._announce(number + 1, current | {"parts": parts})
 
     def truncate(self) -> None:
-        now = self.read()
-        if now is not None:
-            self.write(now.limit(0))
+        number, current = self._current()
+        if current is not None:
+            self._announce(number + 1, current | {"parts": {}})
 
     def vacuum(self) -> None:
-        """Remove all versions but the current one."""
-        at = self._current()
-        for status in self._fs.listStatus(self._path(self.folder)):
-            name = os.path.basename(status.getPath().toString())
-            if status.isDirectory() and name != at:
-                self._fs.delete(status.getPath(), True)
+        """Remove what the current list doesn't name, and the lists before it; no write may be under way."""
+        number, current = self._current()
+        keep = set(current["parts"].values()) if current else set()
+        for name in self._names(self.folder):
+            if name != "_current" and name not in keep:
+                self._fs.delete(self._path(f"{self.folder}/{name}"), True)
+        for name in self._names(self.folder + "/_current"):
+            if name != f"{number:012d}":
+                self._fs.delete(self._path(f"{self.folder}/_current/{name}"), False)

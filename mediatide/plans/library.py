@@ -299,6 +299,16 @@ def recycle_plan(spark, sf):
     return fileplans.recycle_plan(_records(spark, sf).where(F.col("is_audio") == 0), "/vol2", "/output/_recycle_bin")
 
 
+def plan_targets_apart(spark, sf):
+    """All files copied into one folder in which some names are taken: how many names, and whether any is used twice or taken."""
+    r = _records(spark, sf)
+    plan = fileplans.transfer_plan(r, "/", "/output", keep_structure=False)
+    there = plan.where(F.pmod(F.xxhash64("file_path"), F.lit(3)) == 0).select(F.col("target").alias("file_path"))
+    made = fileplans.transfer_plan(r, "/", "/output", keep_structure=False, existing=there)
+    flagged = made.join(there.distinct().select(F.col("file_path").alias("target"), F.lit(1).alias("taken")), "target", "left")
+    return flagged.agg(F.count("*").alias("files"), F.countDistinct("target").alias("names"), F.count("taken").alias("taken"))
+
+
 def records_after_rename(spark, sf):
     r = _records(spark, sf)
     return fileplans.rewrite_records(r, fileplans.rename_plan(formats.search(r, mismatch_only=True)), "rename_fix")
@@ -426,6 +436,7 @@ QUERIES = {
     "copy_plan": (copy_plan, "SELECT file_path, 'copy' AS action, target, true AS success, '已复制到输出目录' AS msg FROM (" + _apart_sql(f"SELECT file_path, {_BARE_SQL} || suggested_ext AS target FROM ({_MISMATCH_SQL})") + ")"),
     "move_plan": (move_plan, "SELECT file_path, 'move' AS action, target, true AS success, '已移动到输出目录' AS msg FROM (" + _apart_sql(f"SELECT file_path, '/output/' || {_BELOW_SQL.format(root='/vol1', n=7)} AS target FROM ({_MISMATCH_SQL})") + ")"),
     "recycle_plan": (recycle_plan, "SELECT file_path, target, true AS success, '已移入回收站' AS msg FROM (" + _apart_sql(f"SELECT file_path, '/output/_recycle_bin/' || {_BELOW_SQL.format(root='/vol2', n=7)} AS target FROM ({CHECK_SQL}) WHERE is_audio = 0") + ")"),
+    "plan_targets_apart": (plan_targets_apart, f"SELECT count(*) AS files, count(*) AS names, 0::BIGINT AS taken FROM ({FILES_SQL})"),
     "records_after_rename": (records_after_rename, f"""SELECT CASE is_mismatch WHEN 1 THEN {_PATH_SQL} || suggested_ext ELSE file_path END AS file_path, CASE is_mismatch WHEN 1 THEN regexp_replace(file_name, '\\.[^./]*$', '') || suggested_ext ELSE file_name END AS file_name,
  CASE is_mismatch WHEN 1 THEN lower(suggested_ext) ELSE current_ext END AS current_ext, detected_format, suggested_ext, 0 AS is_mismatch, is_audio, CASE is_mismatch WHEN 1 THEN '已修正后缀' ELSE status END AS status FROM ({CHECK_SQL})"""),
     "records_after_copy": (records_after_copy, f"""SELECT c.file_path, c.file_name, current_ext, detected_format, suggested_ext, is_mismatch, is_audio, CASE WHEN t.target IS NULL THEN status ELSE '已复制到: ' || regexp_extract(t.target, '([^/]+)$', 1) END AS status FROM ({CHECK_SQL}) c

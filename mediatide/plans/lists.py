@@ -270,34 +270,61 @@ def _part_tracks(spark, sf):
     return p.select(F.col("p_partkey").cast("string").alias("guid"), F.concat("p_name", F.lit(" "), F.lower("p_type")).alias("title"), F.array("p_brand").alias("names"), F.when(F.col("p_partkey") % 3 == 0, "flac").otherwise("mp3").alias("format"), F.when(F.col("p_partkey") % 2 == 0, 320000).otherwise(128000).alias("bitrate"))
 
 
-def _part_songs(spark, sf):
-    p = table(spark, sf, "part").where("p_partkey % 10 = 0")
+def _part_songs(spark, sf, asked=False):
+    """Wishes of all parts; ``asked``: the query set of a search, the ids divisible by 50."""
+    p = table(spark, sf, "part")
+    p = p.where("p_partkey % 50 = 0") if asked else p
     t = F.concat("p_name", F.lit(" "), F.lower("p_type"))
-    name = F.when(F.col("p_partkey") % 40 == 0, F.concat(t, F.lit(" (Live)"))).when(F.col("p_partkey") % 40 == 10, t).when(F.col("p_partkey") % 40 == 20, F.concat(F.substring(t, 2, 99), F.lit("q"))).otherwise(F.concat(F.lit("zz "), t))
-    return p.select(F.col("p_partkey").alias("song_key"), name.alias("song_name"), F.when(F.col("p_partkey") % 50 == 0, "").otherwise(F.concat("p_brand", F.lit(" feat. Nobody"))).alias("artist"))
+    name = F.when(F.col("p_partkey") % 40 == 0, F.concat(t, F.lit(" (Live)"))).when(F.col("p_partkey") % 40 == 10, t).when(F.col("p_partkey") % 10 == 3, F.concat(t, F.lit("s"))).when(F.col("p_partkey") % 40 == 20, F.concat(F.substring(t, 2, 99), F.lit("q"))).otherwise(F.concat(F.lit("zz "), t))
+    return p.select(F.col("p_partkey").alias("song_key"), name.alias("song_name"), F.when(F.col("p_partkey") % 250 == 0, "").otherwise(F.concat("p_brand", F.lit(" feat. Nobody"))).alias("artist"))
+
 
+def _library_songs(spark, sf):
+    """The query set of the typed songs: ids divisible by 50."""
+    return _songs(spark, sf).where("song_id % 50 = 0").select(F.col("song_id").alias("song_key"), "history_id", "song_name", "artist")
 
-TRACKS_SQL = "SELECT p_partkey::VARCHAR AS guid, p_name || ' ' || lower(p_type) AS title, p_brand AS name, CASE WHEN p_partkey % 3 = 0 THEN 'flac' ELSE 'mp3' END AS format, CASE WHEN p_partkey % 2 = 0 THEN 320000 ELSE 128000 END AS bitrate FROM part"
+
+def _library_tracks(spark, sf):
+    t = table(spark, sf, "tracks")
+    return t.select("guid", _ascii(F.col("title")).alias("title"), F.transform("artists", lambda a: a["name"]).alias("names"), F.col("audiospec.format").alias("format"), F.col("audiospec.bitrate").alias("bitrate"))
+
+
+TRACKS_SQL = "SELECT p_partkey::VARCHAR AS guid, p_name || ' ' || lower(p_type) AS title, [p_brand] AS names, CASE WHEN p_partkey % 3 = 0 THEN 'flac' ELSE 'mp3' END AS format, CASE WHEN p_partkey % 2 = 0 THEN 320000 ELSE 128000 END AS bitrate FROM part"
 _T = "p_name || ' ' || lower(p_type)"
-WISHES_SQL = f"""SELECT *, {_clean_sql('song_name')} AS clean, {_first_sql('artist')} AS first FROM (SELECT p_partkey AS song_key, CASE p_partkey % 40 WHEN 0 THEN {_T} || ' (Live)' WHEN 10 THEN {_T} WHEN 20 THEN substr({_T}, 2, 99) || 'q' ELSE 'zz ' || {_T} END AS song_name,
- CASE WHEN p_partkey % 50 = 0 THEN '' ELSE p_brand || ' feat. Nobody' END AS artist FROM part WHERE p_partkey % 10 = 0)"""
+
+
+def _wishes_sql(asked: bool) -> str:
+    return f"""SELECT *, {_clean_sql('song_name')} AS clean, {_first_sql('artist')} AS first FROM (SELECT p_partkey AS song_key, CASE WHEN p_partkey % 40 = 0 THEN {_T} || ' (Live)' WHEN p_partkey % 40 = 10 THEN {_T} WHEN p_partkey % 10 = 3 THEN {_T} || 's' WHEN p_partkey % 40 = 20 THEN substr({_T}, 2, 99) || 'q' ELSE 'zz ' || {_T} END AS song_name,
+ CASE WHEN p_partkey % 250 = 0 THEN '' ELSE p_brand || ' feat. Nobody' END AS artist FROM part {"WHERE p_partkey % 50 = 0" if asked else ""})"""
+
+
+LIBRARY_TRACKS_SQL = f"SELECT guid, {_ASCII_SQL.format('title')} AS title, coalesce(list_transform(artists, lambda a: coalesce(a.name, '')), []) AS names, audiospec.format AS format, audiospec.bitrate AS bitrate FROM tracks"
+LIBRARY_WISHES_SQL = f"SELECT *, {_clean_sql('song_name')} AS clean, {_first_sql('artist')} AS first FROM (SELECT song_id AS song_key, history_id, {NAME} AS song_name, {ARTIST} AS artist FROM songs WHERE song_id % 50 = 0)"
+
+
+def _edits_sql(a: str, b: str) -> str:
+    """The edit distance in characters: the function counts bytes, so each text is written anew with one byte for each different character of both."""
+    letters = f"list_distinct(string_split({a} || {b}, ''))"
+    byte = lambda x: f"array_to_string(list_transform(string_split({x}, ''), lambda ch: chr((32 + list_position({letters}, ch))::INT)), '')"
+    return f"CASE WHEN {a} = '' OR {b} = '' THEN greatest(length({a}), length({b})) ELSE levenshtein({byte(a)}, {byte(b)}) END"
 
 
 def _title_score_sql(a: str, b: str) -> str:
     ca, cb = _clean_sql(a), _clean_sql(b)
     return f"""CASE WHEN {a} = {b} THEN 1.0::DOUBLE WHEN {ca} = {cb} AND {ca} <> '' THEN 0.95::DOUBLE
  WHEN contains({a}, {b}) OR contains({b}, {a}) OR ({ca} <> '' AND (contains({ca}, {cb}) OR contains({cb}, {ca}))) THEN 0.80::DOUBLE + 0.15::DOUBLE * least(length({a}), length({b})) / greatest(length({a}), length({b}))
- ELSE greatest(0.0::DOUBLE, 1.0::DOUBLE - levenshtein({a}, {b})::DOUBLE / greatest(length({a}), length({b}))) END"""
+ ELSE greatest(0.0::DOUBLE, 1.0::DOUBLE - ({_edits_sql(a, b)})::DOUBLE / greatest(length({a}), length({b}))) END"""
 
 
-_ARTIST_SCORE = """CASE WHEN q = '' THEN 0.7::DOUBLE WHEN contains(c, q) OR contains(q, c) THEN 1.0::DOUBLE WHEN f <> '' AND (contains(c, f) OR contains(f, c)) THEN 0.92::DOUBLE
- ELSE greatest(0.0::DOUBLE, 1.0::DOUBLE - levenshtein(f, c)::DOUBLE / greatest(length(f), length(c))) END"""
+_ARTIST_SCORE = f"""CASE WHEN q = '' THEN 0.7::DOUBLE WHEN contains(c, q) OR contains(q, c) THEN 1.0::DOUBLE WHEN f <> '' AND (contains(c, f) OR contains(f, c)) THEN 0.92::DOUBLE
+ ELSE coalesce(list_max(list_transform(list_filter(ns, lambda n: n <> ''), lambda n: greatest(0.0::DOUBLE, 1.0::DOUBLE - ({_edits_sql('f', 'n')})::DOUBLE / greatest(length(f), length(n))))), 0.0::DOUBLE) END"""
 
 
 def _scored_sql(pairs: str) -> str:
-    """Pairs with song_key, song_name, artist, guid, title, name, format, bitrate and the stage they were found in."""
-    return f"""SELECT *, least(1.0::DOUBLE, ts * 0.55::DOUBLE + ars * 0.40::DOUBLE + CASE WHEN format IN ('flac', 'ape', 'wav', 'alac', 'dsf', 'dff') THEN 0.05::DOUBLE WHEN bitrate >= 320000 OR bitrate = 320 THEN 0.03::DOUBLE ELSE 0.0::DOUBLE END) AS score FROM (
- SELECT *, {_title_score_sql('a', 'b')} AS ts, {_ARTIST_SCORE} AS ars FROM (SELECT *, lower(song_name) AS a, lower(title) AS b, lower(artist) AS q, lower(name) AS c, lower({_first_sql('lower(artist)')}) AS f FROM ({pairs})))"""
+    """Pairs with song_key, song_name, artist, guid, title, names, format, bitrate and the stage they were found in."""
+    return f"""SELECT *, least(1.0::DOUBLE, ts * 0.55::DOUBLE + ars * 0.40::DOUBLE + CASE WHEN lower(format) IN ('flac', 'ape', 'wav', 'alac', 'dsf', 'dff') THEN 0.05::DOUBLE WHEN bitrate >= 320000 OR bitrate = 320 THEN 0.03::DOUBLE ELSE 0.0::DOUBLE END) AS score FROM (
+ SELECT *, {_title_score_sql('a', 'b')} AS ts, {_ARTIST_SCORE} AS ars FROM (SELECT *, array_to_string(ns, ' ') AS c FROM (SELECT *, lower({_TRIM.format('song_name')}) AS a, lower({_TRIM.format('title')}) AS b, lower({_TRIM.format('artist')}) AS q,
+  list_transform(names, lambda n: lower({_TRIM.format('n')})) AS ns, lower({_first_sql('lower(artist)')}) AS f FROM ({pairs}))))"""
 
 
 def _neighbours(spark, sf):
@@ -307,7 +334,7 @@ def _neighbours(spark, sf):
     return near.join(t, "guid")
 
 
-NEAR_SQL = f"SELECT s.*, t.* FROM ({WISHES_SQL}) s JOIN ({TRACKS_SQL}) t ON t.guid::BIGINT BETWEEN s.song_key - 3 AND s.song_key + 6"
+NEAR_SQL = f"SELECT s.*, t.* FROM ({_wishes_sql(False)}) s JOIN ({TRACKS_SQL}) t ON t.guid::BIGINT BETWEEN s.song_key - 3 AND s.song_key + 6"
 
 
 def title_score(spark, sf):
@@ -323,29 +350,36 @@ def score_candidate(spark, sf):
 
 
 def candidate_topk(spark, sf):
-    songs, tracks = _part_songs(spark, sf), _part_tracks(spark, sf)
-    found = matching.search(songs.select("song_key", X.clean_title(F.col("song_name")).alias("query")), matching.title_index(tracks), 1, matching.TOP[1])
+    songs, tracks = _part_songs(spark, sf, True), _part_tracks(spark, sf)
+    found = matching.search(songs.select("song_key", F.lit(1).alias("stage"), X.clean_title(F.col("song_name")).alias("query")), matching.title_index(tracks))
     return found.select("song_key", "pos", "guid")
 
 
-def _stage_sql(stage: int, source: str, query: str, where: str = "true") -> str:
-    return f"SELECT * FROM (SELECT s.song_key, {stage} AS stage, row_number() OVER (PARTITION BY s.song_key ORDER BY t.guid) AS pos, s.song_name, s.artist, t.* FROM ({source}) s JOIN ({TRACKS_SQL}) t ON contains(lower(t.title), lower({query})) WHERE {query} <> '' AND {where}) WHERE pos <= {matching.TOP[stage]}"
+def _stage_sql(stage: int, source: str, query: str, tracks: str = TRACKS_SQL) -> str:
+    return f"SELECT * FROM (SELECT s.song_key, {stage} AS stage, row_number() OVER (PARTITION BY s.song_key ORDER BY t.guid) AS pos, s.song_name, s.artist, t.* FROM ({source}) s JOIN ({tracks}) t ON contains(lower(t.title), lower({query})) WHERE {query} <> '') WHERE pos <= {matching.TOP[stage]}"
 
 
-MATCH_CTES = f"""WITH w AS ({WISHES_SQL}), s1 AS ({_scored_sql(_stage_sql(1, 'SELECT * FROM w', 's.clean'))}),
+def _match_sql(wishes: str, tracks: str) -> str:
+    """The stages one after the other, as they are described; the result is ``m``."""
+    return f"""WITH w AS ({wishes}), s1 AS ({_scored_sql(_stage_sql(1, 'SELECT * FROM w', 's.clean', tracks))}),
  st AS (SELECT w.*, coalesce(n, 0) AS n, coalesce(best, 0) AS best FROM w LEFT JOIN (SELECT song_key, count(*) AS n, max(score) AS best FROM s1 GROUP BY 1) x ON w.song_key = x.song_key),
- s2 AS ({_scored_sql(_stage_sql(2, 'SELECT * FROM st WHERE best < 0.85 AND n < 5 AND song_name <> clean', 's.song_name'))}),
+ s2 AS ({_scored_sql(_stage_sql(2, 'SELECT * FROM st WHERE best < 0.85 AND n < 5 AND song_name <> clean', 's.song_name', tracks))}),
  n3 AS (SELECT * FROM w WHERE first <> '' AND song_key NOT IN (SELECT song_key FROM s1) AND song_key NOT IN (SELECT song_key FROM s2)),
- s3 AS ({_scored_sql(_stage_sql(3, 'SELECT * FROM n3', "trim(s.clean || ' ' || s.first)"))}),
- s4 AS ({_scored_sql(_stage_sql(4, 'SELECT * FROM n3 WHERE song_key NOT IN (SELECT song_key FROM s3)', 's.first'))}),
+ s3 AS ({_scored_sql(_stage_sql(3, 'SELECT * FROM n3', "trim(s.clean || ' ' || s.first)", tracks))}),
+ s4 AS ({_scored_sql(_stage_sql(4, 'SELECT * FROM n3 WHERE song_key NOT IN (SELECT song_key FROM s3)', 's.first', tracks))}),
  al AS (SELECT * FROM s1 UNION ALL SELECT * FROM s2 UNION ALL SELECT * FROM s3 UNION ALL SELECT * FROM s4),
  be AS (SELECT song_key, guid, score FROM al QUALIFY row_number() OVER (PARTITION BY song_key ORDER BY score DESC, stage, pos) = 1),
- m AS (SELECT w.song_key, w.song_name, w.artist, coalesce(be.score, 0) >= 0.65 AS matched, CASE WHEN coalesce(be.score, 0) >= 0.65 THEN be.guid ELSE '' END AS track_guid, round(coalesce(be.score, 0), 6) AS score,
+ m AS (SELECT w.*, coalesce(be.score, 0) >= 0.65 AS matched, CASE WHEN coalesce(be.score, 0) >= 0.65 THEN be.guid ELSE '' END AS track_guid, round(coalesce(be.score, 0), 6) AS score,
   CASE WHEN be.guid IS NULL THEN '{matching.NOT_FOUND}' WHEN be.score < 0.65 THEN '{matching.TOO_FAR}' ELSE '' END AS error FROM w LEFT JOIN be ON w.song_key = be.song_key)"""
 
 
+MATCH_CTES = _match_sql(_wishes_sql(True), TRACKS_SQL)
+LIBRARY_CTES = _match_sql(LIBRARY_WISHES_SQL, LIBRARY_TRACKS_SQL)
+_MATCH_COLUMNS = "song_key, song_name, artist, matched, track_guid, score, error"
+
+
 def _matches(spark, sf):
-    return matching.match_songs(_part_songs(spark, sf), _part_tracks(spark, sf))
+    return matching.match_songs(_part_songs(spark, sf, True), _part_tracks(spark, sf))
 
 
 def match_songs(spark, sf):
@@ -362,11 +396,30 @@ def unmatched_list(spark, sf):
 
 
 def library_matches(spark, sf):
-    """The typed songs against the library's own tracks, in whatever script."""
+    """Typed songs against all of the library's own tracks, in whatever script."""
+    return matching.match_songs(_library_songs(spark, sf), _library_tracks(spark, sf)).withColumn("score", F.round("score", 6))
+
+
+def _library_lists(spark, sf):
+    return library_matches(spark, sf).join(_library_songs(spark, sf).select("song_key", "history_id"), "song_key")
+
+
+def library_report(spark, sf):
+    return matching.import_report(_library_lists(spark, sf), ["history_id"])
+
+
+def library_matched_ids(spark, sf):
+    return matching.matched_lists(_library_lists(spark, sf), "history_id", "song_key")
+
+
+def library_unmatched(spark, sf):
+    return matching.unmatched_lines(_library_lists(spark, sf), "history_id", "song_key")
+
+
+def library_all_matches(spark, sf):
+    """All typed songs against all tracks; too many pairs for nested SQL."""
     songs = table(spark, sf, "songs").select(F.col("song_id").alias("song_key"), "song_name", "artist")
-    t = table(spark, sf, "tracks")
-    tracks = t.select("guid", "title", F.transform("artists", lambda a: a["name"]).alias("names"), F.col("audiospec.format").alias("format"), F.col("audiospec.bitrate").alias("bitrate"))
-    return matching.match_songs(songs, tracks)
+    return matching.match_songs(songs, _library_tracks(spark, sf))
 
 
 def _events(spark, sf):
@@ -436,11 +489,15 @@ QUERIES = {
     "title_score": (title_score, f"SELECT song_key, guid, round(ts, 6) AS score FROM ({_scored_sql(NEAR_SQL)})"),
     "artist_score": (artist_score, f"SELECT song_key, guid, round(ars, 6) AS score FROM ({_scored_sql(NEAR_SQL)})"),
     "score_candidate": (score_candidate, f"SELECT song_key, guid, round(score, 6) AS score FROM ({_scored_sql(NEAR_SQL)})"),
-    "candidate_topk": (candidate_topk, f"SELECT song_key, pos, guid FROM ({_stage_sql(1, WISHES_SQL, 's.clean')})"),
-    "match_songs": (match_songs, MATCH_CTES + " SELECT * FROM m"),
+    "candidate_topk": (candidate_topk, f"SELECT song_key, pos, guid FROM ({_stage_sql(1, _wishes_sql(True), 's.clean')})"),
+    "match_songs": (match_songs, f"{MATCH_CTES} SELECT {_MATCH_COLUMNS} FROM m"),
     "import_report": (import_report, MATCH_CTES + " SELECT count(*) AS total, count(*) FILTER (matched) AS matched, count(*) FILTER (NOT matched) AS unmatched FROM m"),
     "unmatched_list": (unmatched_list, MATCH_CTES + " SELECT bucket, no, no || '. ' || song_name || ' - ' || artist AS line FROM (SELECT song_key % 100 AS bucket, row_number() OVER (PARTITION BY song_key % 100 ORDER BY song_key) AS no, song_name, artist FROM m WHERE NOT matched)"),
-    "library_matches": (library_matches, None),
+    "library_matches": (library_matches, f"{LIBRARY_CTES} SELECT {_MATCH_COLUMNS} FROM m"),
+    "library_report": (library_report, LIBRARY_CTES + " SELECT history_id, count(*) AS total, count(*) FILTER (matched) AS matched, count(*) FILTER (NOT matched) AS unmatched FROM m GROUP BY 1"),
+    "library_matched_ids": (library_matched_ids, LIBRARY_CTES + " SELECT history_id, 0::BIGINT AS page, string_agg(track_guid, ',' ORDER BY song_key) AS guids FROM m WHERE matched GROUP BY 1"),
+    "library_unmatched": (library_unmatched, LIBRARY_CTES + " SELECT history_id, no, no || '. ' || song_name || ' - ' || artist AS line FROM (SELECT history_id, row_number() OVER (PARTITION BY history_id ORDER BY song_key) AS no, song_name, artist FROM m WHERE NOT matched)"),
+    "library_all_matches": (library_all_matches, None),
     "progress_counters": (progress_counters, f"SELECT user_id, total, mismatched, failed, greatest(0, total - mismatched - failed) AS ok, floor((total - failed) * 100.0::DOUBLE / total + 0.5::DOUBLE)::BIGINT AS percent FROM (SELECT user_id, count(*) AS total, count(*) FILTER (o = 'mismatched') AS mismatched, count(*) FILTER (o = 'failed') AS failed FROM (SELECT user_id, {OUTCOME_SQL} AS o FROM events) GROUP BY 1)"),
     "progress_windowed": (progress_windowed, f"SELECT epoch(date_trunc('hour', ts))::BIGINT AS start_s, {OUTCOME_SQL} AS outcome, count(*) AS n FROM events GROUP BY 1, 2"),
     "stream_progress": (stream_progress, f"SELECT epoch(date_trunc('hour', ts))::BIGINT AS start_s, {OUTCOME_SQL} AS outcome, count(*) AS n FROM events GROUP BY 1, 2"),

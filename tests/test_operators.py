@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mediatide.operators import catalog, dedup, fileplans, formats, matching, playlists, progress, store
-from mediatide.operators.ordering import numbered
+from mediatide.operators.ordering import _placed, numbered, ranked
 from mediatide.sources.local import HeaderSource, Settings, path_list, scan_folders
 from mediatide.sources.pages import paged_songs, register
 from mediatide.sources.probes import extract, sample_hash
@@ -71,6 +71,34 @@ def test_store(spark, tmp_path):
     assert store.delete_keys(base, base.limit(0), ["file_path"]).count() == 1
 
 
+def test_store_keeps_what_a_broken_write_leaves(spark, tmp_path, monkeypatch):
+    base = spark.createDataFrame([(f"k{i}", i) for i in range(200)], "file_path string, n int")
+    s = store.ParquetStore(spark, str(tmp_path / "t"), buckets=8)
+    s.upsert(base, ["file_path"], [F.desc("n")])
+    before = s._current()[1]["parts"]
+    one = spark.createDataFrame([("k7", 1000), ("new", 1)], base.schema)
+    with monkeypatch.context() as m:
+        m.setattr(s, "_announce", lambda *a: (_ for _ in ()).throw(OSError("killed")))
+        with pytest.raises(OSError, match="killed"):
+            s.upsert(one, ["file_path"], [F.desc("n")])
+    assert s.read().count() == 200
+    s.upsert(one, ["file_path"], [F.desc("n")])
+    after = s._current()[1]["parts"]
+    # only the buckets of the two keys were written again
+    assert sum(before[b] != after[b] for b in before) <= 2
+    rows = {r.file_path: r.n for r in s.read().collect()}
+    assert len(rows) == 201
+    assert rows["k7"] == 1000
+    # of two writers that began at the same list the second fails
+    other = store.ParquetStore(spark, str(tmp_path / "t"), buckets=8)
+    number, current = other._current()
+    s.upsert(one, ["file_path"], [F.desc("n")])
+    with pytest.raises(RuntimeError, match="another writer"):
+        other._announce(number + 1, current)
+    s.vacuum()
+    assert s.read().count() == 201
+
+
 def test_refresh(spark):
     catalog_ = spark.createDataFrame([("a", 1.0, 1), ("b", 2.0, 1), ("c", 1.0, 1), ("d", 1.0, 1)], "file_path string, mtime double, file_size bigint")
     cache = spark.createDataFrame([("a", 1.0, 1, "x", 0), ("b", 1.0, 1, "x", 0), ("c", 1.0, 1, "", 1)], "file_path string, mtime double, file_size bigint, fingerprint string, is_failed int")
@@ -93,11 +121,79 @@ def test_plans(spark):
 def test_carry_out(spark, tmp_path):
     (tmp_path / "a.mp3").write_bytes(b"x")
     plan = spark.createDataFrame([(str(tmp_path / "a.mp3"), str(tmp_path / "bin/a.mp3")), (str(tmp_path / "no"), str(tmp_path / "b"))], "file_path string, target string")
-    done = {p: ok for p, ok, _ in fileplans.carry_out(plan, "move")}
+    done = {r.file_path: r.success for r in fileplans.carry_out(plan, "move").collect()}
     assert list(done.values()).count(True) == 1
     assert (tmp_path / "bin/a.mp3").exists()
 
 
+def test_carry_out_overwrites_nothing(spark, tmp_path):
+    for name, text in (("a", b"new"), ("b", b"old"), ("c", b"same"), ("d", b"same")):
+        (tmp_path / name).write_bytes(text)
+    plan = spark.createDataFrame([(str(tmp_path / "a"), str(tmp_path / "b")), (str(tmp_path / "c"), str(tmp_path / "d"))], "file_path string, target string")
+    done = {r.file_path[-1]: r.success for r in fileplans.carry_out(plan, "copy").collect()}
+    assert done == {"a": False, "c": True}
+    assert (tmp_path / "b").read_bytes() == b"old"
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["a", "b", "c", "d"]
+    assert [r.success for r in fileplans.carry_out(plan.where(F.col("target").endswith("d")), "move").collect()] == [True]
+    assert not (tmp_path / "c").exists()
+    assert fileplans.carry_out(plan.limit(0), "copy").count() == 0
+
+
+def test_targets_are_unique_whatever_is_wanted(spark):
+    rnd = random.Random(7)
+    stems = ["a", "a_1", "a_2", "a_1_1", "a_01", "a_3", "b", "b_", "_1", ""]
+    for k in range(4):
+        plan = [(f"/m/{i:04d}", f"/out/{rnd.choice(stems)}{rnd.choice(['.mp3', '.mp3', '', '.'])}", "x") for i in range(60 * k)]
+        there = [(f"/out/{rnd.choice(stems)}.mp3",) for _ in range(5)] + [("/out/a_5.mp3",), ("/out/a_5.mp3",), (None,)]
+        got = fileplans.apart(spark.createDataFrame(plan, "file_path string, target string, msg string"), spark.createDataFrame(there, "file_path string")).collect()
+        targets = [r.target for r in got]
+        assert len(set(targets)) == len(targets) == len(plan)
+        assert not set(targets) & {t for (t,) in there}
+        # a name is only changed where it must be, and to the lowest numbers that are free
+        wanted = {t for _, t, _ in plan}
+        assert wanted - {t for (t,) in there} <= set(targets)
+        for r in got:
+            want = dict((p, t) for p, t, _ in plan)[r.file_path]
+            if r.target != want:
+                dot = want.rfind(".") if "." in want else len(want)
+                number = int(r.target[dot + 1 : len(r.target) - len(want) + dot])
+                names = {f"{want[:dot]}_{j}{want[dot:]}" for j in range(1, number)}
+                assert names <= set(targets) | {t for (t,) in there}
+
+
+def test_three_files_and_a_numbered_one(spark):
+    r = spark.createDataFrame([("/m/x/a.mp3", ""), ("/m/y/a.mp3", ""), ("/m/z/a_1.mp3", "")], "file_path string, suggested_ext string")
+    assert sorted(p.target for p in fileplans.transfer_plan(r, "/m", "/out", keep_structure=False).collect()) == ["/out/a.mp3", "/out/a_1.mp3", "/out/a_2.mp3"]
+
+
+def test_ranked_with_a_hot_key(spark):
+    """Half of the rows have one key and one score: numbered right, and in many tasks."""
+    n = 40_000
+    # as little as this would be put together into one task
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    df = spark.range(n).select(F.when(F.col("id") % 2 == 0, F.lit("hot")).when(F.col("id") % 7 == 1, F.lit(None)).otherwise(F.concat(F.lit("k"), F.col("id") % 500)).alias("key"), F.concat(F.lit("/p"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("path"))
+    got = ranked(df, ["key"], [F.asc("path")], "n").toPandas()
+    got["key"] = got.key.fillna("null")
+    want = got.sort_values("path").groupby("key").cumcount().sort_index() + 1
+    assert (got.n == want).all()
+    assert len(got) == n
+    tasks = _placed(df, [F.col("key"), F.asc("path")]).groupBy("_part").count().toPandas()["count"]
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(tasks) >= 3
+    assert tasks.max() <= 3 * tasks.median()
+
+
+def test_members_of_a_hot_fingerprint(spark):
+    prints = spark.range(4000).select(
+        F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("f"), (F.col("id") % 300).cast("string"))).alias("fingerprint"), F.lit(100.0).alias("duration"), F.concat(F.lit("/m/"), F.lpad(F.col("id").cast("string"), 5, "0")).alias("file_path"),
+        F.lit(10).alias("file_size"), F.lit("mp3").alias("format"), F.lit(320000).alias("bitrate"), F.lit(44100).alias("sample_rate"), F.lit("t").alias("title"), F.lit("a").alias("artist"), F.lit("b").alias("album"), F.lit(0).alias("is_failed"),
+    )
+    m = dedup.members(prints).toPandas()
+    assert len(m) == 4000
+    assert (m["rank"] == m.sort_values("file_path").groupby("fingerprint").cumcount().sort_index() + 1).all()
+    assert m.is_recommended_keep.sum() == m.fingerprint.nunique()
+
+
 def test_numbered(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k"))
     got = [(r.k, r.n) for r in numbered(df, [F.asc("k")], "n").collect()]
@@ -131,7 +227,7 @@ def test_search_equals_brute_force(spark):
     word = lambda: "".join(rnd.choice("abc ") for _ in range(rnd.randint(0, 9)))
     titles = [(f"g{i:03d}", word()) for i in range(80)]
     queries = [(i, word()[: rnd.randint(0, 5)]) for i in range(60)]
-    got = matching.search(spark.createDataFrame(queries, "song_key bigint, query string"), matching.title_index(spark.createDataFrame(titles, "guid string, title string")), 1, 5)
+    got = matching.search(spark.createDataFrame(queries, "song_key bigint, query string").withColumn("stage", F.lit(1)), matching.title_index(spark.createDataFrame(titles, "guid string, title string")), {1: 5})
     want = {(k, g) for k, q in queries if q for g in sorted(g for g, t in titles if q in t)[:5]}
     assert {(r.song_key, r.guid) for r in got.collect()} == want
 
