@@ -4,7 +4,7 @@ A partition-based pigeonhole join: a canonical title that may take ``k`` errors
 a typed title within ``k`` errors holds at least one of them unchanged, at a place that differs from its own by no
 more than the errors allow. Segments and positional substrings meet in an equality join; the built-in
 ``levenshtein`` verifies. What is left without an entry is reported through an anti-join. Work is done once per
-distinct title and per distinct pair of artists, not per row.
+distinct title and artist, per distinct name and per distinct pair of names, not per row.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from ..functions.names import GIVEN_SHORT_FORMS, GIVEN_TWO_WAYS, GROUP_SHORT_FOR
 from ..session import cut
 from .roman import CYRILLIC, GREEK, HANGUL, KANA, KANJI_WORDS, KOREAN_WORDS, LATIN, PINYIN, SIMPLIFIED, romanise
 
+#: What is typed, in a value of fixed size: rows of equal title and artist are one wish.
+WISH = "unhex(md5(concat(length(title), ' ', title, coalesce(concat('|', artist), ''))))"
 #: Beyond this many entries the canonical list's segments are joined by shuffle instead of broadcast.
 MAX_BROADCAST_ENTRIES = 50_000
 
@@ -78,13 +80,13 @@ _ERRORS = "CASE WHEN {n} <= 2 THEN 0 WHEN {n} = 3 THEN 1 ELSE 2 END"
 def _roman_sql(column: str) -> str:
     """Latin letters for every other script, by lookup of single characters."""
     table = {c: r for c, r in (PINYIN | KANA).items()} | CYRILLIC | GREEK | LATIN
-    entries = ", ".join(f"{_quote(c)}, {_quote(r)}" for c, r in table.items())
+    known, readings = _quote("".join(table)), "array(" + ", ".join(map(_quote, table.values())) + ")"
     initial, vowel, final = ("array(" + ", ".join(_quote(x) for x in part) + ")" for part in HANGUL)
     o = "(ascii(c) - 44032)"
     hangul = f"concat(element_at({initial}, cast({o} div 588 as int) + 1), element_at({vowel}, cast(({o} % 588) div 28 as int) + 1), element_at({final}, cast({o} % 28 as int) + 1))"
     # letters of Hangul written loose: initials, vowels and finals have ranges of their own
     jamo = f"WHEN ascii(c) BETWEEN 4352 AND 4370 THEN element_at({initial}, cast(ascii(c) - 4351 as int)) WHEN ascii(c) BETWEEN 4449 AND 4469 THEN element_at({vowel}, cast(ascii(c) - 4448 as int)) WHEN ascii(c) BETWEEN 4520 AND 4546 THEN element_at({final}, cast(ascii(c) - 4518 as int))"
-    letters = f"array_join(transform(split({{s}}, ''), c -> CASE WHEN ascii(c) < 128 THEN c WHEN ascii(c) BETWEEN 44032 AND 55203 THEN {hangul} {jamo} ELSE coalesce(try_element_at(map({entries}), c), c) END), '')"
+    letters = f"array_join(transform(split({{s}}, ''), c -> CASE WHEN ascii(c) < 128 THEN c WHEN ascii(c) BETWEEN 44032 AND 55203 THEN {hangul} {jamo} ELSE coalesce(try_element_at({readings}, nullif(instr({known}, c), 0)), c) END), '')"
     words = column
     for w, r in KOREAN_WORDS.items():
         words = f"replace({words}, {_quote(w)}, {_quote(r)})"
@@ -142,28 +144,31 @@ def match_titles(spark: SparkSession, typed: DataFrame, catalog: DataFrame) -> D
     return out
 
 
-STEPS = ("entry", "reading", "close", "candidate", "agreed", "meant", "found")
+STEPS = ("entry", "reading", "close", "candidate", "spelling", "agreed", "meant", "found")
+#: Parts that the rows of one wish are spread over when they get their entry.
+SALTS = 8
 
 
 def statement(name: str, views: dict[str, str], few: bool = True) -> str:
     """The SQL of one step over the views of the steps before; ``few``: the catalog may be broadcast."""
-    typed, catalog, entry, reading, close, candidate, agreed, meant = (views[n] for n in ("typed", "catalog", *STEPS[:-1]))
+    typed, catalog, entry, reading, close, candidate, spelling, agreed, meant = (views[n] for n in ("typed", "catalog", *STEPS[:-1]))
     hint = "/*+ BROADCAST(s) */" if few else ""
     hint_c = "/*+ BROADCAST(e) */" if few else ""
+    hint_e = "/*+ BROADCAST(y) */" if few else ""
     if name == "entry":
         return f"""SELECT DISTINCT catalog_id, entry_artist, entry_text, ref, numbers FROM (
     SELECT catalog_id, artist AS entry_artist, f AS entry_text, {key_sql('f')} AS ref1, {numbers_sql('f')} AS numbers FROM (SELECT catalog_id, artist, {fold_sql('title')} AS f FROM {catalog})
   ) LATERAL VIEW explode(CASE WHEN ref1 RLIKE '[\\uac00-\\ud7a3]' THEN array(ref1, {_roman_sql('ref1')}) ELSE array(ref1) END) x AS ref"""
     if name == "reading":
         return f"""WITH folded AS (
-  SELECT src, row_key, artist, trim(regexp_replace(regexp_replace({fold_sql('title')}, '\\\\s+', ' '), '^\\\\s*\\\\d{{1,3}}\\\\s*(?:[.)、]|-\\\\s)\\\\s*', '')) AS a
-  FROM {typed}
+  SELECT wish, artist, trim(regexp_replace(regexp_replace({fold_sql('title')}, '\\\\s+', ' '), '^\\\\s*\\\\d{{1,3}}\\\\s*(?:[.)、]|-\\\\s)\\\\s*', '')) AS a
+  FROM (SELECT DISTINCT {WISH} AS wish, title, artist FROM {typed})
 ), bare AS (
   SELECT *, trim(regexp_replace(a, '[\\\\(\\\\[（【《〈{{][^\\\\)\\\\]）】》〉}}]*[\\\\)\\\\]）】》〉}}]', ' ')) AS b FROM folded
 ), noted AS (
-  SELECT src, row_key, artist, regexp_replace(CASE WHEN b RLIKE '[\\\\p{{L}}\\\\p{{N}}]' THEN b ELSE a END, '(?:[\\\\s\\\\-]+(?:{_NOTES}))+[^\\\\p{{L}}\\\\p{{N}}]*$', '') AS c FROM bare
+  SELECT wish, artist, regexp_replace(CASE WHEN b RLIKE '[\\\\p{{L}}\\\\p{{N}}]' THEN b ELSE a END, '(?:[\\\\s\\\\-]+(?:{_NOTES}))+[^\\\\p{{L}}\\\\p{{N}}]*$', '') AS c FROM bare
 )
-SELECT DISTINCT src, row_key, x.a AS artist, x.v AS v, CASE WHEN x.v RLIKE '[\\u1100-\\u11ff]' THEN {_roman_sql(key_sql('x.v'))} ELSE {key_sql('x.v')} END AS q, {numbers_sql('x.v')} AS numbers
+SELECT DISTINCT wish, x.a AS artist, x.v AS v, CASE WHEN x.v RLIKE '[\\u1100-\\u11ff]' THEN {_roman_sql(key_sql('x.v'))} ELSE {key_sql('x.v')} END AS q, {numbers_sql('x.v')} AS numbers
   FROM noted LATERAL VIEW explode(array_distinct(array(
     struct(c AS v, artist AS a), struct(regexp_replace(c, '^.*? - ', '') AS v, artist AS a),
     -- what stands behind the dash tells the artist where the field doesn't
@@ -194,26 +199,29 @@ SELECT q, ref, d FROM (
       array_sort(split(q, '')) = array_sort(split(ref, '')) AS swapped FROM near
   ) WHERE d <= CASE WHEN east OR n < 6 THEN 1 ELSE 2 END OR swapped"""
     if name == "candidate":
-        return f"""SELECT {hint_c} r.src, r.row_key, r.artist, r.v, e.catalog_id, e.entry_artist, e.entry_text, c.d
+        return f"""SELECT {hint_c} r.wish, r.artist, r.v, e.catalog_id, e.entry_artist, e.entry_text, c.d
   FROM {reading} r JOIN {close} c ON r.q = c.q JOIN {entry} e ON c.ref = e.ref AND r.numbers = e.numbers"""
+    if name == "spelling":
+        # every name once: as typed, and as the catalogue has it
+        return f"""WITH name AS (
+  SELECT DISTINCT artist AS name, true AS typed FROM {candidate} WHERE artist <> '' UNION ALL SELECT DISTINCT entry_artist AS name, false AS typed FROM {candidate} WHERE artist <> ''
+), plain AS (
+  SELECT typed, name, {_name_sql("CASE WHEN typed THEN regexp_replace(name, '^[^\\\\p{L}\\\\p{N}]+', '') ELSE name END")} AS x FROM name
+), first AS (
+  SELECT typed, name, regexp_replace(x, '[^\\\\p{{L}}\\\\p{{N}}]', '') AS letters, explode(CASE WHEN typed THEN array_distinct(array(x0, split(x0, ',')[0])) ELSE array(x) END) AS x
+  FROM (SELECT *, regexp_replace(split(x, '{_MARKS}')[0], '\\\\s*[\\\\(（].*$|["\\']', '') AS x0 FROM plain)
+), latin AS (
+  SELECT typed, name, letters, {_roman_sql('x')} AS x FROM first
+)
+SELECT typed, name, letters, regexp_replace(x, '[^a-z0-9\\\\u3400-\\\\u9fff]|^the ', '') AS run, {_words_sql('x')} AS words FROM latin"""
     if name == "agreed":
         return f"""WITH pair AS (
   SELECT DISTINCT artist, entry_artist FROM {candidate} WHERE artist <> ''
-), named AS (
-  SELECT artist, entry_artist, {_name_sql('entry_artist')} AS y,
-    {_name_sql("regexp_replace(artist, '^[^\\\\p{L}\\\\p{N}]+', '')")} AS x FROM pair
-), first AS (
-  SELECT artist, entry_artist, regexp_replace(x, '[^\\\\p{{L}}\\\\p{{N}}]', '') AS x_all, regexp_replace(y, '[^\\\\p{{L}}\\\\p{{N}}]', '') AS y_all, y,
-    explode(array_distinct(array(x0, split(x0, ',')[0]))) AS x
-  FROM (SELECT *, regexp_replace(split(x, '{_MARKS}')[0], '\\\\s*[\\\\(（].*$|["\\']', '') AS x0 FROM named)
-), latin AS (
-  SELECT artist, entry_artist, x_all, y_all, {_roman_sql('x')} AS x, {_roman_sql('y')} AS y FROM first
-), worded AS (
-  SELECT artist, entry_artist, x_all, y_all, regexp_replace(x, '[^a-z0-9\\\\u3400-\\\\u9fff]|^the ', '') AS x1, regexp_replace(y, '[^a-z0-9\\\\u3400-\\\\u9fff]|^the ', '') AS y1,
-    {_words_sql('x')} AS xw, {_words_sql('y')} AS yw FROM latin
 ), shaped AS (
-  SELECT *, array_join(xw, '') AS x2, array_join(yw, '') AS y2, array_join(filter(xw, w -> length(w) > 1), '') AS x3,
-    try_element_at(filter(xw, w -> length(w) = 1), 1) AS letter, filter(xw, w -> length(w) > 1) AS long FROM worded
+  SELECT {hint_e} p.artist, p.entry_artist, x.letters AS x_all, y.letters AS y_all, x.run AS x1, y.run AS y1, y.words AS yw,
+    array_join(x.words, '') AS x2, array_join(y.words, '') AS y2, array_join(filter(x.words, w -> length(w) > 1), '') AS x3,
+    try_element_at(filter(x.words, w -> length(w) = 1), 1) AS letter, filter(x.words, w -> length(w) > 1) AS long
+  FROM pair p JOIN (SELECT * FROM {spelling} WHERE typed) x ON p.artist = x.name JOIN (SELECT * FROM {spelling} WHERE NOT typed) y ON p.entry_artist = y.name
 )
 SELECT DISTINCT artist, entry_artist FROM shaped
   WHERE x1 = y1 OR x2 = y2 OR x3 = y2
@@ -223,15 +231,25 @@ SELECT DISTINCT artist, entry_artist FROM shaped
     OR levenshtein(x3, y2, CASE WHEN length(y2) < 5 THEN 0 WHEN length(y2) < 8 THEN 1 ELSE 2 END) >= 0
     OR (letter IS NOT NULL AND size(long) = 1 AND size(yw) = 2 AND exists(yw, w -> levenshtein(w, try_element_at(long, 1), 1) >= 0 AND exists(yw, u -> u <> w AND startswith(u, letter))))"""
     if name == "meant":
+        # two errors that make another word of the catalogue are no slip; joins on the words find such readings
         return f"""WITH word AS (
-  SELECT collect_set(w) AS words FROM (SELECT explode(split(entry_text, '[^\\\\p{{L}}]+')) AS w FROM {entry}) WHERE length(w) > 2
+  SELECT DISTINCT w FROM (SELECT explode(split(entry_text, '[^\\\\p{{L}}]+')) AS w FROM {entry}) WHERE length(w) > 2
+), changed AS (
+  SELECT v, entry_text, explode(array_except(split(v, '[^\\\\p{{L}}]+'), split(entry_text, '[^\\\\p{{L}}]+'))) AS w FROM (SELECT DISTINCT v, entry_text FROM {candidate} WHERE d >= 2)
+), wrong AS (
+  SELECT DISTINCT v, entry_text FROM changed c LEFT SEMI JOIN word ON c.w = word.w
+), kept AS (
+  SELECT wish, artist, entry_artist, catalog_id, d FROM {candidate} WHERE d < 2
+  UNION ALL SELECT c.wish, c.artist, c.entry_artist, c.catalog_id, c.d FROM {candidate} c LEFT ANTI JOIN wrong w ON c.v = w.v AND c.entry_text = w.entry_text WHERE c.d >= 2
 )
-SELECT c.src, c.row_key, min(struct(c.d, c.catalog_id)) AS best
-  FROM {candidate} c LEFT JOIN {agreed} g ON c.artist = g.artist AND c.entry_artist = g.entry_artist
-  WHERE (c.artist IS NULL OR c.artist IN ('', '未知歌手') OR g.artist IS NOT NULL)
-    AND (c.d < 2 OR size(array_except(array_intersect(split(c.v, '[^\\\\p{{L}}]+'), (SELECT words FROM word)), split(c.entry_text, '[^\\\\p{{L}}]+'))) = 0)
-  GROUP BY c.src, c.row_key"""
-    return f"""SELECT src, row_key, best.catalog_id AS catalog_id FROM {meant}
+SELECT c.wish, min(struct(c.d, c.catalog_id)) AS best
+  FROM kept c LEFT JOIN {agreed} g ON c.artist = g.artist AND c.entry_artist = g.entry_artist
+  WHERE c.artist IS NULL OR c.artist IN ('', '未知歌手') OR g.artist IS NOT NULL
+  GROUP BY c.wish"""
+    # the rows of a wish that a third of all hold meet its entry in several parts
+    rows = f"(SELECT src, row_key, {WISH} AS wish, pmod(xxhash64(src, row_key), {SALTS}) AS part FROM {typed})"
+    salted = f"(SELECT wish, best.catalog_id AS catalog_id, explode(sequence(0L, {SALTS - 1}L)) AS part FROM {meant})"
+    return f"""SELECT t.src, t.row_key, m.catalog_id FROM {rows} t JOIN {salted} m ON t.wish = m.wish AND t.part = m.part
 UNION ALL
-SELECT t.src, t.row_key, 0L AS catalog_id FROM {typed} t LEFT ANTI JOIN {meant} m ON t.src <=> m.src AND t.row_key <=> m.row_key
+SELECT t.src, t.row_key, 0L AS catalog_id FROM {rows} t LEFT ANTI JOIN {salted} m ON t.wish = m.wish AND t.part = m.part
 """
