@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ _MARKS = re.compile(r"[;|/,\t&+\n；、，｜／\"]|\bx\b|\bfeat|\band\b|\\", re
 
 @dataclass
 class Grammar:
-    """What splitting needs to know of the list of known names."""
+    """What splitting needs to know of the list of known names, indexed so that the list's length doesn't count."""
 
     protected: list[str] = field(default_factory=list)
     singles: frozenset[str] = frozenset()
@@ -52,6 +53,83 @@ class Grammar:
             frozenset(given),
         )
 
+    @cached_property
+    def finder(self):
+        """One automaton for all protected names in all written forms, over bytes; None without names."""
+        import ahocorasick
+
+        found = ahocorasick.Automaton()
+        for rank, name in enumerate(self.protected):
+            b = name.encode().lower()
+            for form in {b, b.replace(b'"', b'""'), b.replace(b'"', b'\\"')}:
+                key = form.decode("latin-1")
+                if key not in found:
+                    found.add_word(key, (rank, len(form)))
+        if not len(found):
+            return None
+        found.make_automaton()
+        return found
+
+    @cached_property
+    def squeezed(self) -> dict[tuple[int, int, str], list[tuple[str, int]]]:
+        """Letters of the protected names, and which there are, by length, number of a part, and that part."""
+        out: dict[tuple[int, int, str], list[tuple[str, int]]] = {}
+        for key in {squeeze(p) for p in self.protected}:
+            for i, (a, b) in enumerate(_name_parts(len(key))):
+                out.setdefault((len(key), i, key[a:b]), []).append((key, _letters(key)))
+        return out
+
+    @cached_property
+    def longest(self) -> int:
+        return max((len(p.encode()) for p in self.protected), default=0)
+
+    @cached_property
+    def given_left(self) -> dict[str, list[str]]:
+        """Given names by what is left of them without one letter."""
+        out: dict[str, list[str]] = {}
+        for g in self.given:
+            for x in _without_one(g):
+                out.setdefault(x, []).append(g)
+        return out
+
+    def near_protected(self, text: str) -> bool:
+        """Whether the letters of a text are those of a protected name but for one slip, or two in a longer name.
+
+        A slip touches two parts of a name at most (a swap at their border), so one of three parts is left as it is by
+        one slip and one of five by two, at most two places from where it was.
+        """
+        key = squeeze(text)
+        n = len(key)
+        if n < 4:
+            return False
+        have = _letters(key)
+        for m in range(max(1, n - 2), n + 3):
+            most = 1 if m < 8 else 2
+            for i, (a, b) in enumerate(_name_parts(m)):
+                for shift in range(-2, 3):
+                    if a + shift >= 0 and b + shift <= n:
+                        for name, there in self.squeezed.get((m, i, key[a + shift : b + shift]), ()):
+                            # a slip brings in one letter and takes away one at most
+                            if (have ^ there).bit_count() <= 2 * most and _edit_within(key, name, most):
+                                return True
+        return False
+
+
+def _letters(key: str) -> int:
+    out = 0
+    for c in key:
+        out |= 1 << (ord(c) & 63)
+    return out
+
+
+def _name_parts(n: int) -> list[tuple[int, int]]:
+    k = 3 if n < 8 else 5
+    return [(i * n // k, (i + 1) * n // k) for i in range(k)]
+
+
+def _without_one(word: str) -> set[str]:
+    return {word} | {word[:i] + word[i + 1 :] for i in range(len(word))}
+
 
 def _edit_within(a: str, b: str, most: int) -> bool:
     """Whether the restricted edit distance (with swaps) of two short strings is at most ``most``."""
@@ -74,7 +152,10 @@ def _given_like(word: str, grammar: Grammar) -> bool:
     w = word.casefold()
     if w in grammar.given or re.fullmatch(r"\w\.?", w):
         return True
-    return len(w) >= 4 and any(abs(len(w) - len(g)) <= 1 and _edit_within(w, g, 1) for g in grammar.given)
+    if not 4 <= len(w) <= 64:
+        return False
+    near = {g for x in _without_one(w) for g in grammar.given_left.get(x, ())}
+    return any(_edit_within(w, g, 1) for g in near)
 
 
 def turned_name(left: str, right: str, grammar: Grammar) -> bool:
@@ -116,18 +197,17 @@ def split_fields(texts: pa.Array, grammar: Grammar) -> pa.ListArray:
 
     # protected names
     free = np.ones(size, bool)
-    for name in grammar.protected:
-        b = name.encode().lower()
-        for form in {b, b.replace(b'"', b'""'), b.replace(b'"', b'\\"')}:
-            at = low.find(form)
-            while at >= 0:
-                end = at + len(form)
-                # a name is protected where it stands as a whole word
+    if grammar.finder is not None:
+        # all names in one pass over the bytes; the longer name comes first where two overlap
+        hits = sorted((rank, at - length + 1, length) for at, (rank, length) in grammar.finder.iter(low.decode("latin-1")))
+        for _, at, length in hits:
+            end = at + length
+            # a name is protected where it stands as a whole word
+            if inside_one_row(at, end) and free[at:end].all():
                 before = at == starts[row[at]] or not buf[max(at - 4, 0) : at].decode("utf-8", "ignore")[-1:].isalnum()
                 after = end == ends[row[at]] or not buf[end : end + 4].decode("utf-8", "ignore")[:1].isalnum()
-                if inside_one_row(at, end) and before and after and free[at]:
+                if before and after:
                     free[at:end] = False
-                at = low.find(form, end)
 
     # quote parity; a row with an odd number of quotes has none that count
     quote = (data == 34) & free
@@ -238,9 +318,7 @@ def _single_rows(texts: pa.Array, per: np.ndarray, grammar: Grammar, cut: np.nda
     cuts = marks[ends] - marks[starts]
     commas = np.concatenate(([0], np.cumsum((data == 44) & cut)))
     two = (per == 2) & (cuts == 1) & (commas[ends] - commas[starts] == 1)
-    longest = max((len(p.encode()) for p in grammar.protected), default=0) + 8
-    short = (per >= 2) & (ends - starts <= longest) & ~named
-    keys = [squeeze(p) for p in grammar.protected]
+    short = (per >= 2) & (ends - starts <= grammar.longest + 8) & ~named
     for r in np.flatnonzero(two | short):
         text = texts[int(r)].as_py()
         if two[r]:
@@ -248,10 +326,8 @@ def _single_rows(texts: pa.Array, per: np.ndarray, grammar: Grammar, cut: np.nda
             if turned_name(left, right, grammar):
                 whole[int(r)] = text.strip()
                 continue
-        if short[r]:
-            key = squeeze(text)
-            if len(key) >= 4 and any(_edit_within(key, k, 1 if len(k) < 8 else 2) for k in keys):
-                whole[int(r)] = text.strip()
+        if short[r] and grammar.near_protected(text):
+            whole[int(r)] = text.strip()
     return whole
 
 

@@ -1,11 +1,14 @@
 """Splitting fields, against stated cases and a plain splitter."""
 
+import random
+
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from mediatide.operators.multivalue import Grammar, read_grammar, split_fields, split_values
+from mediatide.functions.names import squeeze
+from mediatide.operators.multivalue import Grammar, _edit_within, read_grammar, split_fields, split_values
 
 NAMES = ["Rook, Pawn and the Bishops", "Night; Day", "Nor/Wex", "Kettle | Drum", 'The "Low" Tides', "Salt & Cinder", "Feat of Clay", "Vela x Moth", "Plus+Minus Choir", "盐、糖与火柴", "Zoë Ildhurst", "Leonard Pemulier", "Juvesk"]
 G = Grammar.of(NAMES)
@@ -47,3 +50,25 @@ def test_frames(spark):
     assert got == [(0, 1, "D"), (0, 2, "E"), (1, 1, "A"), (1, 1, "A"), (1, 2, "B"), (1, 2, "B")]
     assert split_values(df.limit(0), "id", "artist", G).count() == 0
     assert "Night; Day" in read_grammar(spark.createDataFrame([(n,) for n in [*NAMES, None]], "name string")).protected
+
+
+def test_near_names_against_all_names():
+    """The index of parts finds what a comparison with every protected name finds."""
+    rnd = random.Random(9)
+    names = ["".join(rnd.choice("abc") for _ in range(rnd.randint(2, 6))) + " & " + "".join(rnd.choice("abc") for _ in range(rnd.randint(1, 6))) for _ in range(60)]
+    g = Grammar.of(names)
+    keys = {squeeze(p) for p in g.protected}
+    seen = set()
+    for _ in range(3000):
+        text = "".join(rnd.choice("abc &") for _ in range(rnd.randint(2, 16)))
+        key = squeeze(text)
+        want = len(key) >= 4 and any(_edit_within(key, k, 1 if len(k) < 8 else 2) for k in keys)
+        assert g.near_protected(text) == want, text
+        seen.add(want)
+    assert seen == {True, False}
+
+
+def test_many_protected_names_in_one_pass():
+    g = Grammar.of([f"Band {k} & Sons" for k in range(5000)] + ["Oak & Elm", "Oak & Elm & Ash"])
+    got = split_fields(pa.array(["Band 7 & Sons; Oak & Elm & Ash / X", "Willow & Elm", None, "Band 4999 & sons"]), g).to_pylist()
+    assert got == [["Band 7 & Sons", "Oak & Elm & Ash", "X"], ["Willow", "Elm"], [], ["Band 4999 & sons"]]
