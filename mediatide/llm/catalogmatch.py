@@ -145,8 +145,6 @@ def match_titles(spark: SparkSession, typed: DataFrame, catalog: DataFrame) -> D
 
 
 STEPS = ("entry", "reading", "close", "candidate", "spelling", "agreed", "meant", "found")
-#: Parts that the rows of one wish are spread over when they get their entry.
-SALTS = 8
 
 
 def statement(name: str, views: dict[str, str], few: bool = True) -> str:
@@ -168,7 +166,7 @@ def statement(name: str, views: dict[str, str], few: bool = True) -> str:
 ), noted AS (
   SELECT wish, artist, regexp_replace(CASE WHEN b RLIKE '[\\\\p{{L}}\\\\p{{N}}]' THEN b ELSE a END, '(?:[\\\\s\\\\-]+(?:{_NOTES}))+[^\\\\p{{L}}\\\\p{{N}}]*$', '') AS c FROM bare
 )
-SELECT DISTINCT wish, x.a AS artist, x.v AS v, CASE WHEN x.v RLIKE '[\\u1100-\\u11ff]' THEN {_roman_sql(key_sql('x.v'))} ELSE {key_sql('x.v')} END AS q, {numbers_sql('x.v')} AS numbers
+SELECT wish, x.a AS artist, x.v AS v, CASE WHEN x.v RLIKE '[\\u1100-\\u11ff]' THEN {_roman_sql(key_sql('x.v'))} ELSE {key_sql('x.v')} END AS q, {numbers_sql('x.v')} AS numbers
   FROM noted LATERAL VIEW explode(array_distinct(array(
     struct(c AS v, artist AS a), struct(regexp_replace(c, '^.*? - ', '') AS v, artist AS a),
     -- what stands behind the dash tells the artist where the field doesn't
@@ -246,10 +244,11 @@ SELECT c.wish, min(struct(c.d, c.catalog_id)) AS best
   FROM kept c LEFT JOIN {agreed} g ON c.artist = g.artist AND c.entry_artist = g.entry_artist
   WHERE c.artist IS NULL OR c.artist IN ('', '未知歌手') OR g.artist IS NOT NULL
   GROUP BY c.wish"""
-    # the rows of a wish that a third of all hold meet its entry in several parts
-    rows = f"(SELECT src, row_key, {WISH} AS wish, pmod(xxhash64(src, row_key), {SALTS}) AS part FROM {typed})"
-    salted = f"(SELECT wish, best.catalog_id AS catalog_id, explode(sequence(0L, {SALTS - 1}L)) AS part FROM {meant})"
-    return f"""SELECT t.src, t.row_key, m.catalog_id FROM {rows} t JOIN {salted} m ON t.wish = m.wish AND t.part = m.part
-UNION ALL
-SELECT t.src, t.row_key, 0L AS catalog_id FROM {rows} t LEFT ANTI JOIN {salted} m ON t.wish = m.wish AND t.part = m.part
+    # wishes are mapped or reported, then all rows of one get its entry; where a wish holds very many rows the adaptive
+    # join splits them
+    return f"""SELECT t.src, t.row_key, o.catalog_id FROM (SELECT src, row_key, {WISH} AS wish FROM {typed}) t JOIN (
+  SELECT wish, best.catalog_id AS catalog_id FROM {meant}
+  UNION ALL
+  SELECT r.wish, 0L AS catalog_id FROM (SELECT DISTINCT wish FROM {reading}) r LEFT ANTI JOIN {meant} m ON r.wish = m.wish
+) o ON t.wish = o.wish
 """
