@@ -21,6 +21,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 #: Folder of the public vocabulary files.
 TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -107,13 +109,6 @@ def join_ids(left: list[int], right: list[int], enc) -> list[int]:
             j = min(2 * j, len(right))
 
 
-def join_tree(parts: list[list[int]], enc) -> list[int]:
-    """The ids of one word from those of its parts, joined pair by pair."""
-    while len(parts) > 1:
-        parts = [join_ids(parts[k], parts[k + 1], enc) if k + 1 < len(parts) else parts[k] for k in range(0, len(parts), 2)]
-    return parts[0] if parts else []
-
-
 def _clean(text: str | None) -> str:
     return text or ""
 
@@ -145,10 +140,13 @@ def encode_corpus(df: DataFrame, key: str, column: str, folder: str = TOKENIZERS
                 one = batch.slice(r, 1)
                 parts = cut_text(one.column("_text")[0].as_py(), split, leaf)
                 n = len(parts)
+                # the first part of the word that a part is of, its place there, and how many parts the word has
+                first = np.maximum.accumulate(np.where([not p[1] for p in parts], np.arange(n), 0))
+                size = np.bincount(first, minlength=n)[first]
                 yield pa.RecordBatch.from_arrays(
-                    [one.column("_row").take(pa.array([0] * n)), one.column(key).take(pa.array([0] * n)), pa.array(range(n), pa.int32()),
-                     pa.array([p[2] for p in parts]), pa.array([p[1] for p in parts]), pa.array([p[0] for p in parts], pa.string())],
-                    names=["_row", key, "part", "inside", "goes_on", "piece"],
+                    [one.column("_row").take(pa.array([0] * n)), one.column(key).take(pa.array([0] * n)), pa.array(first, pa.int32()), pa.array(np.arange(n) - first, pa.int32()), pa.array(size, pa.int32()),
+                     pa.array([p[2] for p in parts]), pa.array([p[0] for p in parts], pa.string())],
+                    names=["_row", key, "word", "seq", "size", "inside", "piece"],
                 )
 
     def encode_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,29 +155,51 @@ def encode_corpus(df: DataFrame, key: str, column: str, folder: str = TOKENIZERS
             texts, inside = batch.column("piece").to_pylist(), batch.column("inside").to_pylist()
             got = [encode_piece(t, enc) if w else enc.encode_ordinary(t) for t, w in zip(texts, inside, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in ("_row", key, "part", "goes_on")] + [pa.array(got, pa.list_(pa.int32()))],
-                names=["_row", key, "part", "goes_on", "ids"],
+                [batch.column(c) for c in ("_row", key, "word", "seq", "size")] + [pa.array(got, pa.list_(pa.int32()))],
+                names=["_row", key, "word", "seq", "size", "ids"],
             )
 
-    def join(table: pa.Table) -> pa.Table:
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One level of the tree: neighbours, which stand one after the other, become one part."""
         enc = encoder(folder)
-        order = np.argsort(table.column("part").to_numpy())
-        lists, on = table.column("ids").to_pylist(), table.column("goes_on").to_pylist()
-        out: list[int] = []
-        word: list[list[int]] = []
-        for k in order:
-            if on[k]:
-                word.append(lists[k])
-            else:
-                out += join_tree(word, enc)
-                word = [lists[k]]
-        out += join_tree(word, enc)
-        return pa.table({key: table.column(key).slice(0, 1), "ids": pa.array([out], pa.list_(pa.int32()))})
+        kinds = None
+
+        def row(held: tuple) -> pa.RecordBatch:
+            r, k, word, seq, size, ids = held
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((r, k, word, seq // 2, size, ids), kinds, strict=True)], names=["_row", key, "word", "seq", "size", "ids"])
+
+        held = None
+        for batch in batches:
+            kinds = batch.schema.types
+            for now in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held is not None and held[0] == now[0] and held[2] == now[2] and held[3] // 2 == now[3] // 2:
+                    held = (*held[:5], join_ids(held[5], now[5], enc))
+                    continue
+                if held is not None:
+                    yield row(held)
+                held = now
+        if held is not None:
+            yield row(held)
+
+    def join(table: pa.Table) -> pa.Table:
+        """The ids of a text: its words and the parts between them in order."""
+        ids = table.sort_by("word").column("ids").combine_chunks().flatten()
+        return pa.table({key: table.column(key).slice(0, 1), "ids": pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)})
 
     short = text.where(F.col("_text").isNull() | (F.length("_text") <= split)).mapInArrow(whole, f"{key} {kind}, ids {ids}")
     long = text.where(F.length("_text") > split).withColumn("_row", F.monotonically_increasing_id())
-    cut = long.select("_row", key, "_text").mapInArrow(pieces, f"_row long, {key} {kind}, part int, inside boolean, goes_on boolean, piece string")
-    done = cut.repartition(F.col("_row"), F.col("part")).mapInArrow(encode_parts, f"_row long, {key} {kind}, part int, goes_on boolean, ids {ids}")
+    parted = long.select("_row", key, "_text").mapInArrow(pieces, f"_row long, {key} {kind}, word int, seq int, size int, inside boolean, piece string")
+    shape = f"_row long, {key} {kind}, word int, seq int, size int, ids {ids}"
+    done = cut(parted.repartition("_row", "word", "seq").mapInArrow(encode_parts, shape))
+    # the parts of very long words are joined up a tree, each level by all tasks; most corpora have no such word
+    most = done.agg(F.max("size")).first()[0] or 1
+    if most > 1:
+        tree = done.where("size > 1")
+        while most > 1:
+            pair = (F.col("seq") / 2).cast("int")
+            tree = tree.repartition("_row", "word", pair).sortWithinPartitions("_row", "word", "seq").mapInArrow(pairs, shape)
+            most = (most + 1) // 2
+        done = done.where("size = 1").unionByName(tree)
     return short.unionByName(done.groupBy("_row").applyInArrow(join, f"{key} {kind}, ids {ids}"))
 
 
