@@ -1,6 +1,7 @@
 """Operators on records: clusters, stores, plans, lists, matching, streams."""
 
 import datetime as dt
+import json
 import random
 
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from mediatide.operators import catalog, dedup, fileplans, formats, matching, playlists, progress, store
 from mediatide.operators.ordering import _placed, numbered, ranked
 from mediatide.sources.local import HeaderSource, Settings, path_list, scan_folders
-from mediatide.sources.pages import paged_songs, register
+from mediatide.sources import pages
 from mediatide.sources.probes import extract, sample_hash
 
 PRINTS = "file_path string, fingerprint string, duration double, format string, bitrate int, sample_rate int, title string, artist string, album string, file_size bigint, is_failed int"
@@ -255,15 +256,33 @@ def test_roots(spark, tmp_path):
     assert heads == {"a.flac": 1024, "b.txt": 1}
 
 
-def test_pages(spark):
-    register(spark)
-    html = '<h1>Mine</h1><div class="song-title">A</div><p class="song-artist">X • Album</p><div class="song-title"> </div><div class="song-title">B</div>'
-    spark.createDataFrame([(html,), (None,)], "html string").createOrReplaceTempView("saved_pages")
-    got = spark.sql("SELECT s.* FROM saved_pages, LATERAL page_songs(html) s").collect()
-    assert [tuple(r) for r in got] == [("Mine", 1, "A", "X"), ("Mine", 2, "B", "")]
-    page = '{"code":0,"total":2,"songlist":[{"name":"n","singer":[{"name":"s"},{"name":""}]}]}'
-    df = spark.createDataFrame([(7, 1, page), (7, 0, page), (7, 2, "broken")], "id bigint, page int, j string")
-    assert [(r["index"], r.artist) for r in paged_songs(df, "j", "id", "page").orderBy("index").collect()] == [(1, "s"), (2, "s")]
+def _shared_page(title, author, songs):
+    rows = "".join(f"<div><div><img></div><div><div><p>{n}</p></div><div><p>{a}</p></div></div></div>" for n, a in songs)
+    head = f"<div><div>1</div><div>2</div><div><h1><p>{title}</p></h1><div><div><div>x</div><div><p>{author}</p></div></div></div></div></div>"
+    return f'<html><body><div id="root"><div><div><div><div>{head}<div><div><div><div>{rows}</div></div></div></div></div></div></div></div></div></body></html>'
+
+
+def test_shared_pages(spark):
+    rows = [(1, _shared_page("Mine", "Ann", [("A &amp; B", "X • Album"), (" ", "Y"), ("C", "")])), (1, None), (2, "<h1>Bare</h1>"), (3, _shared_page("", "", [("D", "Z")])), (4, "<div><p>broken")]
+    got = pages.page_songs(spark.createDataFrame(rows, "id bigint, html string"), "id", "html").collect()
+    assert [tuple(r) for r in got] == [(1, "Mine - Ann", 1, "A & B", "X"), (1, "Mine - Ann", 2, "C", ""), (3, pages.UNTITLED, 1, "D", "Z")]
+    assert pages.read_page("<h1>Bare</h1>") == ("Bare", [])
+    assert pages.page_songs(spark.createDataFrame([], "id bigint, html string"), "id", "html").count() == 0
+
+
+def test_paged_answers(spark):
+    def page(names, title="", n=0):
+        return json.dumps({"code": 0, "req_0": {"code": 0, "data": {"dirinfo": {"title": title, "songnum": n, "picurl": "//c/x.jpg"}, "songlist": [{"name": x, "singer": [{"name": "s"}, {"name": "t"}]} for x in names]}}})
+
+    answers = [
+        (7, 0, "android", page(["b"], "List", 61)), (7, 0, "-1", "x" * 108), (7, 0, "windows", page(["no"], "No", 1)), (7, 1, "-1", "broken but long enough to count as an answer, or so it seems"), (7, 2, "h5", page(["c"])), (7, 3, "-1", page(["beyond"])),
+        (8, 0, "-1", "x" * 50), (8, 1, "-1", page(["no first page"])), (9, 0, "-1", page(["a", "b"])), (9, 0, "other", page(["z"])), (9, 0, "iphone", None),
+    ]
+    df = pages.first_usable(spark.createDataFrame(answers, "id bigint, page int, client string, body string"), "id", "page", "client", "body")
+    songs = sorted((r.id, r["index"], r.song_name, r.artist) for r in pages.paged_songs(df, "body", "id", "page").collect())
+    assert songs == [(7, 1, "b", "s / t"), (7, 2, "c", "s / t"), (9, 1, "a", "s / t"), (9, 2, "b", "s / t")]
+    heads = {r.id: (r.title, r.cover, r.total) for r in pages.paged_lists(df, "body", "id", "page").collect()}
+    assert heads == {7: ("List", "https://c/x.jpg", 61), 9: ("QQ音乐歌单_9", "https://c/x.jpg", 2)}
 
 
 def test_extractors(spark):
