@@ -81,6 +81,16 @@ def members(prints: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     return m.withColumn("is_recommended_keep", F.col("rank") == 1)
 
 
+def group_songs(prints: DataFrame, tolerance: float = TOLERANCE, per_page: int = 1_000) -> DataFrame:
+    """``(fingerprint, cid, page, songs)``: the songs of each group as an array, best first, so many a page.
+
+    A group of any size comes out whole, on as many pages as it takes.
+    """
+    m = members(prints, tolerance).withColumn("page", F.floor((F.col("rank") - 1) / per_page).cast("bigint"))
+    song = F.struct("rank", "file_path", "file_size", "duration", "score", "is_recommended_keep")
+    return m.groupBy("fingerprint", "cid", "page").agg(F.array_sort(F.collect_list(song)).alias("songs"))
+
+
 def summary(groups_: DataFrame) -> DataFrame:
     """One row over all groups."""
     return groups_.agg(F.count("*").alias("group_count"), F.coalesce(F.sum("song_count"), F.lit(0)).alias("total_duplicate_songs"), F.coalesce(F.sum("wasted_size"), F.lit(0)).alias("total_wasted_size"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.media import PRIMARY_EXTENSION, extension_fits, format_of_codec, format_of_header, lookup
 from ..functions.text import base_name, extension, strip
+from .ordering import numbered
 
 
 def check(files: DataFrame, probed: Column | None = None, readable: Column | None = None) -> DataFrame:
@@ -43,6 +44,20 @@ def search(records: DataFrame, text: str = "", columns: tuple[str, ...] = ("file
     return out.where(hit)
 
 
+def search_pages(found: DataFrame, per_page: int = 500) -> DataFrame:
+    """``(page, json)``: what a search found as ``{"total": …, "records": […]}``, by path, so many records a page.
+
+    Every page states the total of all; nothing found is one page without records.
+    """
+    total = found.count()
+    if not total:
+        return found.sparkSession.createDataFrame([(0, '{"total":0,"records":[]}')], "page bigint, json string")
+    rows = numbered(found, [F.asc("file_path")], "_n", 0).withColumn("page", F.floor(F.col("_n") / per_page).cast("bigint"))
+    record = F.struct(*found.columns)
+    inside = F.transform(F.array_sort(F.collect_list(F.struct("_n", record.alias("r")))), lambda x: x["r"])
+    return rows.groupBy("page").agg(inside.alias("records")).select("page", F.to_json(F.struct(F.lit(total).alias("total"), "records")).alias("json"))
+
+
 def report(records: DataFrame) -> DataFrame:
     """All records, mismatched ones first, then by name."""
     return records.orderBy(F.desc("is_mismatch"), "file_name", "file_path")

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import media as M
 from ..functions import text as X
 from ..operators import catalog, dedup, fileplans, formats, lossless, store
-from ..session import table
-from ..sources.local import path_list_column
+from ..session import ensure_checkpoint_dir, table
+from ..sources.local import HeaderSource, path_list_column, scan_folders
 
 ROOTS = ["/vol1", "/vol2", "/vol3", "/vol4", "/vol9"]
 OVERLAP = ["/vol1", "/vol1/lib0000001", "/vol2"]
@@ -130,6 +133,41 @@ def format_search_totals(spark, sf):
     return r.groupBy("detected_format").agg(F.count("*").alias("total"), F.count_if(F.col("is_mismatch") == 1).alias("filtered"))
 
 
+def format_search_json(spark, sf):
+    found = formats.search(_records(spark, sf), "m", ("file_name", "detected_format"), mismatch_only=True)
+    return formats.search_pages(found.select("file_path", "file_name", "detected_format", "is_mismatch"), 500)
+
+
+def _fixture(spark) -> str:
+    """A folder with one small file for each kind of header, beside the checkpoints, where all tasks can read it."""
+    ensure_checkpoint_dir(spark)
+    root = f"{spark.sparkContext.getCheckpointDir()}/headers-{uuid.uuid4().hex}"
+    jvm = spark._jvm
+    for k, head in enumerate(HEADERS):
+        path = jvm.org.apache.hadoop.fs.Path(f"{root}/r{k % 3}/d/{k:02d}{'.mp3' if k % 2 else '.txt'}")
+        out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
+        out.write(bytes.fromhex(head) + b"\0" * (2000 + k))
+        out.close()
+    return re.sub("^file:/*", "/", root)
+
+
+_FIXTURE_SQL = ', '.join(f"('{k:02d}{'.mp3' if k % 2 else '.txt'}', '{h}')" for k, h in enumerate(HEADERS))
+
+
+def header_files(spark, sf):
+    """The formats of real files by their first bytes: an extension of the table queries, which have made-up headers."""
+    spark.dataSource.register(HeaderSource)
+    f = spark.read.format("file_headers").load(_fixture(spark))
+    return f.select(X.base_name(F.col("file_path")).alias("file_name"), F.length("header").alias("bytes"), M.format_of_header(F.col("header")).alias("detected"))
+
+
+def folder_scan(spark, sf):
+    """A walk over real folders, one of them missing and one left out."""
+    root = _fixture(spark)
+    found = scan_folders(spark, [f"{root}/r0", f"{root}/r1", f"{root}/none"], f"{root}/r1/d/e")
+    return found.select(X.base_name(F.col("file_path")).alias("file_name"), "file_size")
+
+
 def format_export_rows(spark, sf):
     return formats.export_rows(_records(spark, sf))
 
@@ -187,6 +225,13 @@ def dedup_members_ranked(spark, sf):
     return dedup.members(_prints(spark, sf)).select("fingerprint", "cid", "file_path", "score", "rank", "is_recommended_keep")
 
 
+def dedup_group_songs(spark, sf):
+    """The nested songs of every group, in a form that both engines write alike."""
+    g = dedup.group_songs(_prints(spark, sf))
+    shown = F.transform("songs", lambda x: F.concat(x["rank"].cast("string"), F.lit("|"), x["file_path"], F.lit("|"), x["score"].cast("string"), F.lit("|"), x["is_recommended_keep"].cast("string")))
+    return g.select("fingerprint", "cid", "page", F.size("songs").cast("bigint").alias("n"), F.array_join(shown, ";").alias("songs"))
+
+
 def dedup_summary(spark, sf):
     return dedup.summary(dedup.groups(_prints(spark, sf), number=False))
 
@@ -365,8 +410,12 @@ def cache_hits(spark, sf):
 
 
 def truncated(spark, sf):
-    """A table emptied keeps its columns."""
-    return table(spark, sf, "audio_fingerprints").select("rec_id", "file_path").limit(0)
+    """What a store holds after it was emptied."""
+    ensure_checkpoint_dir(spark)
+    kept = store.ParquetStore(spark, f"{spark.sparkContext.getCheckpointDir()}/store-{uuid.uuid4().hex}", ["rec_id"], 4)
+    kept.write(table(spark, sf, "audio_fingerprints").select("rec_id", "file_path"))
+    kept.truncate()
+    return kept.read()
 
 
 def settings_upsert(spark, sf):
@@ -401,6 +450,10 @@ QUERIES = {
     "format_counters": (format_counters, f"SELECT count(*) AS total, count(*) FILTER (is_mismatch = 1) AS mismatched, count(*) FILTER (is_mismatch = 1 AND is_audio = 0) AS fake_or_corrupt FROM ({CHECK_SQL})"),
     "format_records_search": (format_records_search, f"SELECT * FROM ({CHECK_SQL}) WHERE is_mismatch = 1 AND (contains(lower(file_name), 'the') OR contains(lower(detected_format), 'the'))"),
     "format_search_totals": (format_search_totals, f"SELECT detected_format, count(*) AS total, count(*) FILTER (is_mismatch = 1) AS filtered FROM ({CHECK_SQL}) GROUP BY 1"),
+    "format_search_json": (format_search_json, f"""SELECT n // 500 AS page, '{{"total":' || any_value(total) || ',"records":[' || string_agg(to_json({{'file_path': file_path, 'file_name': file_name, 'detected_format': detected_format, 'is_mismatch': is_mismatch}})::VARCHAR, ',' ORDER BY n) || ']}}' AS json
+ FROM (SELECT *, row_number() OVER (ORDER BY file_path) - 1 AS n, count(*) OVER () AS total FROM ({CHECK_SQL}) WHERE is_mismatch = 1 AND (contains(lower(file_name), 'm') OR contains(lower(detected_format), 'm'))) GROUP BY 1"""),
+    "header_files": (header_files, f"SELECT file_name, 1024 AS bytes, {DETECT_SQL} AS detected FROM (SELECT file_name, rpad(h, 2048, '0') AS h FROM (VALUES {_FIXTURE_SQL}) v(file_name, h))"),
+    "folder_scan": (folder_scan, "SELECT file_name, file_size::BIGINT AS file_size FROM (VALUES " + ", ".join(f"('{k:02d}.mp3', {2000 + k + len(h) // 2})" for k, h in enumerate(HEADERS) if k % 2 and k % 3 < 2) + ") v(file_name, file_size)"),
     "format_export_rows": (format_export_rows, f"""SELECT file_name AS "文件名", current_ext AS "当前后缀", detected_format AS "真实格式", suggested_ext AS "建议后缀", CASE is_mismatch WHEN 1 THEN '是' ELSE '否' END AS "是否不一致", CASE is_audio WHEN 1 THEN '是' ELSE '否' END AS "是否音频", file_path AS "路径", status AS "状态" FROM ({CHECK_SQL})"""),
     "probe_codec_normalise": (probe_codec_normalise, """SELECT rec_id, CASE WHEN contains(c, 'mp3') THEN 'mp3' WHEN contains(c, 'aac') OR contains(c, 'alac') OR rec_id % 5 = 0 THEN 'm4a' WHEN contains(c, 'flac') THEN 'flac' WHEN contains(c, 'pcm_') THEN 'wav' WHEN contains(c, 'opus') THEN 'opus'
  WHEN contains(c, 'vorbis') OR rec_id % 5 = 1 THEN 'ogg' WHEN contains(c, 'wmav') THEN 'wma' WHEN contains(c, 'ape') THEN 'ape' ELSE c END AS kind FROM (SELECT rec_id, regexp_replace(lower(coalesce(format, '')), '^audio/(x-)?', '') AS c FROM audio_fingerprints)"""),
@@ -413,6 +466,7 @@ QUERIES = {
     "dedup_groups": (dedup_groups, _groups_sql(30.0)),
     "dedup_tolerance_zero": (dedup_tolerance_zero, _groups_sql(0.0)),
     "dedup_members_ranked": (dedup_members_ranked, f"SELECT fingerprint, cid, file_path, score, rank, rank = 1 AS is_recommended_keep FROM ({_members_sql(30.0)})"),
+    "dedup_group_songs": (dedup_group_songs, f"SELECT fingerprint, cid, (rank - 1) // 1000 AS page, count(*) AS n, string_agg(rank || '|' || file_path || '|' || score || '|' || (rank = 1)::VARCHAR, ';' ORDER BY rank) AS songs FROM ({_members_sql(30.0)}) GROUP BY 1, 2, 3"),
     "dedup_summary": (dedup_summary, f"SELECT count(*) AS group_count, sum(song_count)::BIGINT AS total_duplicate_songs, sum(wasted_size)::BIGINT AS total_wasted_size FROM ({_groups_sql(30.0)})"),
     "dedup_clean_plan": (dedup_clean_plan, f"SELECT file_path, 'recycle' AS action, true AS success, '/output/_recycle_bin' || file_path AS target, '' AS message FROM ({_members_sql(30.0)}) WHERE rank > 1"),
     "dedup_survivors": (dedup_survivors, f"SELECT file_path FROM ({VALID_SQL}) WHERE file_path NOT IN (SELECT file_path FROM ({_members_sql(30.0)}) WHERE rank > 1)"),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import likeness as K
 from ..functions import text as X
 from ..functions.media import PLATFORM_NAMES, lookup
-from ..operators import catalog, matching, playlists, progress, store
+from ..operators import catalog, formats, matching, playlists, progress, store
 from ..sources import pages
 from ..session import table
 from ..streaming.ingest import run_to_end, table_stream
@@ -238,6 +238,47 @@ def listed_songs(spark, sf):
     return got.groupBy("list_id").agg(F.count("*").alias("n"), F.count_if(F.col("artist").contains("/") & F.col("artist").endswith(" / ")).alias("open_ends"))
 
 
+def _page_answers(spark, sf):
+    """Saved answers of a paged list, a page of 30 songs each: the first client gets an error of fixed size, of every fourth page too little comes from all."""
+    s = _songs(spark, sf)
+    one = s.groupBy("history_id", "song_index").agg(F.min(F.struct("song_id", "song_name", "artist")).alias("s")).select("history_id", "song_index", "s.*")
+    paged = one.withColumn("page", F.floor((F.col("song_index") - 1) / playlists.PAGE).cast("int"))
+    song = F.struct("song_index", F.col("song_name").alias("name"), F.array(F.struct(F.col("artist").alias("name"))).alias("singer"))
+    page = paged.groupBy("history_id", "page").agg(F.transform(F.array_sort(F.collect_list(song)), lambda x: F.struct(x["name"].alias("name"), x["singer"].alias("singer"))).alias("songlist"))
+    head = F.struct(F.lit("").alias("title"), F.lit(600).alias("songnum"), F.lit("//c/x.jpg").alias("picurl"))
+    body = F.to_json(F.struct(F.lit(0).alias("code"), F.struct(F.lit(0).alias("code"), F.struct(head.alias("dirinfo"), "songlist").alias("data")).alias("req_0")))
+    answers = F.array(F.struct(F.lit("-1").alias("client"), F.rpad(F.lit("{"), 108, "x").alias("body")), F.struct(F.lit("h5").alias("client"), F.when(F.col("page") % 4 == 3, F.lit('{"code":0}')).otherwise(body).alias("body")), F.struct(F.lit("windows").alias("client"), F.rpad(F.lit("{"), 50, "y").alias("body")))
+    return page.select("history_id", "page", F.explode(answers).alias("a")).select("history_id", "page", "a.client", "a.body")
+
+
+def paged_answers(spark, sf):
+    good = pages.first_usable(_page_answers(spark, sf), "history_id", "page", "client", "body")
+    return pages.paged_songs(good, "body", "history_id", "page").select("history_id", F.col("index").cast("bigint").alias("no"), "song_name", "artist")
+
+
+def paged_heads(spark, sf):
+    good = pages.first_usable(_page_answers(spark, sf), "history_id", "page", "client", "body")
+    return pages.paged_lists(good, "body", "history_id", "page")
+
+
+def shared_pages(spark, sf):
+    """Songs read back from shared pages, one page a list."""
+    esc = lambda c: F.replace(F.replace(F.replace(F.col(c), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    row = F.concat(F.lit("<div><div><img></div><div><div><p>"), esc("song_name"), F.lit("</p></div><div><p>"), esc("artist"), F.lit(" • Album</p></div></div></div>"))
+    rows = _songs(spark, sf).select("history_id", F.struct("song_index", "song_id", row.alias("row")).alias("r")).groupBy("history_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda x: x["row"]), "").alias("rows"))
+    head = F.concat(F.lit("<div><div>1</div><div>2</div><div><h1><p>List "), F.col("history_id").cast("string"), F.lit("</p></h1></div></div>"))
+    html = F.concat(F.lit('<html><body><div id="root"><div><div><div><div>'), head, F.lit("<div><div><div><div>"), "rows", F.lit("</div></div></div></div></div></div></div></div></div></body></html>"))
+    got = pages.page_songs(rows.select("history_id", html.alias("html")), "history_id", "html")
+    return got.select("history_id", "page_title", F.col("index").cast("bigint").alias("no"), "song_name", "artist")
+
+
+def songs_search(spark, sf):
+    """Songs and lists that hold a text in any of their shown fields, whatever the case."""
+    songs = formats.search(_songs(spark, sf).select("song_id", "song_name", "artist"), "RIVER", ("song_name", "artist")).select(F.lit("song").alias("kind"), F.col("song_id").alias("id"))
+    lists = formats.search(table(spark, sf, "playlist_history").select("id", "title", "platform"), "QQ", ("title", "platform")).select(F.lit("list").alias("kind"), "id")
+    return songs.unionByName(lists)
+
+
 def first_numeric_key(spark, sf):
     h = table(spark, sf, "playlist_history")
     j = F.when(F.col("id") % 3 == 0, F.to_json(F.struct(F.col("song_count").cast("string").alias("trackCount"), F.lit(7).alias("count")))).when(F.col("id") % 3 == 1, F.to_json(F.struct(F.col("id").alias("songCount")))).otherwise(F.lit('{"name":"x"}'))
@@ -482,6 +523,10 @@ QUERIES = {
     "track_totals": (track_totals, f"SELECT coalesce({PLATFORM_SQL}, 'unknown') AS found, sum(coalesce(song_count, 0))::BIGINT AS stated, sum(coalesce(n, song_count, 0))::BIGINT AS calibrated FROM playlist_history LEFT JOIN (SELECT history_id, count(*) AS n FROM songs GROUP BY 1) s ON id = s.history_id GROUP BY 1"),
     "response_status": (response_status, "SELECT id, CASE WHEN id % 7 = 0 THEN 'private' WHEN id % 7 = 1 OR id % 11 = 0 THEN 'not_found' WHEN id % 5 = 0 THEN 'empty' ELSE 'ok' END AS status FROM playlist_history"),
     "listed_songs": (listed_songs, "SELECT history_id AS list_id, count(*) AS n, 0::BIGINT AS open_ends FROM (SELECT history_id, song_index, min(song_id) AS s FROM songs GROUP BY 1, 2) WHERE s % 5 <> 0 GROUP BY 1"),
+    "paged_answers": (paged_answers, f"SELECT history_id, row_number() OVER (PARTITION BY history_id ORDER BY song_index) AS no, s.song_name AS song_name, s.artist AS artist FROM (SELECT history_id, song_index, arg_min({{'song_name': song_name, 'artist': artist}}, song_id) AS s FROM ({SONGS_SQL}) GROUP BY 1, 2) WHERE ((song_index - 1) // 30) % 4 <> 3 AND (song_index - 1) // 30 < 20 AND history_id IN (SELECT history_id FROM songs WHERE song_index <= 30)"),
+    "paged_heads": (paged_heads, "SELECT DISTINCT history_id, 'QQ音乐歌单_' || history_id AS title, 'https://c/x.jpg' AS cover, 600 AS total FROM songs WHERE song_index <= 30"),
+    "shared_pages": (shared_pages, f"SELECT history_id, 'List ' || history_id AS page_title, row_number() OVER (PARTITION BY history_id ORDER BY song_index, song_id) AS no, n AS song_name, {_TRIM.format("split_part(artist, '•', 1)")} AS artist FROM (SELECT *, {_TRIM.format('song_name')} AS n FROM ({SONGS_SQL})) WHERE n <> ''"),
+    "songs_search": (songs_search, f"SELECT 'song' AS kind, song_id AS id FROM ({SONGS_SQL}) WHERE contains(lower(song_name), 'river') OR contains(lower(artist), 'river') UNION ALL SELECT 'list', id FROM playlist_history WHERE contains(lower(coalesce(title, '')), 'qq') OR contains(lower(coalesce(platform, '')), 'qq')"),
     "first_numeric_key": (first_numeric_key, "SELECT id, CASE id % 3 WHEN 0 THEN 7 WHEN 1 THEN id ELSE 0 END AS n FROM playlist_history"),
     "album_polymorphic": (album_polymorphic, "SELECT guid, CASE WHEN album IS NULL THEN '' WHEN ascii(right(guid, 1)) % 2 = 0 THEN coalesce(nullif(album.name, ''), nullif(album.title, ''), '') ELSE coalesce(album.title, '') END AS name FROM tracks"),
     "track_artists": (track_artists, "SELECT guid, coalesce(list_aggregate(list_filter(list_transform(artists, lambda a: a.name), lambda n: n IS NOT NULL AND n <> ''), 'string_agg', ' / '), '') AS artists FROM tracks"),

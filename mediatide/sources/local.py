@@ -59,8 +59,13 @@ class Settings:
 
 
 def scan_folders(spark: SparkSession, roots: list[str], leave_out: str | None = None) -> DataFrame:
-    """``(file_path, mtime, file_size)`` of the audio files below the roots that exist; contents are not read."""
-    there = [r for r in roots if os.path.isdir(r)]
+    """``(file_path, mtime, file_size)`` of the audio files below the roots that exist; contents are not read.
+
+    Roots may lie in any file system the cluster knows; folders are listed by tasks. Missing roots give nothing.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    places = [jvm.org.apache.hadoop.fs.Path(r) for r in roots]
+    there = [r for r, p in zip(roots, places, strict=True) if p.getFileSystem(conf).exists(p)]
     if not there:
         return spark.createDataFrame([], "file_path string, mtime double, file_size bigint")
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(there)
@@ -71,31 +76,70 @@ def scan_folders(spark: SparkSession, roots: list[str], leave_out: str | None =
     return f.dropDuplicates(["file_path"])
 
 
-class _Slice(InputPartition):
-    def __init__(self, paths: list[str]):
-        self.paths = paths
+class _Folder(InputPartition):
+    def __init__(self, path: str, deep: bool):
+        self.path, self.deep = path, deep
+
+
+def _remote(address: str):
+    """The file system of an address, and the path there; the library for it is only loaded for addresses."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(address)
+
+
+def _entries(root: str, folder: str) -> tuple[list[str], list[str]]:
+    """The folders and the files of a folder below ``root``, as paths of its file system; a missing folder has none."""
+    if "://" not in root:
+        if not os.path.isdir(folder):
+            return [], []
+        with os.scandir(folder) as found:
+            entries = sorted((e.path, e.is_dir(follow_symlinks=False)) for e in found)
+        return [p for p, d in entries if d], [p for p, d in entries if not d]
+    from pyarrow import fs
+
+    infos = _remote(root)[0].get_file_info(fs.FileSelector(folder, allow_not_found=True))
+    return [i.path for i in infos if i.type == fs.FileType.Directory], [i.path for i in infos if i.type == fs.FileType.File]
+
+
+def _head(root: str, path: str, size: int) -> bytes:
+    if "://" not in root:
+        with open(path, "rb") as f:
+            return f.read(size)
+    with _remote(root)[0].open_input_file(path) as f:
+        return f.read(size)
 
 
 class _HeaderReader(DataSourceReader):
-    def __init__(self, paths: list[str], size: int, per_task: int):
-        self.paths, self.size, self.per_task = paths, size, per_task
+    def __init__(self, root: str, size: int, tasks: int):
+        self.root, self.size, self.tasks = root, size, tasks
 
     def partitions(self):
-        return [_Slice(self.paths[i : i + self.per_task]) for i in range(0, len(self.paths), self.per_task)] or [_Slice([])]
-
-    def read(self, partition: _Slice):
-        for path in partition.paths:
-            try:
-                with open(path, "rb") as f:
-                    yield (path, f.read(self.size), "")
-            except OSError as e:
-                yield (path, None, str(e))
+        """One task for each folder of the first level that has enough of them, and one for the files of each above those."""
+        level, above = [self.root if "://" not in self.root else _remote(self.root)[1]], []
+        while level and len(level) < self.tasks:
+            above += level
+            level = [d for folder in level for d in _entries(self.root, folder)[0]]
+        return [_Folder(d, False) for d in above] + [_Folder(d, True) for d in level]
+
+    def read(self, partition: _Folder):
+        open_ = [partition.path]
+        while open_:
+            folders, files = _entries(self.root, open_.pop())
+            open_ += folders if partition.deep else []
+            for path in files:
+                try:
+                    yield (path, _head(self.root, path, self.size), "")
+                except OSError as e:
+                    yield (path, None, str(e))
 
 
 class HeaderSource(DataSource):
     """``spark.read.format("file_headers").load(folder)``: only the first bytes of each file are read.
 
-    Options: ``bytes`` (1024), ``files_per_task`` (1000). A file that can't be read has a null header and an error.
+    The folder may be a path or an address of any file system that Arrow knows. Tasks list the folders below it and
+    read what is there. Options: ``bytes`` (1024), ``tasks`` (64: folders are opened until there are so many). A file
+    that can't be read has a null header and an error.
     """
 
     @classmethod
@@ -106,6 +150,4 @@ class HeaderSource(DataSource):
         return "file_path string, header binary, error string"
 
     def reader(self, schema) -> _HeaderReader:
-        root = self.options["path"]
-        paths = sorted(os.path.join(d, n) for d, _, names in os.walk(root) for n in names)
-        return _HeaderReader(paths, int(self.options.get("bytes", HEADER_BYTES)), int(self.options.get("files_per_task", 1000)))
+        return _HeaderReader(self.options["path"], int(self.options.get("bytes", HEADER_BYTES)), int(self.options.get("tasks", 64)))

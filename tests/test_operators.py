@@ -3,8 +3,10 @@
 import datetime as dt
 import json
 import random
+import time
 
 import pytest
+from pyspark import InheritableThread
 from pyspark.sql import functions as F
 
 from mediatide.operators import catalog, dedup, fileplans, formats, matching, playlists, progress, store
@@ -12,6 +14,7 @@ from mediatide.operators.ordering import _placed, numbered, ranked
 from mediatide.sources.local import HeaderSource, Settings, path_list, scan_folders
 from mediatide.sources import pages
 from mediatide.sources.probes import extract, sample_hash
+from mediatide.streaming.jobs import AlreadyRunning, Jobs
 
 PRINTS = "file_path string, fingerprint string, duration double, format string, bitrate int, sample_rate int, title string, artist string, album string, file_size bigint, is_failed int"
 
@@ -326,3 +329,48 @@ def test_streams(spark, tmp_path):
     q.stop()
     assert spark.table("live_jobs").collect() == progress.counters(e, ["job"]).collect()
     assert progress.counters(e, ["job"]).first().percent == 75
+
+
+def test_one_run_of_a_kind(spark):
+    jobs = Jobs(spark.sparkContext)
+    with jobs.only("scan"):
+        assert jobs.running() == ["scan"]
+        with pytest.raises(AlreadyRunning), jobs.only("scan"):
+            pass
+        with jobs.only("grade"):
+            assert spark.range(10).count() == 10
+    assert jobs.running() == []
+    assert not jobs.cancel("scan")
+
+
+def test_cancelled_run(spark):
+    jobs, state = Jobs(spark.sparkContext), {}
+
+    def work():
+        with jobs.only("scan"):
+            state["began"] = True
+            try:
+                spark.range(8, numPartitions=8).select(F.expr("java_method('java.lang.Thread', 'sleep', 20000L)")).collect()
+            except Exception as e:  # noqa: BLE001 - what a cancelled job raises is Spark's matter
+                state["error"] = e
+
+    t = InheritableThread(target=work)
+    t.start()
+    while not spark.sparkContext.statusTracker().getActiveJobsIds():
+        time.sleep(0.05)
+    assert jobs.cancel("scan")
+    t.join(15)
+    assert "error" in state
+    assert jobs.running() == []
+    with jobs.only("scan"):
+        assert spark.range(3).count() == 3
+
+
+def test_pages_of_a_search_and_of_groups(spark):
+    df = spark.createDataFrame([(f"/m/{k:03d}", k) for k in range(25)], "file_path string, n int")
+    got = {r.page: json.loads(r.json) for r in formats.search_pages(df, 10).collect()}
+    assert {p: (j["total"], len(j["records"])) for p, j in got.items()} == {0: (25, 10), 1: (25, 10), 2: (25, 5)}
+    assert [r["n"] for p in range(3) for r in got[p]["records"]] == list(range(25))
+    assert json.loads(formats.search_pages(df.limit(0)).first().json) == {"total": 0, "records": []}
+    g = dedup.group_songs(prints(spark, [(f"/m/{k}", "f", 100.0) for k in range(7)]), per_page=3).orderBy("page").collect()
+    assert [[s.rank for s in r.songs] for r in g] == [[1, 2, 3], [4, 5, 6], [7]]
