@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import spread, table
+from .survivors import FORMAT_MEANING, LOSSLESS, MOST_BITRATE, MOST_RATE, SHORT_RATES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -135,5 +136,34 @@ P6_SQL = f"""SELECT group_id, dup_id FROM (SELECT *, row_number() OVER (PARTITIO
  FROM (SELECT *, regexp_replace(lower(trim(coalesce(format, ''))), '^(audio/|\\.)', '') AS k FROM duplicate_songs))) WHERE n = 1"""
 
 
+def _case(column: str, table: dict, other: str) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN {_sql(k)} THEN {_sql(v)}" for k, v in table.items()) + f" ELSE {other} END"
+
+
+def _sql(value) -> str:
+    return str(value) if isinstance(value, int) else "'" + value.replace("'", "''") + "'"
+
+
+_STATED = {
+    "file_path": ("file_path", "file_path IS NOT NULL"), "format": ("kind", "kind <> ''"), "bitrate": ("bits", "bits IS NOT NULL"), "sample_rate": ("rate", "rate IS NOT NULL"), "channels": ("channels", "channels > 0"),
+    "duration": ("duration", "duration > 0"), "title": ("title", "title <> ''"), "artist": ("artist", "artist NOT IN ('', '未知歌手')"), "album": ("album", "album <> ''"), "file_size": ("file_size", "file_size > 0"),
+}
+
+
+def _survivors_sql() -> str:
+    """Every field from the first row, in the order of the ranks, that states it."""
+    kind = _case("k", FORMAT_MEANING, "k")
+    rate = _case("sample_rate", SHORT_RATES, "CASE WHEN sample_rate < 1000 THEN sample_rate::BIGINT * 1000 ELSE sample_rate::BIGINT END")
+    picks = ", ".join(f"arg_min({v}, n) FILTER ({w}) AS {c}" for c, (v, w) in _STATED.items())
+    rows = ", ".join(f"arg_min(dup_id, n) FILTER ({w})" for _, w in _STATED.values())
+    return f"""SELECT group_id, arg_min(dup_id, n) AS dup_id, {picks}, max(points)::BIGINT AS score, count(*) AS n_copies, len(list_distinct([{rows}]))::INT AS from_rows FROM (
+ SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY points DESC, checked_at DESC NULLS LAST, dup_id) AS n FROM (
+ SELECT *, (CASE WHEN kind IN ({", ".join(map(_sql, LOSSLESS))}) THEN 1000000 ELSE 0 END) + coalesce(bits, 0) + trunc(coalesce(rate, 0) * 0.1::DOUBLE)::BIGINT
+  + (CASE WHEN coalesce(title, '') <> '' THEN 500 ELSE 0 END) + (CASE WHEN coalesce(artist, '') <> '' THEN 500 ELSE 0 END) + (CASE WHEN coalesce(album, '') <> '' THEN 200 ELSE 0 END) AS points
+ FROM (SELECT *, {kind} AS kind, CASE WHEN bitrate > 0 AND (CASE WHEN bitrate < 10000 THEN bitrate::BIGINT * 1000 ELSE bitrate END) <= {MOST_BITRATE} THEN CASE WHEN bitrate < 10000 THEN bitrate::BIGINT * 1000 ELSE bitrate END END AS bits,
+  CASE WHEN sample_rate > 0 AND ({rate}) <= {MOST_RATE} THEN {rate} END AS rate
+ FROM (SELECT *, regexp_replace(lower(trim(format)), '^(audio/|\\.)', '') AS k FROM duplicate_songs)))) GROUP BY group_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p6_found": P6_SQL}
+    return {"p6_found": P6_SQL, "p6_survivors": _survivors_sql()}
