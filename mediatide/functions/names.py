@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 # fixed values: usual short forms of given names
 GIVEN_SHORT_FORMS = {
@@ -24,11 +25,45 @@ GIVEN_SHORT_FORMS = {
 GIVEN_SHORT_FORMS.pop("kit ")
 # fixed values: short forms that stand for two given names
 GIVEN_TWO_WAYS = {"ted": ("edward", "theodore"), "kit": ("christopher", "katherine"), "theo": ("theodore",), "thea": ("dorothea",)}
-# fixed values: kinds of ensembles and how they are shortened
-GROUP_SHORT_FORMS = {
-    "string quartet": ("sq", "str qt"), "jazz trio": ("jt", "jz 3o"), "brass band": ("bb", "br bd"), "youth choir": ("yc", "yth ch"),
-    "symphony orchestra": ("so", "sym orch"), "chamber ensemble": ("ce", "chmbr ens"), "philharmonic": ("phil",),
-}
+# fixed values: kinds of ensembles; where one short form fits several, the first is meant
+GROUP_KINDS = (
+    "symphony orchestra", "string quartet", "string quintet", "string trio", "string orchestra", "jazz trio", "jazz quartet", "jazz quintet", "jazz band", "jazz orchestra", "brass band", "brass quintet", "big band", "steel band",
+    "youth choir", "youth orchestra", "boys choir", "chamber ensemble", "chamber orchestra", "chamber choir", "gospel choir", "wind ensemble", "wind quintet", "piano trio", "philharmonic", "philharmonic orchestra",
+)
+# fixed values: numbers that stand for the beginning of a word
+_NUMERALS = {"duo": ("2o", "duo"), "trio": ("3o", "trio"), "quartet": ("4tet", "quartet"), "quintet": ("5tet", "quintet"), "sextet": ("6tet", "sextet")}
+
+
+def short_word(short: str, word: str) -> bool:
+    """Whether a word may be shortened so: its beginning, or its first letter and some of its later consonants in order."""
+    if short == word or short in _NUMERALS.get(word, ()):
+        return True
+    if len(short) < 2 or short[0] != word[0]:
+        return False
+    if word.startswith(short):
+        return True
+    at = iter(word[1:])
+    return not set("aeiou") & set(short[1:]) and all(c in at for c in short[1:])
+
+
+@lru_cache(maxsize=1 << 14)
+def group_kind(words: tuple[str, ...]) -> str | None:
+    """The kind of ensemble that some words mean, written out or shortened; a kind of several words also by its initials."""
+    for kind in GROUP_KINDS:
+        full = kind.split()
+        if len(words) == len(full) and (len(full) > 1 or len(words[0]) > 3) and all(map(short_word, words, full)):
+            return kind
+        if len(full) > 1 and words == ("".join(w[0] for w in full),):
+            return kind
+    return None
+
+
+def group_pattern(kind: str) -> str:
+    """The same as a regular expression for lower-case Latin letters."""
+    full = kind.split()
+    words = ["(?:" + "|".join([w[0] + (w[1] + "?" if len(full) > 1 else w[1:4]) + "".join(f"{c}?" for c in w[2 if len(full) > 1 else 4 :]), *_NUMERALS.get(w, ())[:1]]) + ")" for w in full]
+    initials = ["".join(w[0] for w in full)] if len(full) > 1 else []
+    return r"\b(?:" + "|".join(["[^a-z0-9]+".join(words), *initials]) + r")\b[^a-z0-9]*$"
 
 
 def squeeze(text: str) -> str:
@@ -38,4 +73,4 @@ def squeeze(text: str) -> str:
     return "".join(c for c in t if c.isalnum())
 
 
-GROUP_WORDS = frozenset(squeeze(k) for k in GROUP_SHORT_FORMS)
+GROUP_WORDS = frozenset(map(squeeze, GROUP_KINDS))

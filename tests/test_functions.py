@@ -1,8 +1,11 @@
 """Cases stated for the column functions, replayed on small frames."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+from mediatide.functions.names import group_kind, group_pattern
 from mediatide.functions import likeness as K
 from mediatide.functions import media as M
 from mediatide.functions import text as X
@@ -82,3 +85,13 @@ def test_json(spark):
     assert each(spark, ['{"trackCount":"5","count":7}', '{"trackCount":3}', "{}", "bad"], lambda c: playlists.first_number(c, keys)) == [7, 3, 0, 0]
     assert each(spark, ['"若你碰到他"', '{"name":"a","title":"b"}', '{"name":"","title":"b"}', "{}"], playlists.album_name) == ["若你碰到他", "a", "b", ""]
     assert each(spark, ["123456"], lambda c: F.sha2(c, 256)) == ["8d969eef6ecad3c29a3a629280e686cf0c3f5d5a86aff3ca12020c923adc6c92"]
+
+
+@pytest.mark.parametrize(
+    ("short", "kind"),
+    [("string quartet", "string quartet"), ("str qt", "string quartet"), ("sq", "string quartet"), ("jz 3o", "jazz trio"), ("brs bnd", "brass band"), ("chmbr ens", "chamber ensemble"), ("sym orch", "symphony orchestra"), ("phil", "philharmonic"), ("wnd qnt", "wind quintet"), ("pan", None), ("big bang", None), ("", None), ("a b", None)],
+)
+def test_kinds_of_ensembles(short, kind):
+    assert group_kind(tuple(short.split())) == kind
+    if kind:
+        assert re.search(group_pattern(kind), f"garskall {short}")
