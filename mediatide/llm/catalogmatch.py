@@ -14,7 +14,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..functions.names import GIVEN_SHORT_FORMS, GIVEN_TWO_WAYS, GROUP_SHORT_FORMS
+from ..functions.names import GIVEN_SHORT_FORMS, GIVEN_TWO_WAYS, GROUP_KINDS, group_pattern
 from ..session import cut
 from .roman import CYRILLIC, GREEK, HANGUL, KANA, KANJI_WORDS, KOREAN_WORDS, LATIN, PINYIN, SIMPLIFIED, romanise
 
@@ -108,10 +108,9 @@ def _name_sql(column: str) -> str:
 def _words_sql(column: str) -> str:
     """Sorted words of a romanised name, short forms written out."""
     groups = column
-    for full, shorts in GROUP_SHORT_FORMS.items():
-        for short in shorts:
-            pattern = r"\\b" + r"[^a-z0-9]+".join(short.split()) + r"\\b\\W*$"
-            groups = f"regexp_replace({groups}, '{pattern}', {_quote(full)})"
+    for kind in GROUP_KINDS:
+        pattern = group_pattern(kind).replace("\\", "\\\\")
+        groups = f"regexp_replace({groups}, '{pattern}', {_quote(kind)})"
     short = {romanise(k): romanise(GIVEN_TWO_WAYS.get(k, (v,))[0]) for k, v in GIVEN_SHORT_FORMS.items()}
     table = ", ".join(f"{_quote(a)}, {_quote(b)}" for a, b in short.items())
     words = f"filter(split({groups}, '[^a-z0-9\\\\u3400-\\\\u9fff]+'), w -> w <> '' AND w NOT IN ('the', 'of', 'and'))"

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.names import GIVEN_SHORT_FORMS, GIVEN_TWO_WAYS, GROUP_SHORT_FORMS
+from ..functions.names import GIVEN_SHORT_FORMS, GIVEN_TWO_WAYS, group_kind
 from ..operators.multivalue import MAX_PROTECTED, Grammar, split_fields
 from ..session import cut
 from .roman import romanise, simplify
@@ -44,8 +44,6 @@ LONG = range(14, 65)
 INITIAL = 0.6
 UNKNOWN = ("", "未知歌手")
 
-_GROUP_TAILS = {short: full for full, shorts in GROUP_SHORT_FORMS.items() for short in (*shorts, full)}
-_GROUP_FULL = tuple(GROUP_SHORT_FORMS)
 _CAMEL = re.compile(r"(?<=[a-zà-ÿа-яё])(?=[A-ZÀ-ÞА-ЯЁ])")
 _BRACKET = re.compile(r"\s*[(（][^()（）]*[)）]\s*$")
 _EASTERN = re.compile(r"[㐀-鿿ァ-ヶ가-힣]")
@@ -83,14 +81,14 @@ def read_name(name: str, givens: frozenset[str]) -> tuple[str, str, str]:
     words = [w for w in re.split(r"[^0-9a-z']+", low.replace("-", "" if re.search("[а-яё]", text, re.I) or not _romaji(low) else " ")) if w]
     if "of" in words[1:-1]:
         k = words.index("of")
-        if " ".join(words[:k]) in _GROUP_TAILS:
+        if group_kind(tuple(words[:k])):
             words = words[k + 1 :] + words[:k]
     if len(words) > 1 and (words[0] == "the" or len(words) > 2 and 1 < len(words[0]) < 5 and alike(words[0], "the") and not _given_like(words[0], givens)):
         words = words[1:]
     if not words:
         return low.strip(), "", low.strip()
     for k in range(1, len(words)):
-        full = _GROUP_TAILS.get(" ".join(words[k:]))
+        full = group_kind(tuple(words[k:])) if len(words) - k < 3 else None
         if full:
             form = ("".join(words[:k]) + full).replace(" ", "")
             return form, "", form
