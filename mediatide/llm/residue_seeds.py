@@ -32,7 +32,7 @@ ERRORS = {
     "es.": "Error {n}|Error del servidor {n}|Se ha producido un error, inténtelo de nuevo más tarde.|El servidor no responde.|El servidor proxy no recibió respuesta.|Tiempo de espera agotado|Acceso prohibido|Su sesión ha caducado, inicie sesión de nuevo.|Demasiadas solicitudes, espere {n} segundos.|Sitio en mantenimiento|Vaya, algo salió mal.|Solicitud no válida|Fallo de conexión|Volver al inicio|Este servicio está fuera de línea",
     "ru": "Такая {x} не была найдена|{x} не был найден|Не удалось загрузить: {x}|Запрашиваемая {x} удалена или перемещена.|Нет прав на просмотр: {x}|{x} недоступна в вашей стране|К сожалению, {x} сейчас недоступна",
     "ru.": "Ошибка {n}|Ошибка сервера {n}|Произошла ошибка, попробуйте ещё раз позже.|Сервер не отвечает.|Прокси-сервер не получил ответа.|Время ожидания истекло|Доступ закрыт|Сессия истекла, войдите снова.|Слишком много запросов, подождите {n} секунд.|Сайт на техническом обслуживании|Упс, что-то пошло не так.|Неверный запрос|Не удалось установить соединение|На главную|Сервис сейчас недоступен",
-    "zh": "找不到{x}|{n}：{x}不存在|{n} 该{x}不存在|{n} 找不到{x}|网络出错，{x}加载不了，点此重试|未找到该{x}|没有找到您要的{x}|{x}不存在|您要找的{x}已删除|您要访问的{x}不见了|很抱歉，{x}已下线|{x}加载出错，请刷新|{x}无法显示|{x}暂时无法访问|您无权访问该{x}|{x}需要登录才能查看|{x}已被作者删除或设置为私密|由于版权限制，{x}在您所在地区不可用|{x}暂时不可播放|{x}维护中",
+    "zh": "找不到{x}|抱歉，您要看的{x}迷路了，回首页吧。|哎呀，{x}走失了，返回首页看看|{n} 没有这个{x}|{n} 错误：{x}不存在|请先通过安全验证，再继续查看{x}|完成验证后才能浏览{x}|{n}：{x}不存在|{n} 该{x}不存在|{n} 找不到{x}|网络出错，{x}加载不了，点此重试|未找到该{x}|没有找到您要的{x}|{x}不存在|您要找的{x}已删除|您要访问的{x}不见了|很抱歉，{x}已下线|{x}加载出错，请刷新|{x}无法显示|{x}暂时无法访问|您无权访问该{x}|{x}需要登录才能查看|{x}已被作者删除或设置为私密|由于版权限制，{x}在您所在地区不可用|{x}暂时不可播放|{x}维护中",
     "zh.": "错误代码 {n}|（错误代码 {n}）|错误 {n}|错误码{n}|HTTP 状态 {n}|服务器错误|服务器内部发生错误|服务器繁忙，请稍后重试|服务器正在维护|系统错误，请重试|系统异常|网络错误，请检查网络后重试|网络连接超时|网络不给力，点击重新加载|请求失败|请求超时|请求过多，请稍候|操作太频繁了，请{n}秒后再来|访问次数过多，请{n}秒后重新访问|访问频率太高，{n}秒后再试|访问受限|访问被拒绝|没有权限|登录超时，请重新登录|登录状态已失效|请先登录|请输入验证码|请完成人机验证|正在进行安全检查，请稍等|请求编号 {n}ab|出错了|哎呀，出错了|非常抱歉，出了点问题|回到首页|返回上一页|首页 分类 排行 注册|数据库连接失败|参数无效|接口返回异常|代理没有收到服务器的响应|网关错误|无法连接到服务器",
     "ja": "{x}が見つかりませんでした|お探しの{x}は存在しません。|{x}は削除されたか移動しました。|{x}を読み込めませんでした。|この{x}を表示する権限がありません。|{x}は現在ご利用いただけません。|お住まいの地域では{x}をご覧いただけません。",
     "ja.": "エラー {n}|エラーコード：{n}|サーバー内部エラー|サーバーが応答しません。|エラーが発生しました。時間をおいて再度お試しください。|接続がタイムアウトしました|アクセス権がありません|セッションの有効期限が切れました。再度ログインしてください。|リクエストが多すぎます。{n}秒後にお試しください。|メンテナンス中です|問題が発生しました|不正なリクエスト|接続に失敗しました|トップへ戻る|サービスを一時停止しています",
@@ -48,7 +48,7 @@ ORA-00942: table or view does not exist|ERROR 1045 (28000): Access denied for us
 {"status":{n},"error":"Service failure","path":"/api/songs"}|{"errors":[{"message":"Rate limited","code":{n}}]}|{"success":false,"code":{n},"msg":"请求失败","data":null}|{"ok":false,"description":"Bad request"}|{"ret":{n},"msg":"token expired"}|<error><code>AccessDenied</code><message>Denied</message></error>|<title>Error {n}</title>|<h2>{n} - File or directory not found.</h2>|<hr><address>Apache Server</address>|<center><h2>Gateway error</h2></center><hr><center>openresty</center>
 """
 SCRIPTS = {
-    "en": "Enable JavaScript to view the {x}.|JavaScript must be switched on to load the {x}.|This {x} works only with JavaScript.|The {x} does not work without JavaScript enabled.|Please allow scripts so that the {x} can load.|To see the {x}, activate JavaScript and cookies in the browser settings.|Your browser has JavaScript turned off, the {x} can't be displayed.|Without scripts the {x} remains blank.|We use cookies on this {x}. Accept all or manage your choices.|Your browser is out of date and can't show the {x}. Upgrade it.|Scripts are blocked, so the {x} cannot start.|The {x} requires a browser with script support.",
+    "en": "Enable JavaScript to view the {x}.|Without JavaScript this {x} shows nothing, sorry.|Sorry, but this {x} is empty without scripts.|JavaScript must be switched on to load the {x}.|This {x} works only with JavaScript.|The {x} does not work without JavaScript enabled.|Please allow scripts so that the {x} can load.|To see the {x}, activate JavaScript and cookies in the browser settings.|Your browser has JavaScript turned off, the {x} can't be displayed.|Without scripts the {x} remains blank.|We use cookies on this {x}. Accept all or manage your choices.|Your browser is out of date and can't show the {x}. Upgrade it.|Scripts are blocked, so the {x} cannot start.|The {x} requires a browser with script support.",
     "en.": "JavaScript is not enabled|JavaScript appears to be disabled.|JavaScript required|Please activate JavaScript.|Turn on cookies and reload.|Please disable your ad blocker to go on.|This browser is no longer supported.|Loading... Please wait|Accept cookies to continue|We and our partners use cookies. Accept|Reload once scripts are allowed.|noscript",
     "de": "JavaScript muss aktiviert sein, damit {x} geladen wird.|Ohne JavaScript kann {x} nicht angezeigt werden.|Erlauben Sie Skripte, um {x} zu öffnen.|Ihr Browser unterstützt kein JavaScript, {x} bleibt leer.",
     "de.": "Bitte schalten Sie JavaScript ein.|JavaScript ist nicht aktiv.|Wir verwenden Cookies. Alle akzeptieren|Ihr Browser ist veraltet.",
