@@ -50,6 +50,15 @@ def format_of_header(header: Column) -> Column:
     )
 
 
+#: Bytes of a cover beyond which it isn't taken.
+MOST_COVER_BYTES = 8 << 20
+
+
+def cover_status(data: Column, size: Column) -> Column:
+    """What a cover's first bytes and its size come to: its kind, or ``empty``, ``too_large`` or ``no_image``."""
+    return F.when(F.coalesce(size, F.lit(0)) == 0, "empty").when(size > MOST_COVER_BYTES, "too_large").otherwise(F.coalesce(image_of_header(data), F.lit("no_image")))
+
+
 def image_of_header(data: Column) -> Column:
     """jpg, png, webp or gif; null for anything else, empty data too."""
     h = F.hex(F.substring(data, 1, 12))

@@ -198,6 +198,14 @@ def image_kind(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.coalesce(M.image_of_header(data), F.lit("none")).alias("kind"))
 
 
+def cover_status(spark, sf):
+    """Covers of all kinds and sizes: at the limit, beyond it, empty."""
+    heads = ["89504E470D0A1A0A", "FFD8FFE000104A46", "3C68746D6C3E"]
+    data = F.unhex(F.element_at(F.array(*map(F.lit, heads)), (F.col("doc_id") % 3 + 1).cast("int")))
+    size = F.element_at(F.array(*(F.lit(n) for n in (0, M.MOST_COVER_BYTES, M.MOST_COVER_BYTES + 1, 500))), (F.col("doc_id") % 4 + 1).cast("int"))
+    return table(spark, sf, "documents").select("doc_id", M.cover_status(data, size).alias("status"))
+
+
 def valid_fingerprints(spark, sf):
     return dedup.valid_fingerprints(_prints(spark, sf)).select("file_path", "fingerprint", "duration").orderBy("fingerprint", "duration")
 
@@ -461,6 +469,7 @@ QUERIES = {
     "probe_metadata": (probe_metadata, """SELECT meta_id, 'mp3' AS probe_format, coalesce(duration, 0) AS probe_duration, coalesce(nullif(bitrate, 0), 64000)::INT AS probe_bitrate, coalesce(sample_rate, 0)::INT AS probe_sample_rate, coalesce(channels, 0) AS probe_channels,
  regexp_replace(coalesce(title, ''), '^\\s+|\\s+$', '', 'g') AS probe_title, regexp_replace(coalesce(artist, ''), '^\\s+|\\s+$', '', 'g') AS probe_artist, regexp_replace(coalesce(album, ''), '^\\s+|\\s+$', '', 'g') AS probe_album FROM audio_metadata"""),
     "image_kind": (image_kind, "SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN 'png' WHEN 1 THEN 'jpg' WHEN 2 THEN 'webp' WHEN 3 THEN 'gif' WHEN 4 THEN 'gif' ELSE 'none' END AS kind FROM documents"),
+    "cover_status": (cover_status, "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'empty' WHEN 2 THEN 'too_large' ELSE CASE doc_id % 3 WHEN 0 THEN 'png' WHEN 1 THEN 'jpg' ELSE 'no_image' END END AS status FROM documents"),
     "valid_fingerprints": (valid_fingerprints, f"SELECT file_path, fingerprint, duration FROM ({PRINTS_SQL}) WHERE coalesce(is_failed, 0) = 0 AND fingerprint <> ''"),
     "song_scores": (song_scores, f"SELECT rec_id, {SCORE_SQL} AS score FROM audio_fingerprints"),
     "duration_clusters": (duration_clusters, f"SELECT file_path, fingerprint, duration, cid FROM ({_members_sql(30.0)})"),

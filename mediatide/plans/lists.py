@@ -229,13 +229,16 @@ def _responses(spark, sf):
     songs = F.collect_list(F.when(F.col("song_id") % 5 != 0, detail))
     one = s.groupBy("history_id", "song_index").agg(F.min(F.struct("song_id", "song_name", "artist")).alias("s")).select("history_id", "song_index", "s.*")
     r = one.groupBy("history_id").agg(ids.alias("t"), songs.alias("songs"))
-    return r.select(F.to_json(F.struct(F.lit(200).alias("code"), F.struct(F.col("history_id").alias("id"), F.lit("x").alias("name"), F.col("t").alias("trackIds")).alias("playlist"), "songs")).alias("j"))
+    return r.select(F.to_json(F.struct(F.lit(200).alias("code"), F.struct(F.col("history_id").alias("id"), F.concat(F.lit("List \""), F.col("history_id").cast("string"), F.lit("\" é")).alias("name"), F.lit("//c/i.jpg?param=300y300").alias("coverImgUrl"), F.col("t").alias("trackIds")).alias("playlist"), "songs")).alias("j"))
 
 
 def listed_songs(spark, sf):
-    """Songs read back from saved responses: how many of each list, and their last index."""
-    got = pages.listed_songs(_responses(spark, sf), "j")
-    return got.groupBy("list_id").agg(F.count("*").alias("n"), F.count_if(F.col("artist").contains("/") & F.col("artist").endswith(" / ")).alias("open_ends"))
+    """Songs read back from saved responses, at the places their lists give them."""
+    return pages.listed_songs(_responses(spark, sf), "j").withColumn("index", F.col("index").cast("bigint"))
+
+
+def listed_heads(spark, sf):
+    return pages.listed_heads(_responses(spark, sf), "j").withColumn("total", F.col("total").cast("bigint"))
 
 
 def _page_answers(spark, sf):
@@ -459,8 +462,8 @@ def library_unmatched(spark, sf):
 
 def library_all_matches(spark, sf):
     """All typed songs against all tracks; too many pairs for nested SQL."""
-    songs = table(spark, sf, "songs").select(F.col("song_id").alias("song_key"), "song_name", "artist")
-    return matching.match_songs(songs, _library_tracks(spark, sf))
+    songs = _songs(spark, sf).select(F.col("song_id").alias("song_key"), "song_name", "artist")
+    return matching.match_songs(songs, _library_tracks(spark, sf)).withColumn("score", F.round("score", 6))
 
 
 def _events(spark, sf):
@@ -522,7 +525,8 @@ QUERIES = {
     "playlist_titles": (playlist_titles, "SELECT id, CASE WHEN coalesce(title, '') = '' THEN 'QQ音乐歌单_' || id ELSE title END AS shown FROM playlist_history"),
     "track_totals": (track_totals, f"SELECT coalesce({PLATFORM_SQL}, 'unknown') AS found, sum(coalesce(song_count, 0))::BIGINT AS stated, sum(coalesce(n, song_count, 0))::BIGINT AS calibrated FROM playlist_history LEFT JOIN (SELECT history_id, count(*) AS n FROM songs GROUP BY 1) s ON id = s.history_id GROUP BY 1"),
     "response_status": (response_status, "SELECT id, CASE WHEN id % 7 = 0 THEN 'private' WHEN id % 7 = 1 OR id % 11 = 0 THEN 'not_found' WHEN id % 5 = 0 THEN 'empty' ELSE 'ok' END AS status FROM playlist_history"),
-    "listed_songs": (listed_songs, "SELECT history_id AS list_id, count(*) AS n, 0::BIGINT AS open_ends FROM (SELECT history_id, song_index, min(song_id) AS s FROM songs GROUP BY 1, 2) WHERE s % 5 <> 0 GROUP BY 1"),
+    "listed_songs": (listed_songs, f"SELECT history_id AS list_id, index, s.song_name AS song_name, s.artist AS artist FROM (SELECT *, row_number() OVER (PARTITION BY history_id ORDER BY song_index) AS index FROM (SELECT history_id, song_index, arg_min({{'song_id': song_id, 'song_name': song_name, 'artist': artist}}, song_id) AS s FROM ({SONGS_SQL}) GROUP BY 1, 2)) WHERE s.song_id % 5 <> 0"),
+    "listed_heads": (listed_heads, "SELECT history_id AS list_id, 'List \"' || history_id || '\" é' AS title, 'https://c/i.jpg' AS cover, count(DISTINCT song_index) AS total, 'ok' AS status FROM songs GROUP BY history_id"),
     "paged_answers": (paged_answers, f"SELECT history_id, row_number() OVER (PARTITION BY history_id ORDER BY song_index) AS no, s.song_name AS song_name, s.artist AS artist FROM (SELECT history_id, song_index, arg_min({{'song_name': song_name, 'artist': artist}}, song_id) AS s FROM ({SONGS_SQL}) GROUP BY 1, 2) WHERE ((song_index - 1) // 30) % 4 <> 3 AND (song_index - 1) // 30 < 20 AND history_id IN (SELECT history_id FROM songs WHERE song_index <= 30)"),
     "paged_heads": (paged_heads, "SELECT DISTINCT history_id, 'QQ音乐歌单_' || history_id AS title, 'https://c/x.jpg' AS cover, 600 AS total FROM songs WHERE song_index <= 30"),
     "shared_pages": (shared_pages, f"SELECT history_id, 'List ' || history_id AS page_title, row_number() OVER (PARTITION BY history_id ORDER BY song_index, song_id) AS no, n AS song_name, {_TRIM.format("split_part(artist, '•', 1)")} AS artist FROM (SELECT *, {_TRIM.format('song_name')} AS n FROM ({SONGS_SQL})) WHERE n <> ''"),

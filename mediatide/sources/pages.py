@@ -35,6 +35,13 @@ def response_status(code: Column, id_: Column, tracks: Column) -> Column:
     return F.when(code == 401, "private").when((code != 200) | F.coalesce(id_ == 0, F.lit(True)), "not_found").when(F.coalesce(F.size(tracks), F.lit(0)) <= 0, "empty").otherwise("ok")
 
 
+def listed_heads(responses: DataFrame, column: str) -> DataFrame:
+    """``(list_id, title, cover, total, status)`` of list responses; what can't be read has nulls and is not found."""
+    r = responses.select(F.from_json(column, LIST_SCHEMA).alias("_r"))
+    head = F.col("_r.playlist")
+    return r.select(head["id"].alias("list_id"), head["name"].alias("title"), cover_link(F.coalesce(head["coverImgUrl"], F.lit(""))).alias("cover"), F.greatest(F.size(head["trackIds"]), F.lit(0)).alias("total"), response_status(F.col("_r.code"), head["id"], head["trackIds"]).alias("status"))
+
+
 def listed_songs(responses: DataFrame, column: str) -> DataFrame:
     """Songs of list responses, in the order of their ids; ids without details leave their index free."""
     r = responses.withColumn("_r", F.from_json(column, LIST_SCHEMA))
