@@ -202,7 +202,9 @@ def pack(sized: DataFrame, key: str, capacities: list[tuple[str, int]]) -> DataF
     cores = sized.sparkSession.sparkContext.defaultParallelism
     # equal places are kept apart by the key's hash: no text, however often it recurs, makes one partition
     ranked = cut(sized.withColumn("_tie", F.xxhash64(key)))
-    parts = max(1, min(cores * 8, ranked.count() // LEAST_PART))
+    n = ranked.count()
+    # a few tasks a core, and more where there are so many documents that a stretch is shorter than a task's share
+    parts = max(1, min(n // LEAST_PART, max(cores * 3, n // STRETCH)))
     sorted_ = ranked.repartitionByRange(parts, "place", "_tie").sortWithinPartitions("place", "_tie", key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
