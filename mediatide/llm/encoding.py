@@ -128,10 +128,8 @@ def encode_corpus(df: DataFrame, key: str, column: str, folder: str = TOKENIZERS
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                got = enc.encode_ordinary_batch([_clean(t) for t in part.column(1).to_pylist()], num_threads=1)
-                size = np.fromiter(map(len, got), np.int64, len(got))
-                flat = np.fromiter((i for g in got for i in g), np.int32, int(size.sum()))
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32()), pa.array(flat, pa.int32()))
+                # one call a text: a batch call goes through a thread pool, which costs more than it saves in a worker of one core
+                lists = pa.array([enc.encode_ordinary(_clean(t)) for t in part.column(1).to_pylist()], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], names=[key, "ids"])
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,7 +210,7 @@ def count_tokens(df: DataFrame, keep: list[str], column: str, folder: str = TOKE
         enc = encoder(folder)
         for batch in batches:
             texts = pc.fill_null(batch.column(len(keep)), "").to_pylist()
-            size = [len(i) for i in enc.encode_ordinary_batch(texts, num_threads=1)]
+            size = [len(enc.encode_ordinary(t)) for t in texts]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), pa.array(size, pa.int32())], names=[*keep, "n_tokens"])
 
     return cols.mapInArrow(run, schema)

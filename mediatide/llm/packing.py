@@ -130,7 +130,7 @@ def measured(docs: DataFrame, key: str, column: str, folder: str = TOKENIZERS) -
         for batch in batches:
             for part in _portions(batch):
                 texts = [t or "" for t in part.column(1).to_pylist()]
-                n = [len(i) for i in enc.encode_ordinary_batch(texts, num_threads=1)]
+                n = [len(enc.encode_ordinary(t)) for t in texts]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int32()), pa.array(curve_keys(texts, signs))], names=[key, "n_tokens", "place"])
 
     return docs.select(key, F.col(column).alias("_text")).mapInArrow(run, f"{key} {kind}, n_tokens int, place long")
