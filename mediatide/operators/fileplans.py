@@ -40,17 +40,20 @@ def apart(plan: DataFrame, existing: DataFrame | None = None) -> DataFrame:
         taken = existing.select(F.col("file_path").alias("target")).where(F.col("target").isNotNull()).distinct()
         rows = rows.unionByName(taken.select("target", F.lit(0).alias("_file")), allowMissingColumns=True)
     # a file that is there comes first; what stands first has the name
-    at = cut(ranked(rows, ["target"], [F.asc("_file"), F.asc("_path")], "_n").withColumn("_want", F.col("_n") - 1))
+    at = cut(ranked(cut(rows), ["target"], [F.asc("_file"), F.asc("_path")], "_n").withColumn("_want", F.col("_n") - 1))
     stays = (F.col("_want") == 0) | F.col("target").isNull()
     first, others = at.where((F.col("_file") == 1) & stays), at.where((F.col("_file") == 1) & ~stays)
     # numbers that are no longer free: those of wanted names and of files that are there
     names = at.where("_n = 1").select(F.regexp_extract("target", _NUMBERED, 1).alias("_stem"), F.regexp_extract("target", _NUMBERED, 2).try_cast("bigint").alias("_want"), F.regexp_extract("target", _NUMBERED, 3).alias("_ext"))
-    used = names.where(F.col("_want").isNotNull()).select(F.concat("_stem", "_ext").alias("target"), "_want").join(others.select("target").distinct(), "target", "left_semi")
-    # the free number for the j-th is j and one more for each used number with fewer than j free ones before it: its
-    # place when the used numbers, less their own place, are sorted in after the j they don't precede
-    free_before = ranked(used, ["target"], [F.asc("_want")], "_n").select("target", (F.col("_want") - F.col("_n")).alias("_want"), F.lit(1).alias("_used"))
-    both = others.drop("_n").withColumn("_used", F.lit(0)).unionByName(free_before, allowMissingColumns=True)
-    given = ranked(both, ["target"], [F.asc("_want"), F.asc("_used")], "_k").where("_used = 0")
+    used = cut(names.where(F.col("_want").isNotNull()).select(F.concat("_stem", "_ext").alias("target"), "_want").join(others.select("target").distinct(), "target", "left_semi"))
+    if used.isEmpty():
+        given = others.withColumn("_k", F.col("_want"))
+    else:
+        # the free number for the j-th is j and one more for each used number with fewer than j free ones before it: its
+        # place when the used numbers, less their own place, are sorted in after the j they don't precede
+        free_before = ranked(used, ["target"], [F.asc("_want")], "_n").select("target", (F.col("_want") - F.col("_n")).alias("_want"), F.lit(1).alias("_used"))
+        both = others.drop("_n").withColumn("_used", F.lit(0)).unionByName(free_before, allowMissingColumns=True)
+        given = ranked(both, ["target"], [F.asc("_want"), F.asc("_used")], "_k").where("_used = 0")
     name = F.concat(F.regexp_replace("target", r"\.[^./]*$", ""), F.lit("_"), F.col("_k").cast("string"), F.regexp_extract("target", r"(\.[^./]*)$", 1))
     return first.select(*cols).unionByName(given.withColumn("target", name).select(*cols))
 
