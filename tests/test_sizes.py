@@ -29,7 +29,7 @@ def plans(spark, monkeypatch):
     return of
 
 
-@pytest.mark.parametrize(("name", "broadcasts"), [("artist_score", 0), ("match_songs", 0), ("library_matched_ids", 1), ("library_unmatched", 1), ("unmatched_list", 1), ("candidate_topk", 0), ("import_report", 0), ("score_candidate", 0), ("title_score", 0)])
+@pytest.mark.parametrize(("name", "broadcasts"), [("artist_score", 0), ("match_songs", 0), ("library_matched_ids", 1), ("library_unmatched", 1), ("unmatched_list", 1), ("candidate_topk", 0), ("import_report", 0), ("score_candidate", 0), ("title_score", 0), ("library_all_matches", 0)])
 def test_nothing_that_grows_is_broadcast(plans, name, broadcasts):
     """What ``ordering.ranked`` hands to every task, one row a partition, is the only broadcast there may be."""
     text = plans(name)
