@@ -35,3 +35,15 @@ def test_nothing_that_grows_is_broadcast(plans, name, broadcasts):
     text = plans(name)
     assert "SortMergeJoin" in text
     assert text.count("BroadcastExchange") == broadcasts
+
+
+def test_a_wish_is_looked_for_once(spark, monkeypatch):
+    """However many songs ask for it; and only the stages that can count are scored."""
+    seen = []
+    scored = matching._scored
+    monkeypatch.setattr(matching, "_scored", lambda found, songs, tracks: seen.append([tuple(r) for r in found.select("song_key", "stage").collect()]) or scored(found, songs, tracks))
+    songs = spark.createDataFrame([(k, "Red Shoes (Live)", "Anna") for k in range(1, 41)] + [(41, "Blue", "Anna")], "song_key bigint, song_name string, artist string")
+    tracks = spark.createDataFrame([("a", "Red Shoes", ["Anna"], "flac", 0), ("b", "Anna", ["Anna"], "mp3", 0)], "guid string, title string, names array<string>, format string, bitrate int")
+    got = {r.song_key: (r.matched, r.track_guid) for r in matching.match_songs(songs, tracks).collect()}
+    assert got == {k: (True, "a") for k in range(1, 41)} | {41: (False, "")}
+    assert sorted(seen[0]) == [(1, 1), (41, 4)]
