@@ -37,6 +37,14 @@ def test_nothing_that_grows_is_broadcast(plans, name, broadcasts):
     assert text.count("BroadcastExchange") == broadcasts
 
 
+@pytest.mark.parametrize("name", ["title_score"])
+def test_forms_are_made_before_wishes_meet_tracks(plans, name):
+    """Texts are cleaned once a wish and once a track, not once a pair."""
+    above, _, below = plans(name).partition("SortMergeJoin")
+    assert "regexp_replace" not in above
+    assert "regexp_replace" in below
+
+
 def test_a_wish_is_looked_for_once(spark, monkeypatch):
     """However many songs ask for it; and only the stages that can count are scored."""
     seen = []
