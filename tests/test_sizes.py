@@ -37,7 +37,7 @@ def test_nothing_that_grows_is_broadcast(plans, name, broadcasts):
     assert text.count("BroadcastExchange") == broadcasts
 
 
-@pytest.mark.parametrize("name", ["title_score"])
+@pytest.mark.parametrize("name", ["title_score", "score_candidate"])
 def test_forms_are_made_before_wishes_meet_tracks(plans, name):
     """Texts are cleaned once a wish and once a track, not once a pair."""
     above, _, below = plans(name).partition("SortMergeJoin")
