@@ -226,6 +226,15 @@ def test_songs_found(spark):
     assert got == {1: (True, "guid-red-shoes"), 2: (False, ""), 3: (False, ""), 4: (True, "guid-red-shoes")}
 
 
+@pytest.mark.parametrize(("title", "asked"), [("ΝΎΧΤΑ ΚΑΙ ΦΩΣ", "Νύχτα και Φωσ (Remastered 2019)"), ("Kayıp İZ", "kayıp iz (Live)")])
+def test_a_capital_is_read_alike_wherever_it_stands(spark, title, asked):
+    """A sigma at a word's end, and a dotted capital, become the one letter that is asked for."""
+    songs = spark.createDataFrame([(1, asked, "Anna")], "song_key bigint, song_name string, artist string")
+    tracks = spark.createDataFrame([("a", title, ["Anna"], "mp3", 0), ("b", "Anna", ["Anna"], "mp3", 0)], "guid string, title string, names array<string>, format string, bitrate int")
+    matches = matching.match_songs(songs, tracks).withColumn("history_id", F.lit(7))
+    assert [tuple(r) for r in matching.matched_lists(matches, "history_id", "song_key").collect()] == [(7, 0, "a")]
+
+
 def test_search_equals_brute_force(spark):
     rnd = random.Random(5)
     word = lambda: "".join(rnd.choice("abc ") for _ in range(rnd.randint(0, 9)))
