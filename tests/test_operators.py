@@ -235,6 +235,13 @@ def test_a_capital_is_read_alike_wherever_it_stands(spark, title, asked):
     assert [tuple(r) for r in matching.matched_lists(matches, "history_id", "song_key").collect()] == [(7, 0, "a")]
 
 
+def test_lines_leave_out_what_is_found_by_other_capitals(spark):
+    songs = spark.createDataFrame([(1, "Φωσ", "Anna"), (2, "Blue", "Bert")], "song_key bigint, song_name string, artist string")
+    tracks = spark.createDataFrame([("a", "ΦΩΣ", ["Anna"], "mp3", 0)], "guid string, title string, names array<string>, format string, bitrate int")
+    matches = matching.match_songs(songs, tracks).withColumn("history_id", F.lit(7))
+    assert [tuple(r) for r in matching.unmatched_lines(matches, "history_id", "song_key").collect()] == [(7, 1, "1. Blue - Bert")]
+
+
 def test_search_equals_brute_force(spark):
     rnd = random.Random(5)
     word = lambda: "".join(rnd.choice("abc ") for _ in range(rnd.randint(0, 9)))
