@@ -37,6 +37,16 @@ def test_nothing_that_grows_is_broadcast(plans, name, broadcasts):
     assert text.count("BroadcastExchange") == broadcasts
 
 
+def test_nothing_is_broadcast_once_sizes_are_known(spark):
+    """Nor is the plan changed to a broadcast while it runs, when Spark has counted what it shuffled and finds it small."""
+    out = registry.queries()["score_candidate"](spark, SMALL)
+    assert out.collect()
+    text = out._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
+    assert "isFinalPlan=true" in text
+    assert "SortMergeJoin" in text
+    assert "Broadcast" not in text
+
+
 @pytest.mark.parametrize("name", ["title_score", "score_candidate"])
 def test_forms_are_made_before_wishes_meet_tracks(plans, name):
     """Texts are cleaned once a wish and once a track, not once a pair."""
